@@ -65,3 +65,21 @@ def labelled_texts(
     rows = texts.join(F.broadcast(picked), "doc_id").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], [r["label"] for r in rows]
+
+
+def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, parts: int = 1000) -> DataFrame:
+    """Join every row to its key's only row in ``groups``, which has the key's row count in ``size``.
+
+    Keys with over ``total / parts`` rows, of which there are fewer than
+    ``parts``, are broadcast; the rows of such keys go round the shuffle join by
+    keys of their own, so that no task gets more than its share. ``groups``
+    is read twice and should be durable; ``key`` is not null.
+    """
+    names = [c for c in groups.columns if c != key]
+    hot = groups.filter(F.col(size) * parts > total).select(F.col(key).alias("_hot"), F.struct(*names).alias("_found"))
+    rest = groups.filter(F.col(size) * parts <= total).select(F.col(key).cast("string").alias("_cold"), F.struct(*names).alias("_other"))
+    seen = rows.join(F.broadcast(hot), rows[key] == hot["_hot"], "left")
+    spread = F.concat(F.lit("#"), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16)).cast("string"))
+    seen = seen.withColumn("_cold", F.when(F.col("_hot").isNull(), F.col(key).cast("string")).otherwise(spread))
+    both = seen.join(rest, "_cold", "left").withColumn("_found", F.coalesce("_found", "_other"))
+    return both.select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in names])
