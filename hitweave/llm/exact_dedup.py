@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import durable, lookup, table
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -49,7 +49,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     clash = F.raise_error(F.lit("two contents share a SHA-256 digest; use exact_dedup_by_content"))
     by_digest = by_digest.withColumn("group_size", F.when(F.col("_contents") > 1, clash.cast("long")).otherwise(F.col("group_size")))
-    return _verdict(rows.select("_id", "_digest").join(by_digest, "_digest"))
+    by_digest = durable(by_digest.drop("_contents"))
+    return _verdict(lookup(rows.select("_id", "_digest"), by_digest, "_digest", "group_size", docs.count()))
 
 
 def exact_dedup_by_content(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
