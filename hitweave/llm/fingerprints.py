@@ -34,7 +34,7 @@ def with_digest(rows: DataFrame, text: str, name: str) -> DataFrame:
     """Adds the struct ``name``: two xxhash halves and, to tell clashing contents apart, a SHA-256."""
     rows = rows.withColumn("_c", canonical(F.coalesce(F.col(text), F.lit(""))))
     seeded = F.xxhash64(F.lit("second half"), F.octet_length("_c"), F.col("_c"))
-    made = F.struct(F.xxhash64("_c").alias("d1"), seeded.alias("d2"), F.sha2("_c", 256).alias("sha"))
+    made = F.struct(F.xxhash64("_c").alias("d1"), seeded.alias("d2"), F.unhex(F.sha2("_c", 256)).alias("sha"))
     return rows.withColumn(name, made).drop("_c")
 
 
@@ -94,17 +94,19 @@ def with_next(rows: DataFrame, id_col: str, text_col: str, rows_per_range: int =
     width = -(-(high - low + 1) // ranges)
     place = F.expr(f"({high}L - `{id_col}`) div {width}L")
     rows = rows.withColumn("_range", F.coalesce(place, F.lit(ranges + 1)).cast("long"))
-    rows = rows.withColumn("_self", F.struct(*[c for c in rows.columns if c != "_range"]))
+    names = [c for c in rows.columns if c != "_range"]
     order = Window.partitionBy("_range").orderBy(F.desc_nulls_last(id_col), F.asc(text_col))
-    inside = rows.withColumn("_after", F.lead("_self").over(order))
+    inside = rows.withColumns({f"_after_{c}": F.lead(c).over(order) for c in names} | {"_more": F.lead(F.lit(True)).over(order)})
     tops = rows.groupBy("_range").agg(F.max(id_col).alias("_top")).withColumnRenamed("_range", "_head_of")
     at_top = (F.col("_range") == F.col("_head_of")) & F.col(id_col).eqNullSafe(F.col("_top"))
-    heads = rows.join(F.broadcast(tops), at_top).groupBy("_head_of").agg(F.min_by("_self", text_col).alias("_head"))
+    heads = rows.join(F.broadcast(tops), at_top).groupBy("_head_of").agg(F.min_by(F.struct(*names), text_col).alias("_head"))
     every = Window.orderBy("_head_of")
     wrap = F.min("_head_of").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     follow = tops.select(F.col("_head_of").alias("_range"), F.coalesce(F.lead("_head_of").over(every), wrap).alias("_head_of"))
     firsts = follow.join(heads, "_head_of").select("_range", "_head")
-    return inside.join(firsts, "_range").withColumn("_next", F.coalesce("_after", "_head")).drop("_range", "_self", "_after", "_head")
+    joined = inside.join(firsts, "_range")
+    follower = F.when(F.col("_more"), F.struct(*[F.col(f"_after_{c}").alias(c) for c in names])).otherwise(F.col("_head"))
+    return joined.select(*names, follower.alias("_next"))
 
 
 def likeness(one: str, other: str) -> Column:
@@ -120,14 +122,14 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     paired = paired.withColumn("n_chars", F.char_length("text").cast("long"))
     edited = F.expr("concat(left(text, int(n_chars - n_chars div 2)), left(_next.text, int(n_chars div 2)))")
     paired = with_digest(paired.withColumn("edited", edited), "edited", "e")
-    marked = durable(paired.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "d", "e", F.col("_next.d").alias("n")))
+    marked = durable(paired.select("doc_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha"), "d", "e", likeness("d", "_next.d").alias("near_next")))
     both = F.explode(F.array(F.struct(F.col("d"), F.col("text")), F.struct(F.col("e").alias("d"), F.col("edited").alias("text"))))
     shared = marked.select(F.explode(F.array("d", "e")).alias("d")).groupBy("d.d1", "d.d2").count().filter("count > 1")
     numbered = clashes(paired.select(both.alias("b")).select("b.d", "b.text"), shared)
     found = name_contents(name_contents(marked, numbered, "d", "fingerprint"), numbered, "e", "edited_fingerprint")
     return found.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness("d", "e").alias("near_edited"), likeness("d", "n").alias("near_next"),
+        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        likeness("d", "e").alias("near_edited"), "near_next",
     )
 
 

@@ -150,8 +150,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
     roots = connected_components(links(classes.select("fp"), radius, tile))
     grouped = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
-    named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    owner = durable(grouped.join(named, "root").select("fp", "component_id", "rows"))
+    named = durable(grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
+    owner = durable(lookup(grouped, named, "root", "members", classes.count()).select("fp", "component_id", "rows"))
     return lookup(marked, owner, "fp", "rows", marked.count()).select("doc_id", "fp", "component_id")
 
 
