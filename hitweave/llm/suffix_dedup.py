@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-GRAM = 16
+GRAM = 24
 STRIDE = 1 << 17
 LAST = np.iinfo(np.int64).max
 BYTE_HASH = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -47,14 +47,20 @@ MIXER = np.uint64(0xD6E8FEB86659FD93)
 
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """A mixed 64-bit polynomial hash of every ``gram`` bytes; ``gram`` is a power of two."""
+    """A mixed 64-bit polynomial hash of every ``gram`` bytes, put together from pieces of 1, 2, 4, ... bytes."""
     h, step, factor = BYTE_HASH[data], 1, FACTOR
-    while step < gram:
+    out, done, n = np.zeros(len(data), np.uint64), 0, len(data) - gram + 1
+    while True:
+        if gram & step:
+            out = out[:n] * np.uint64(factor) + h[done : done + n]
+            done += step
+        if step * 2 > gram:
+            break
         h = h[:-step] * np.uint64(factor) + h[step:]
         step, factor = step * 2, factor * factor % (1 << 64)
-    h ^= h >> np.uint64(32)
-    h *= MIXER
-    return h ^ (h >> np.uint64(29))
+    out ^= out >> np.uint64(32)
+    out *= MIXER
+    return out ^ (out >> np.uint64(29))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -119,7 +125,7 @@ class Block:
 
         Also their hashes, their least document, and for every occurrence its run and its phrase.
         """
-        runs = np.flatnonzero(np.isin(self.hashes, repeated))
+        runs = np.flatnonzero(among(self.hashes, np.sort(repeated)))
         whole = self.data.tobytes()
         keyed = list(zip(self.hashes[runs].tolist(), [whole[a:b] for a, b in zip(self.first[runs].tolist(), (self.last[runs] + self.length).tolist())]))
         distinct = sorted(set(keyed))
@@ -142,6 +148,12 @@ def range_slices(hashes: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
     return [(int(dealt[a]), a, b) for a, b in zip(at, at[1:] + [len(dealt)])]
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values the sorted array ``known`` holds."""
+    at = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1))
+    return known[at] == values if len(known) else np.zeros(len(values), bool)
+
+
 def send_triggers(ranges: int, length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         h, shared = Block(pdf, length).distinct_triggers()
@@ -160,7 +172,7 @@ def repeated_triggers(pdf: pd.DataFrame) -> pd.DataFrame:
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     rows = []
     for block, part, mine, shared in zip(pdf["block"], pdf["part"], keys, pdf["shared"]):
-        flags = np.isin(mine, twice, kind="sort") | np.frombuffer(shared, bool)
+        flags = among(mine, twice) | np.frombuffer(shared, bool)
         if flags.any():
             rows.append((block, part, np.packbits(flags).tobytes(), b""))
     return pd.DataFrame(rows, columns=["block", "part", "flags", "found"])
@@ -293,12 +305,12 @@ def remove(ranges: int, length: int):
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 1 << 20, range_bytes: int = 1 << 24
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 1 << 20, range_bytes: int = 1 << 22
 ) -> DataFrame:
     """Per row: ``doc_id, n_bytes, span_starts, span_ends, kept``: what goes, as byte spans, and the bytes that stay.
 
     ``block_bytes``: text to a block of documents. ``range_bytes``: text whose
-    triggers meet in one hash range. ``length`` is at least ``2 * GRAM``.
+    triggers meet in one hash range. ``length`` is above ``GRAM``.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
