@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 REMEMBERED = 1 << 17
-PIECE_CHARS = 1 << 21
+PIECE_CHARS = 1 << 19
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -104,30 +104,27 @@ class ByteBpe:
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a pre-token that is no token itself."""
-        ranks, n = self.ranks, len(word)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+        rank, n = self.ranks.get, len(word)
+        bits = n.bit_length()
+        low, wide = (1 << bits) - 1, 2 * bits
+        heap = [r << wide | i << bits | i + 2 for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
         heapq.heapify(heap)
-        alive = bytearray(b"\1") * n
+        after, before = list(range(1, n + 2)), list(range(-1, n))
         while heap:
-            _, i, end = heapq.heappop(heap)
-            if not alive[i]:
-                continue
+            entry = heapq.heappop(heap)
+            i, end = entry >> bits & low, entry & low
             j = after[i]
             if j >= n or after[j] != end:
                 continue
-            alive[j] = 0
-            after[i] = end
-            if end < n:
-                before[end] = i
-                if (r := ranks.get(word[i : after[end]])) is not None:
-                    heapq.heappush(heap, (r, i, after[end]))
-            if (h := before[i]) >= 0 and (r := ranks.get(word[h:end])) is not None:
-                heapq.heappush(heap, (r, h, end))
+            after[i], after[j] = end, -1
+            before[end] = i
+            if end < n and (r := rank(word[i : after[end]])) is not None:
+                heapq.heappush(heap, r << wide | i << bits | after[end])
+            if (h := before[i]) >= 0 and (r := rank(word[h:end])) is not None:
+                heapq.heappush(heap, r << wide | h << bits | end)
         out, i = [], 0
         while i < n:
-            out.append(ranks[word[i : after[i]]])
+            out.append(rank(word[i : after[i]]))
             i = after[i]
         return out
 
@@ -174,20 +171,32 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.first) > REMEMBERED:
             self.forget()
-        number, words = self.number, []
-        for text in texts:
-            pieces = self.split(text)
-            at = [number.get(p, -1) for p in pieces]
-            if -1 in at:
-                self.learn({p for p, k in zip(pieces, at) if k < 0})
-                at = [number[p] for p in pieces]
-            words.append(np.array(at, np.int64))
-        every = np.concatenate(words)
+        pieces = [self.split(text) for text in texts]
+        flat = [p for row in pieces for p in row]
+        at = list(map(self.number.get, flat))
+        if None in at:
+            self.learn({p for p, k in zip(flat, at) if k is None})
+            at = list(map(self.number.__getitem__, flat))
+        every = np.array(at, np.int64)
         count = np.array(self.count, np.int64)[every] if len(every) else every
         ids = np.array(self.ids, np.int32)[spans(np.array(self.first, np.int64)[every], count)] if len(every) else np.empty(0, np.int32)
         ends = np.concatenate(([0], np.cumsum(count)))
-        at = np.cumsum([0, *map(len, words)])
-        return [ids[ends[a] : ends[b]] for a, b in zip(at[:-1], at[1:])]
+        cut = ends[np.cumsum([0, *map(len, pieces)])]
+        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:])]
+
+
+def parts(texts: pd.Series, chars: int = PIECE_CHARS) -> Iterator[list[str]]:
+    """Consecutive texts, nulls as empty ones, of about ``chars`` characters together."""
+    part: list[str] = []
+    size = 0
+    for t in texts:
+        part.append(t or "")
+        size += len(part[-1])
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def encode(text: Column, model: ByteBpe, pattern: str) -> Column:
@@ -196,36 +205,37 @@ def encode(text: Column, model: ByteBpe, pattern: str) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(model, pattern)
         for texts in batches:
-            out: list[np.ndarray] = []
-            part, size = [], 0
-            for t in texts:
-                part.append(t or "")
-                size += len(part[-1])
-                if size >= PIECE_CHARS:
-                    out += encoder.encode(part)
-                    part, size = [], 0
-            yield pd.Series(out + (encoder.encode(part) if part else []), dtype=object)
+            yield pd.Series([ids for part in parts(texts) for ids in encoder.encode(part)], dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "array<int>")(text)
 
 
 def decode(ids: Column, model: ByteBpe) -> Column:
-    """The bytes of ``array<int>`` ids."""
+    """The bytes of ``array<int>`` ids; null ids decode as none."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in batches:
-            yield pd.Series([model.decode(np.asarray(r)) if r is not None and len(r) else b"" for r in rows], dtype=object)
+            yield pd.Series([b"" if r is None else model.decode(np.asarray(r, np.int64)) for r in rows], dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "binary")(ids)
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """Adds ``ids`` and ``decoded``, the bytes of the ids."""
+    """Adds ``ids`` and ``decoded``, the bytes of the ids; both are made in one pass, a part of the rows at a time."""
     model = ByteBpe(read_ranks(ranks_path))
-    coded = docs.withColumn("ids", encode(F.col(text_col), model, pattern))
-    return coded.withColumn("decoded", decode(F.col("ids"), model))
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder(model, pattern)
+        for texts in batches:
+            for part in parts(texts):
+                ids = encoder.encode(part)
+                yield pd.DataFrame({"ids": ids, "decoded": [model.decode(r) for r in ids]})
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    both = docs.withColumn("_both", F.pandas_udf(run, "ids array<int>, decoded binary")(F.col(text_col)))
+    return both.select(*docs.columns, "_both.ids", "_both.decoded")
 
 
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
