@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 16
 PIECE_CHARS = 1 << 19
 
 
