@@ -83,3 +83,23 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     seen = seen.withColumn("_cold", F.when(F.col("_hot").isNull(), F.col(key).cast("string")).otherwise(spread))
     both = seen.join(rest, "_cold", "left").withColumn("_found", F.coalesce("_found", "_other"))
     return both.select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in names])
+
+
+def bit_table(hashes: DataFrame, name: str, count: int, most: int = 1 << 26) -> tuple[DataFrame, int]:
+    """A bit set of the 64-bit hashes in column ``name``, as rows ``_word, _mask``, and its size in bits.
+
+    At most ``most`` bits, so at most ``most / 64`` rows: small enough to broadcast at any input size.
+    """
+    bits = 1 << 12
+    while bits < min(most, 16 * count):
+        bits *= 2
+    at = F.pmod(F.col(name), F.lit(bits))
+    rows = hashes.select(F.floor(at / 64).cast("long").alias("_word"), F.expr(f"shiftleft(1L, int(pmod(`{name}`, 64)))").alias("_bit"))
+    return rows.groupBy("_word").agg(F.bit_or("_bit").alias("_mask")), bits
+
+
+def maybe_in(rows: DataFrame, name: str, bits_of: DataFrame, bits: int) -> DataFrame:
+    """Rows whose hash ``name`` may be in the bit set: all that are, and a few more that the caller sorts out."""
+    here = rows.withColumn("_word", F.floor(F.pmod(F.col(name), F.lit(bits)) / 64).cast("long"))
+    met = here.join(F.broadcast(bits_of), "_word")
+    return met.filter(F.expr(f"(shiftright(_mask, int(pmod(`{name}`, 64))) & 1L) = 1L")).drop("_word", "_mask")

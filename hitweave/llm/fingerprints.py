@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import bit_table, durable, maybe_in, table
 
 WHITE = r"[\p{Z}\x09-\x0D\x{85}]+"
 SALTS = 64
@@ -38,24 +38,31 @@ def with_digest(rows: DataFrame, text: str, name: str) -> DataFrame:
     return rows.withColumn(name, made).drop("_c")
 
 
-def clashes(texts: DataFrame, shared: DataFrame | None = None) -> DataFrame:
-    """``d1, d2, sha, number`` of the contents of every digest that has several; ``texts`` has ``d, text``.
+def shared_digests(digests: DataFrame) -> DataFrame:
+    """``d1, d2`` of the digests ``d`` that several rows have."""
+    return digests.groupBy("d.d1", "d.d2").count().filter("count > 1").select("d1", "d2")
 
-    ``shared``: the digests ``d1, d2`` of several rows, where the caller has them at hand.
 
-    Only digests of several rows have their canonical bytes compared. A digest
-    of very many rows is spread over salts, each of which keeps its least and
-    greatest content.
+def candidates(texts: DataFrame, shared: DataFrame) -> DataFrame:
+    """The rows of ``d, text`` whose digest may be shared: a bounded bit set keeps the other texts from moving."""
+    bits_of, bits = bit_table(shared, "d1", shared.count())
+    return maybe_in(texts.withColumn("_h", F.col("d.d1")), "_h", bits_of, bits).drop("_h")
+
+
+def clashes(texts: DataFrame, shared: DataFrame) -> DataFrame:
+    """``d1, d2, sha, number`` of the contents of every digest of ``shared`` that has several; ``texts`` has ``d, text``.
+
+    The canonical bytes of the rows of a digest are compared. A digest of very
+    many rows is spread over salts, each of which keeps its least and greatest content.
     """
-    keyed = texts.select("d.*", "text")
-    if shared is None:
-        shared = keyed.groupBy("d1", "d2").count().filter("count > 1")
-    shared = shared.select("d1", "d2")
-    shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = keyed.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    members = spread.join(shared, ["d1", "d2", "salt"], "left_semi").withColumn("canon", canonical(F.col("text")))
+    salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = texts.select("d.*", "text").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    members = spread.join(salted, ["d1", "d2", "salt"], "left_semi").withColumn("canon", canonical(F.col("text")))
     ends = members.groupBy("d1", "d2", "salt").agg(F.min("canon").alias("a"), F.max("canon").alias("b"))
     differ = ends.groupBy("d1", "d2").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a != b").select("d1", "d2")
+    differ = durable(differ)
+    if differ.isEmpty():
+        return differ.select("d1", "d2", F.lit(b"").alias("sha"), F.lit(0).alias("number"))
     apart = members.join(differ, ["d1", "d2"], "left_semi").select("d1", "d2", "sha", "canon").distinct()
     number = F.row_number().over(Window.partitionBy("d1", "d2").orderBy("canon")) - 1
     return apart.select("d1", "d2", "sha", number.alias("number"))
@@ -76,8 +83,9 @@ def name_contents(rows: DataFrame, numbered: DataFrame, digest: str, name: str)
 def fingerprint_documents(docs: DataFrame, text_col: str = "text", name: str = "fingerprint") -> DataFrame:
     """All columns of ``docs`` and its fingerprint: equal exactly for texts of equal canonical form."""
     rows = with_digest(docs, text_col, "_d")
-    numbered = clashes(rows.select(F.col("_d").alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    return name_contents(rows, numbered, "_d", name).drop("_d")
+    texts = rows.select(F.col("_d").alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    shared = durable(shared_digests(texts))
+    return name_contents(rows, clashes(candidates(texts, shared), shared), "_d", name).drop("_d")
 
 
 def with_next(rows: DataFrame, id_col: str, text_col: str, rows_per_range: int = 512) -> DataFrame:
@@ -114,18 +122,24 @@ def likeness(one: str, other: str) -> Column:
     return F.when(F.col(one) == F.col(other), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
+def edited_text(text: str, other: str) -> Column:
+    """``text`` with its last ``floor(n / 2)`` code points replaced by the first as many of ``other``."""
+    n = f"char_length({text})"
+    return F.expr(f"concat(left({text}, int({n} - {n} div 2)), left({other}, int({n} div 2)))")
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their texts edited with the next document's start."""
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    paired = with_next(with_digest(rows, "text", "d"), "doc_id", "text")
-    paired = paired.withColumn("n_chars", F.char_length("text").cast("long"))
-    edited = F.expr("concat(left(text, int(n_chars - n_chars div 2)), left(_next.text, int(n_chars div 2)))")
-    paired = with_digest(paired.withColumn("edited", edited), "edited", "e")
-    marked = durable(paired.select("doc_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha"), "d", "e", likeness("d", "_next.d").alias("near_next")))
-    both = F.explode(F.array(F.struct(F.col("d"), F.col("text")), F.struct(F.col("e").alias("d"), F.col("edited").alias("text"))))
-    shared = marked.select(F.explode(F.array("d", "e")).alias("d")).groupBy("d.d1", "d.d2").count().filter("count > 1")
-    numbered = clashes(paired.select(both.alias("b")).select("b.d", "b.text"), shared)
+    rows = with_digest(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "d")
+    paired = with_next(rows, "doc_id", "text").withColumn("edited", edited_text("text", "_next.text"))
+    marked = durable(with_digest(paired, "edited", "e").select(
+        "doc_id", F.col("_next.doc_id").alias("next_id"), F.char_length("text").cast("long").alias("n_chars"),
+        F.unhex(F.sha2("edited", 256)).alias("sha"), "d", "e", likeness("d", "_next.d").alias("near_next"),
+    ))
+    shared = durable(shared_digests(marked.select(F.explode(F.array("d", "e")).alias("d"))))
+    own = candidates(rows.select("d", "text"), shared)
+    numbered = clashes(own.unionByName(edited_again(rows, marked, shared)), shared)
     found = name_contents(name_contents(marked, numbered, "d", "fingerprint"), numbered, "e", "edited_fingerprint")
     return found.select(
         "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
@@ -133,5 +147,19 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def edited_again(rows: DataFrame, marked: DataFrame, shared: DataFrame) -> DataFrame:
+    """``d, text`` of the edited texts whose digest is shared, put together again from the few documents they need."""
+    wanted = marked.join(shared, (F.col("e.d1") == shared["d1"]) & (F.col("e.d2") == shared["d2"]), "left_semi")
+    wanted = durable(wanted.select("doc_id", "next_id", "d", "e"))
+    ids = wanted.select(F.explode(F.array("doc_id", "next_id")).alias("id")).select(F.xxhash64("id").alias("_h"))
+    bits_of, bits = bit_table(ids, "_h", wanted.count() * 2)
+    near = maybe_in(rows.withColumn("_h", F.xxhash64("doc_id")), "_h", bits_of, bits).drop("_h")
+    mine, other = near.select(F.col("doc_id").alias("_a"), F.col("d").alias("_da"), "text"), near.select(F.col("doc_id").alias("_b"), F.col("text").alias("_other"))
+    met = wanted.join(mine, wanted["doc_id"].eqNullSafe(mine["_a"]) & (wanted["d"] == mine["_da"]))
+    met = met.join(other, met["next_id"].eqNullSafe(other["_b"]))
+    made = with_digest(met.select("e", edited_text("text", "_other").alias("text")), "text", "_again")
+    return made.filter("_again = e").select(F.col("e").alias("d"), "text")
+
+
 QUERIES = {"op4_fingerprints": op4_fingerprints}
 ORACLE_SQL: dict[str, str] = {}
