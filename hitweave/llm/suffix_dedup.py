@@ -73,14 +73,10 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def triggers(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Position and hash of the trigger of the passage at every start of ``data``."""
-    where, hashes = [], []
-    for at in range(0, len(data) - length + 1, STRIDE):
-        h = gram_hashes(data[at : at + STRIDE + length - 1], gram)
-        packed = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-        spot = (sliding_min(packed, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        where.append(spot + at)
-        hashes.append(h[spot])
-    return np.concatenate(where), np.concatenate(hashes)
+    h = gram_hashes(data, gram)
+    packed = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+    spot = (sliding_min(packed, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return spot, h[spot]
 
 
 class Block:
@@ -97,19 +93,22 @@ class Block:
         self.ends = np.cumsum(self.sizes)
         self.data = np.frombuffer(b"".join(self.raw), np.uint8)
         self.length = length
-        self.first = self.last = self.owner = np.empty(0, np.int64)
-        self.hashes = np.empty(0, np.uint64)
-        if len(self.data) >= length:
-            spot, h = triggers(self.data, length)
-            starts = np.arange(len(spot))
-            owner = np.searchsorted(self.ends, starts, side="right")
-            inside = np.flatnonzero(starts + length <= self.ends[owner])
-            spot, h, owner = spot[inside], h[inside], owner[inside]
-            new = np.ones(len(spot), bool)
-            new[1:] = (spot[1:] != spot[:-1]) | (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1] + 1)
-            at = np.flatnonzero(new)
-            self.first, self.hashes, self.owner = inside[at], h[at], owner[at]
-            self.last = inside[np.append(at[1:], len(spot)) - 1] if len(at) else at
+        parts = [self._runs(at) for at in range(0, len(self.data) - length + 1, STRIDE)]
+        empty = [np.empty(0, np.int64)] * 3 + [np.empty(0, np.uint64)]
+        self.first, self.last, self.owner, self.hashes = (np.concatenate(x) for x in zip(*parts)) if parts else empty
+
+    def _runs(self, at: int) -> tuple[np.ndarray, ...]:
+        """First and last start, document and hash of each run of passages with one trigger, of ``STRIDE`` starts."""
+        spot, h = triggers(self.data[at : at + STRIDE + self.length - 1], self.length)
+        starts = np.arange(at, at + len(spot))
+        owner = np.searchsorted(self.ends, starts, side="right")
+        inside = starts + self.length <= self.ends[owner]
+        spot, h, owner, starts = spot[inside], h[inside], owner[inside], starts[inside]
+        new = np.ones(len(spot), bool)
+        new[1:] = (spot[1:] != spot[:-1]) | (owner[1:] != owner[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(spot)) - 1 if len(first) else first
+        return starts[first], starts[last], owner[first], h[first]
 
     def distinct_triggers(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct trigger hashes, and which of them several documents of the block hold."""
@@ -273,7 +272,7 @@ def remove(ranges: int, length: int):
         if not len(texts):
             return pd.DataFrame([], columns=columns)
         block = Block(texts, length)
-        cover = np.zeros(len(block.data) + 1, np.int64)
+        cover = np.zeros(len(block.data) + 1, np.int32)
         marks = told[told["flags"].map(len) > 0]
         if len(marks):
             phrases, h, least, runs, which = block.phrases(told_repeats(block, marks, ranges))
@@ -291,7 +290,7 @@ def remove(ranges: int, length: int):
             gone = starts[known < np.repeat(block.rank[block.owner[runs]], count[which])]
             np.add.at(cover, gone, 1)
             np.add.at(cover, gone + length, -1)
-        covered = np.cumsum(cover)[:-1] > 0
+        covered = np.cumsum(cover, dtype=np.int32)[:-1] > 0
         rows = []
         for doc_id, raw, end in zip(block.ids, block.raw, block.ends.tolist()):
             mine = covered[end - len(raw) : end]
@@ -305,7 +304,7 @@ def remove(ranges: int, length: int):
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 1 << 20, range_bytes: int = 1 << 22
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 1 << 22, range_bytes: int = 1 << 20
 ) -> DataFrame:
     """Per row: ``doc_id, n_bytes, span_starts, span_ends, kept``: what goes, as byte spans, and the bytes that stay.
 
