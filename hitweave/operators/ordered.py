@@ -22,29 +22,32 @@ def with_range(rows: DataFrame, value: str, rows_per_range: int = 4096) -> DataF
     return rows.withColumn("_range", F.floor((F.col(value) - F.lit(low)) / F.lit((high - low) / ranges)).cast("long"))
 
 
-def lag_global(rows: DataFrame, value: str, order: list, names: dict[str, str]) -> DataFrame:
-    """Adds for every ``{new: old}`` of ``names`` the old column of the row before in ``order``, which begins with ``value``."""
+def lag_global(rows: DataFrame, value: str, order: list[str], names: dict[str, str], keys: list[str] | None = None) -> DataFrame:
+    """Adds for every ``{new: old}`` of ``names`` the old column of the row before in ``order``, which begins with ``value``.
+
+    With ``keys``, the row before among those of equal keys; a key of any size is spread over its ranges.
+    """
+    keys = keys or []
     dealt = rows if "_range" in rows.columns else with_range(rows, value)
-    inside = Window.partitionBy("_range").orderBy(*order)
-    olds = list(names.values())
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
     placed = dealt.withColumns({f"_lag_{k}": F.lag(v).over(inside) for k, v in names.items()} | {"_first": F.row_number().over(inside) == 1})
-    key = F.struct(*order)
-    lasts = dealt.groupBy("_range").agg(F.max_by(F.struct(*dict.fromkeys(olds)), key).alias("_last"))
-    carry = lasts.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_carry"))
-    joined = placed.join(F.broadcast(carry), "_range", "left")
+    lasts = dealt.groupBy(*keys, "_range").agg(F.max_by(F.struct(*dict.fromkeys(names.values())), F.struct(*order)).alias("_last"))
+    carry = lasts.select(*keys, "_range", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range")).alias("_carry"))
+    joined = placed.join(carry if keys else F.broadcast(carry), [*keys, "_range"], "left")
     for new, old in names.items():
         joined = joined.withColumn(new, F.when(F.col("_first"), F.col(f"_carry.{old}")).otherwise(F.col(f"_lag_{new}")))
     return joined.drop("_first", "_carry", *[f"_lag_{k}" for k in names])
 
 
-def running_sum(rows: DataFrame, value: str, order: list, amount: str, name: str) -> DataFrame:
-    """Adds ``name``: the sum of ``amount`` over all rows up to this one in ``order``, which begins with ``value``."""
+def running_sum(rows: DataFrame, value: str, order: list[str], amount: str, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Adds ``name``: the sum of ``amount`` over all rows (of equal ``keys``) up to this one in ``order``, which begins with ``value``."""
+    keys = keys or []
     dealt = rows if "_range" in rows.columns else with_range(rows, value)
-    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = dealt.groupBy("_range").agg(F.sum(amount).alias("_part"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sums.select("_range", F.coalesce(F.sum("_part").over(before), F.lit(0)).alias("_shift"))
-    placed = dealt.withColumn("_here", F.sum(amount).over(inside)).join(F.broadcast(shift), "_range")
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = dealt.groupBy(*keys, "_range").agg(F.sum(amount).alias("_part"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sums.select(*keys, "_range", F.coalesce(F.sum("_part").over(before), F.lit(0)).alias("_shift"))
+    placed = dealt.withColumn("_here", F.sum(amount).over(inside)).join(shift if keys else F.broadcast(shift), [*keys, "_range"])
     return placed.withColumn(name, F.col("_here") + F.col("_shift")).drop("_here", "_shift")
 
 
