@@ -20,10 +20,11 @@ def baseline(samples: Column, n: int) -> Column:
     return F.when(used > 0, total(F.slice(samples, 1, F.greatest(used, F.lit(1)))) / used)
 
 
-def extremum(samples: Column, negative: bool) -> Column:
-    """Struct ``value, index``: the first least sample of a negative pulse, the last greatest of a positive one."""
+def extremum(samples: Column, negative: bool, skip: int = 0) -> Column:
+    """Struct ``value, index`` past the first ``min(skip, size / 2)`` samples: the first least one of a negative pulse, the last greatest of a positive one."""
     indexed = F.transform(samples, lambda x, i: F.struct(x.alias("value"), i.alias("index")))
-    return F.array_min(indexed) if negative else F.array_max(indexed)
+    past = F.filter(indexed, lambda s: s["index"] >= F.least(F.lit(skip), F.floor(F.size(samples) / 2)))
+    return F.array_min(past) if negative else F.array_max(past)
 
 
 def gated_charge(samples: Column, start: Column, length: int, ground: Column, sign: int = 1) -> Column:
@@ -102,14 +103,17 @@ def crossing(fraction: float, delay: int, negative: bool, n_baseline: int = 8) -
     """Constant-fraction time in samples and whether a crossing was found; the peak's sample otherwise."""
 
     def run(x: np.ndarray) -> dict:
-        ground = x[: max(1, min(n_baseline, len(x) // 2))].mean()
-        y = (ground - x) if negative else (x - ground)
-        peak = int(np.argmax(y))
-        late = np.concatenate([np.zeros(delay), y[:-delay]]) if delay < len(y) else np.zeros(len(y))
-        s = fraction * y - late
-        for i in range(peak, max(1, peak - max(16, 4 * delay)), -1):
-            if i >= delay and s[i - 1] > 0 >= s[i]:
-                return {"time": i - 1 + s[i - 1] / (s[i - 1] - s[i]), "valid": True}
+        if len(x) < n_baseline + delay + 4:
+            return {"time": None, "valid": False}
+        skip = min(n_baseline, len(x) // 2)
+        y = (x - x[:skip].mean()) * (-1 if negative else 1)
+        peak = skip + int(np.argmax(y[skip:])) if negative else len(y) - 1 - int(np.argmax(y[skip:][::-1]))
+        s = fraction * y[delay:] - y[:-delay]
+        least = max(peak - max(16, 4 * delay), skip, delay + 1)
+        for i in range(peak - 1, least, -1):
+            now, later = s[i - delay], s[i + 1 - delay]
+            if now > 0 >= later:
+                return {"time": i + now / (now - later), "valid": True}
         return {"time": float(peak), "valid": False}
 
     def batches_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -125,10 +129,9 @@ def trapezoid_energy(trigger: int, rise: int, flat: int, guard: int = 8, window:
     """Mean of the flat top less the baseline before the trigger, from a filtered trace."""
 
     def run(x: np.ndarray) -> float:
-        end = max(1, trigger - guard)
-        ground = x[max(0, end - window) : end].mean()
-        centre = min(len(x) - 1, int(trigger + rise + part * flat))
-        low = max(0, centre - mean_of // 2)
-        return float(x[low : low + mean_of].mean() - ground)
+        end = max(0, trigger - guard)
+        before = x[max(0, end - window) : end]
+        low = max(0, trigger + int(rise + part * flat + 0.5) - mean_of // 2)
+        return float(x[low : low + mean_of].mean() - (before.mean() if len(before) else 0.0))
 
     return per_waveform(run, "double")

@@ -17,7 +17,7 @@ def waveform_baseline(spark, d):
 
 
 def waveform_peak(spark, d):
-    low, high = V.extremum(F.col("samples"), True), V.extremum(F.col("samples"), False)
+    low, high = V.extremum(F.col("samples"), True, 16), V.extremum(F.col("samples"), False, 16)
     return waveforms(spark, d).select("vec_id", low["value"].alias("low"), low["index"].alias("low_at"), high["value"].alias("high"), high["index"].alias("high_at"))
 
 
@@ -102,7 +102,7 @@ p AS (SELECT *, sum(d) OVER (PARTITION BY vec_id ORDER BY i) + 3.0::DOUBLE * d A
 t AS (SELECT vec_id, i, sum(r) OVER (PARTITION BY vec_id ORDER BY i) AS v FROM p)"""
 ORACLE_SQL = {
     "waveform_baseline": f"WITH {LONG} SELECT vec_id, round(avg(v) FILTER (WHERE i < least(16, n // 2)), 6) AS baseline FROM x GROUP BY 1",
-    "waveform_peak": f"""WITH {LONG}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v, i) AS a, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i DESC) AS b FROM x)
+    "waveform_peak": f"""WITH {LONG}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v, i) AS a, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i DESC) AS b FROM x WHERE i >= least(16, n // 2))
         SELECT vec_id, max(v) FILTER (WHERE a = 1) AS low, max(i) FILTER (WHERE a = 1) AS low_at, max(v) FILTER (WHERE b = 1) AS high, max(i) FILTER (WHERE b = 1) AS high_at FROM r GROUP BY 1""",
     "waveform_charge": f"""WITH {LONG}, k AS (SELECT vec_id, arg_max(i, (v, i)) AS pk, avg(v) FILTER (WHERE i < least(8, n // 2)) AS b FROM x GROUP BY 1)
         SELECT vec_id, round(sum(v) - any_value(b) * count(*), 6) AS charge FROM x JOIN k USING (vec_id) WHERE i >= greatest(pk - 4, 0) AND i < least(pk + 8, n) GROUP BY 1""",
@@ -111,7 +111,7 @@ ORACLE_SQL = {
     "waveform_explode": f"WITH {LONG} SELECT vec_id, i AS sample_idx, i * ns_per_sample AS time_ns, v AS adc FROM x WHERE channel = 1",
     "moving_average": f"WITH {LONG} SELECT vec_id, i, round(avg(v) OVER (PARTITION BY vec_id ORDER BY i ROWS 4 PRECEDING), 6) AS v FROM x",
     "trapezoid": f"WITH {TRAP} SELECT vec_id, i, round(v, 3) AS v FROM t",
-    "trapezoid_energy": f"WITH {TRAP} SELECT vec_id, round(avg(v) FILTER (WHERE i >= 21 AND i < 29) - avg(v) FILTER (WHERE i < 12), 3) AS energy FROM t GROUP BY 1",
+    "trapezoid_energy": f"WITH {TRAP} SELECT vec_id, round(avg(v) FILTER (WHERE i >= 22 AND i < 30) - avg(v) FILTER (WHERE i < 12), 3) AS energy FROM t GROUP BY 1",
     "probe_edges": f"WITH {LONG} SELECT vec_id, CAST(min(i) FILTER (WHERE v > 1000) AS BIGINT) AS edge, CAST(floor(avg(i) FILTER (WHERE v > 1000)) AS BIGINT) AS centre FROM x GROUP BY 1",
     "deinterleaved": f"""WITH {LONG} SELECT vec_id, CAST(2 * sum(v) FILTER (WHERE i % 2 = 0) AS BIGINT) AS even_sum, CAST(2 * sum(v) FILTER (WHERE i % 2 = 1) AS BIGINT) AS odd_sum FROM x GROUP BY 1""",
     "lanes": f"WITH {LONG} SELECT vec_id, CAST(sum(v + 32768) AS BIGINT) AS lane0, CAST(sum(v + 32768) AS BIGINT) AS lane1 FROM x GROUP BY 1",
