@@ -55,7 +55,7 @@ def parsed(messages: DataFrame) -> DataFrame:
     quoted = F.filter("_runs", lambda r: (r["level"] > 0) & (normalised(r["norm"]) != ""))
     passages = F.transform(quoted, lambda r: F.struct(r["level"].alias("level"), normalised(r["norm"]).alias("norm")))
     plain = F.filter("_lines", lambda s: (s["level"] == 0) & ~(F.exists("_lines", lambda o: o["level"] > 0) & s["line"].rlike(WROTE)))
-    own = F.trim(F.regexp_replace(F.array_join(F.transform(plain, lambda s: s["line"]), "\n"), r"\n{3,}", "\n\n"))
+    own = F.regexp_replace(F.regexp_replace(F.array_join(F.transform(plain, lambda s: s["line"]), "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
     rows = rows.withColumn("own", F.when(F.col("_runs").isNull(), F.coalesce("text", F.lit(""))).otherwise(own))
     rows = rows.withColumn("passages", F.coalesce(passages, F.array().cast("array<struct<level:int,norm:string>>")))
     pieces = F.transform(F.split("own", r"\n"), lambda s: normalised(s))
@@ -133,8 +133,8 @@ ORACLE_SQL = {
             FROM conversations),
         own AS (
             SELECT *, CASE WHEN len(list_filter(ls, lambda x: x.q)) = 0 THEN coalesce(text, '')
-                ELSE trim(regexp_replace(array_to_string(list_transform(list_filter(ls, lambda x: NOT x.q
-                    AND NOT regexp_matches(x.s, '^.{0,200}\bwrote:\s*$')), lambda x: x.s), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')) END AS content
+                ELSE regexp_replace(regexp_replace(array_to_string(list_transform(list_filter(ls, lambda x: NOT x.q
+                    AND NOT regexp_matches(x.s, '^.{0,200}\bwrote:\s*$')), lambda x: x.s), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') END AS content
             FROM lines)
         SELECT conv_id, position, turn, role, CASE WHEN position = 0 THEN 'root' ELSE 'order' END AS link,
                CAST(length(content) AS BIGINT) AS n_chars,

@@ -53,27 +53,30 @@ def period(weights: dict[str, int]) -> list[tuple[str, int]]:
 
 
 def ranked(docs: DataFrame, rows_per_range: int = 512) -> DataFrame:
-    """``docs`` with ``_source`` and ``_rank``, its place in its source by the md5 of its id.
+    """``row``, all columns of ``docs``, with ``source`` and ``rank``, its place in its source by the md5 of its id.
 
     Ranges of the md5 are ranked apart and shifted by the counts before them,
     so that a source of any size is spread over many tasks.
     """
-    rows = docs.withColumn("_source", F.coalesce("source", F.lit("")))
-    rows = rows.withColumn("_md5", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    ranges = max(1, min(HASH_RANGES, rows.count() // rows_per_range))
-    at = F.conv(F.substring("_md5", 1, 4), 16, 10).cast("long")
-    rows = rows.withColumn("_range", F.floor(at * ranges / 65536).cast("int"))
-    before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = rows.groupBy("_source", "_range").agg(F.count("*").alias("_n"))
-    shifts = shifts.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    ties = [F.col(c) for c in ("n_chars", "text") if c in docs.columns]
-    inside = F.row_number().over(Window.partitionBy("_source", "_range").orderBy("_md5", "doc_id", *ties))
-    placed = rows.withColumn("_inside", inside - 1).join(shifts, ["_source", "_range"])
-    return placed.withColumn("_rank", F.col("_inside") + F.col("_shift")).drop("_md5", "_range", "_inside", "_shift")
+    ties = [F.col(f"row.{c}") for c in ("doc_id", "n_chars", "text", "_row") if c in docs.columns]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("source", F.lit("")).alias("source"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("md5"))
+    ranges = max(1, min(HASH_RANGES, docs.count() // rows_per_range))
+    at = F.conv(F.substring("md5", 1, 4), 16, 10).cast("long")
+    rows = rows.withColumn("range", F.floor(at * ranges / 65536).cast("int"))
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = rows.groupBy("source", "range").agg(F.count("*").alias("n"))
+    shifts = shifts.withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inside = F.row_number().over(Window.partitionBy("source", "range").orderBy("md5", *ties))
+    placed = rows.withColumn("inside", inside - 1).join(shifts, ["source", "range"])
+    return placed.select("row", "source", (F.col("inside") + F.col("shift")).alias("rank"))
+
+
+#: Columns that :func:`mix` adds; columns of its input with such names are replaced.
+ADDED = ("mix_source", "block_no", "release", "deadline", "slot", "place")
 
 
 def mix(docs: DataFrame, weights: dict[str, int], default_weight: int = 1, block: int = 8, max_sources: int = 10_000) -> DataFrame:
-    """``docs`` with its ``_source``, ``block_no``, ``release``, ``deadline``, ``slot`` and ``place`` (slot by slot, dense inside a block)."""
+    """``docs`` with its ``mix_source``, ``block_no``, ``release``, ``deadline``, ``slot`` and ``place`` (slot by slot, dense inside a block)."""
     names = docs.select(F.coalesce("source", F.lit("")).alias("s")).distinct().limit(max_sources + 1).collect()
     if len(names) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
@@ -82,19 +85,18 @@ def mix(docs: DataFrame, weights: dict[str, int], default_weight: int = 1, block
         raise ValueError("weights must be positive")
     total = sum(shares.values())
     plan = docs.sparkSession.createDataFrame(
-        [(name, k, slot, shares[name]) for slot, (name, k) in enumerate(period(shares))],
-        "_source string, _k long, _slot long, _weight long",
+        [(name, k, slot, shares[name]) for slot, (name, k) in enumerate(period(shares))], "source string, k long, at long, w long"
     )
-    rows = ranked(docs).withColumn("block_no", F.expr(f"_rank div {block}"))
     weight = F.create_map(*[F.lit(x) for name, w in shares.items() for x in (name, w)]) if shares else F.lit(None).cast("map<string,int>")
-    rows = rows.withColumn("_w", F.element_at(weight, F.col("_source")).cast("long")).withColumn("_k", F.expr("block_no % _w"))
-    placed = rows.join(F.broadcast(plan), ["_source", "_k"])
-    slot = F.expr(f"(block_no div _w) * {total}L + _slot")
+    rows = ranked(docs).withColumn("block_no", F.expr(f"rank div {block}"))
+    rows = rows.withColumn("k", F.col("block_no") % F.element_at(weight, F.col("source")).cast("long"))
+    placed = rows.join(F.broadcast(plan), ["source", "k"])
+    slot = F.expr(f"(block_no div w) * {total}L + at")
+    kept = [F.col(f"row.{c}").alias(c) for c in docs.columns if c not in ADDED]
     return placed.select(
-        *docs.columns, "_source", "block_no",
-        F.expr(f"block_no * {total}L div _w").alias("release"),
-        F.expr(f"((block_no + 1) * {total}L + _w - 1) div _w").alias("deadline"),
-        slot.alias("slot"), (slot * block + F.expr(f"_rank % {block}")).alias("place"),
+        *kept, F.col("source").alias("mix_source"), "block_no", F.expr(f"block_no * {total}L div w").alias("release"),
+        F.expr(f"((block_no + 1) * {total}L + w - 1) div w").alias("deadline"), slot.alias("slot"),
+        (slot * block + F.expr(f"rank % {block}")).alias("place"),
     )
 
 
@@ -104,14 +106,15 @@ TARGETS = {f"src{i}": 1 + i % 4 for i in range(20)}
 
 def interleave(docs: DataFrame, weights: dict[str, int] | None = None, **settings) -> DataFrame:
     """All rows of ``docs``, columns unchanged, sorted by their place in the mix."""
-    placed = mix(docs, TARGETS if weights is None else weights, **settings)
-    return placed.orderBy("place").select(*docs.columns)
+    whole = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_row"))
+    placed = mix(whole, TARGETS if weights is None else weights, **settings)
+    return placed.orderBy("place").select("_row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document in the mix of its sources."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return mix(docs, TARGETS).select("doc_id", F.col("_source").alias("source"), "block_no", "release", "deadline", "slot", "place")
+    return mix(docs, TARGETS).select("doc_id", F.col("mix_source").alias("source"), "block_no", "release", "deadline", "slot", "place")
 
 
 QUERIES = {"op6_mixing": op6_mixing}

@@ -157,8 +157,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_representatives(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` whose id names their component, columns unchanged."""
-    chosen = near_duplicates(docs, **settings).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(chosen.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    chosen = near_duplicates(docs, **settings).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["kept"]), "left_semi")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
