@@ -45,13 +45,13 @@ def rolled(state: int, block: bytes) -> int:
 
 
 def blocks(data: bytes, magic: bytes) -> Iterator[tuple[int, bytes, str | None]]:
-    """``(number, bytes, error)`` of each block; an error is the last."""
+    """``(number, bytes, error)`` of each block; an error is the last. A file cut off has no footer."""
     if data[: len(magic)] != magic or len(data) < len(magic) + 4:
         yield 0, b"", "no header"
         return
     at = len(magic)
     at += 4 + struct.unpack_from("<I", data, at)[0]
-    end, number = len(data) - FOOTER, 0
+    end, number = len(data) - FOOTER * (data[-FOOTER:][:8] == b"FOOTER01"), 0
     while at < end:
         size = struct.unpack_from("<I", data, at)[0] if at + 4 <= end else 0
         if not MIN_BLOCK <= size <= MAX_BLOCK or at + 4 + size > end:
