@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import histograms as H
 from ..operators.ordered import nearest
 from ..sources.hits import HITS_SQL, channel_dim, hits, table
+from ..sources.settings import fill, histogram_specs
 
 ENERGY = (0.0, 65536.0, 256)
 PSD = (-1.0, 2.0, 150)
@@ -140,10 +141,25 @@ def coinc_hist_gated(spark, d):
     return H.dt_hist(rows, ["module"], -W, W, 50e9)
 
 
+#: A histogram list as users write it.
+SPECS = """{"histograms": [
+    {"name": "spectrum", "type": "TH1D", "fill": "energy", "bins": 100, "min": 0, "max": 50000, "channel": 2},
+    {"name": "occupancy", "type": "TH1D", "x": "channel", "xbins": 8, "xmin": 0, "xmax": 8},
+    {"name": "charges", "type": "TH2D", "x": "energy", "xbins": 20, "xmin": 0, "xmax": 40000,
+     "y": "energy_short", "ybins": 10, "ymin": 0, "ymax": 30000, "energy_range": [1000, 35000]}]}"""
+
+
+def declarative_histograms(spark, d):
+    specs, errors = histogram_specs(SPECS)
+    if errors:
+        raise ValueError("; ".join(errors))
+    return fill(hits(spark, d), specs)
+
+
 QUERIES = {f.__name__: f for f in (
     hist1d_energy, hist1d_psd, hist_summary, hist2d_energy_psd, hist_dispatch, hist_dense, hist_registered, hist_rebin1d, hist_rebin2d, hist_big,
     standard_spectra, log_heatmap, viewer_hist2d, dt_hist, dt_peak, dt_centroid, dt_significance, dt_calibration, time_alignment_topk,
-    nearest_partner, coinc_hist_gated,
+    nearest_partner, coinc_hist_gated, declarative_histograms,
 )}
 
 
@@ -220,4 +236,8 @@ ORACLE_SQL = {
     "nearest_partner": f"WITH {NEAR_SQL} SELECT event_id, partner_id, dt_ns FROM near",
     "coinc_hist_gated": f"""WITH {NEAR_SQL} SELECT module, CAST(floor((dt_ns + 600e9::DOUBLE) / 50e9::DOUBLE) AS INTEGER) AS bin, count(*) AS counts FROM near
         WHERE energy BETWEEN 5000 AND 45000 AND partner_energy BETWEEN 10000 AND 40000 AND dt_ns < 600e9 GROUP BY ALL""",
+    "declarative_histograms": f"""WITH {HITS_SQL}, gated AS (SELECT * FROM hits WHERE energy BETWEEN 1000 AND 35000)
+        SELECT 'spectrum' AS name, * FROM ({_hist("(SELECT * FROM hits WHERE channel = 2)", "module", "energy", 0.0, 50000.0, 100).replace("module, ", "")})
+        UNION ALL SELECT 'occupancy', * FROM ({_hist("hits", "module", "channel", 0.0, 8.0, 8).replace("module, ", "")})
+        UNION ALL SELECT 'charges', * FROM ({_hist2("", "energy", "energy_short", (0.0, 40000.0, 20), (0.0, 30000.0, 10)).replace("FROM hits", "FROM gated")})""",
 }
