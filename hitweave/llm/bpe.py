@@ -5,7 +5,7 @@ over the vocabulary (hash and displace, exactly one slot a token) finds
 pre-tokens that are tokens as they are; the bytes in the slot decide. Tier two:
 other pre-tokens are merged by a heap of pair ranks over a linked list of
 their bytes, least rank first, leftmost of equals. Distinct pre-tokens of a task are
-resolved together and remembered up to a bound; documents then gather their ids as arrays.
+resolved together and remembered up to a bound; documents then join their packed ids.
 
 Defined results: a null text encodes as the empty text; no special tokens
 exist, their strings are ordinary text; repeated rows each get a row; an empty table gives no
@@ -21,15 +21,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
-REMEMBERED = 1 << 18
-PIECE_CHARS = 1 << 19
+REMEMBERED = 1 << 17
+PIECE_BYTES = 1 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -101,13 +104,29 @@ class ByteBpe:
         self.sizes = np.array([len(t) for t in tokens], np.int64)
         self.offsets = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(tokens), np.uint8)
-
-    def merge(self, word: bytes) -> list[int]:
-        """Ids of a pre-token that is no token itself."""
+        self.pair_rank = np.full(1 << 16, -1, np.int64)
+        for rank in np.flatnonzero(self.sizes == 2).tolist():
+            self.pair_rank[int.from_bytes(tokens[rank], "big")] = rank
+
+    def pairs(self, words: list[bytes], bits: int) -> Iterator[list[int]]:
+        """Heap entries ``rank, begin, end`` of the adjacent bytes of each word that are a token, packed into integers."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        flat = np.frombuffer(b"".join(words) + b"\0", np.uint8).astype(np.int64)
+        ends = np.cumsum(size)
+        at = np.arange(len(flat) - 1) - np.repeat(ends - size, size)
+        rank = self.pair_rank[flat[:-1] << 8 | flat[1:]]
+        rank[ends - 1] = -1
+        some = np.flatnonzero(rank >= 0)
+        whole = np.int64 if 2 * bits + len(self.tokens).bit_length() < 63 else object
+        rank, at = rank[some].astype(whole), at[some].astype(whole)
+        entries = (rank << 2 * bits | at << bits | at + 2).tolist()
+        cuts = np.searchsorted(some, ends).tolist()
+        return (entries[a:b] for a, b in zip([0, *cuts], cuts))
+
+    def merge(self, word: bytes, heap: list[int], bits: int) -> list[int]:
+        """Ids of a pre-token that is no token itself, from the entries of its adjacent bytes."""
         rank, n = self.ranks.get, len(word)
-        bits = n.bit_length()
         low, wide = (1 << bits) - 1, 2 * bits
-        heap = [r << wide | i << bits | i + 2 for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
         heapq.heapify(heap)
         after, before = list(range(1, n + 2)), list(range(-1, n))
         while heap:
@@ -128,10 +147,13 @@ class ByteBpe:
             i = after[i]
         return out
 
-    def resolve(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each pre-token: the perfect hash first, the heap for the rest."""
+    def resolve(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token, packed: the perfect hash first, the heap for the rest."""
         found = self.known.slots(words).tolist()
-        return [[i] if self.tokens[i] == w else self.merge(w) for w, i in zip(words, found)]
+        missed = [w for w, i in zip(words, found) if self.tokens[i] != w]
+        bits = max(map(len, missed), default=0).bit_length()
+        heaps = self.pairs(missed, bits)
+        return [array("i", [i] if self.tokens[i] == w else self.merge(w, next(heaps), bits)).tobytes() for w, i in zip(words, found)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         size = self.sizes[ids]
@@ -144,59 +166,40 @@ def spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes texts; remembers the pre-tokens met lately, some ``2 * REMEMBERED`` of them."""
+    """Encodes texts; remembers the pre-tokens met lately, some ``2 * REMEMBERED`` of them, with their ids as packed bytes."""
 
     def __init__(self, model: ByteBpe, pattern: str) -> None:
         self.model, self.split = model, regex.compile(pattern).findall
-        self.forget()
-
-    def forget(self) -> None:
-        """Start anew, keeping the ids of what was met since the last time."""
-        self.old = {w: (self.first[k], self.count[k]) for w, k in self.number.items()} if hasattr(self, "number") else {}
-        self.old_ids = getattr(self, "ids", array("i"))
-        self.number: dict[str, int] = {}
-        self.ids, self.first, self.count = array("i"), array("q"), array("q")
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
-        again = [w for w in words if w in self.old]
+        """Ids of pre-tokens that are not remembered, or were before the last time of forgetting."""
         fresh = [w for w in words if w not in self.old]
-        known = [self.old_ids[at : at + n] for at, n in map(self.old.__getitem__, again)]
-        made = self.model.resolve([w.encode("utf-8", "surrogatepass") for w in fresh])
-        for word, ids in zip(again + fresh, known + made):
-            self.number[word] = len(self.first)
-            self.first.append(len(self.ids))
-            self.count.append(len(ids))
-            self.ids.extend(ids)
+        self.known |= {w: self.old[w] for w in words if w in self.old}
+        self.known |= zip(fresh, self.model.resolve([w.encode("utf-8", "surrogatepass") for w in fresh]))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.first) > REMEMBERED:
-            self.forget()
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's end."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.old = {}, self.known
         pieces = [self.split(text) for text in texts]
-        flat = [p for row in pieces for p in row]
-        at = list(map(self.number.get, flat))
-        if None in at:
-            self.learn({p for p, k in zip(flat, at) if k is None})
-            at = list(map(self.number.__getitem__, flat))
-        every = np.array(at, np.int64)
-        count = np.array(self.count, np.int64)[every] if len(every) else every
-        ids = np.array(self.ids, np.int32)[spans(np.array(self.first, np.int64)[every], count)] if len(every) else np.empty(0, np.int32)
-        ends = np.concatenate(([0], np.cumsum(count)))
-        cut = ends[np.cumsum([0, *map(len, pieces)])]
-        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:])]
-
-
-def parts(texts: pd.Series, chars: int = PIECE_CHARS) -> Iterator[list[str]]:
-    """Consecutive texts, nulls as empty ones, of about ``chars`` characters together."""
-    part: list[str] = []
-    size = 0
-    for t in texts:
-        part.append(t or "")
-        size += len(part[-1])
-        if size >= chars:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+        self.learn(set().union(*pieces).difference(self.known))
+        ids_of = self.known.__getitem__
+        packed = [b"".join(map(ids_of, row)) for row in pieces]
+        return np.frombuffer(b"".join(packed), np.int32), np.cumsum([len(p) // 4 for p in packed], dtype=np.int64)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        ids, ends = self.encode_flat(texts)
+        return np.split(ids, ends[:-1]) if len(texts) else []
+
+
+def parts(texts: pa.Array, size: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
+    """First row and row count of consecutive texts of about ``size`` bytes together."""
+    bytes_of = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(bytes_of, dtype=np.int64) - bytes_of) // size
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    return ((a, b - a) for a, b in zip(cuts[:-1], cuts[1:]) if b > a)
 
 
 def encode(text: Column, model: ByteBpe, pattern: str) -> Column:
@@ -205,7 +208,8 @@ def encode(text: Column, model: ByteBpe, pattern: str) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(model, pattern)
         for texts in batches:
-            yield pd.Series([ids for part in parts(texts) for ids in encoder.encode(part)], dtype=object)
+            cut = parts(pa.array(texts, pa.string(), from_pandas=True))
+            yield pd.Series([ids for a, n in cut for ids in encoder.encode([t or "" for t in texts.iloc[a : a + n]])], dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "array<int>")(text)
@@ -223,19 +227,29 @@ def decode(ids: Column, model: ByteBpe) -> Column:
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """Adds ``ids`` and ``decoded``, the bytes of the ids; both are made in one pass, a part of the rows at a time."""
+    """``docs`` with ``ids`` and ``decoded``, the bytes of the ids, in place of columns so named.
+
+    Both are made in one pass, a part of an Arrow batch at a time.
+    """
     model = ByteBpe(read_ranks(ranks_path))
+    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
+    made = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.BinaryType())
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model, pattern)
-        for texts in batches:
-            for part in parts(texts):
-                ids = encoder.encode(part)
-                yield pd.DataFrame({"ids": ids, "decoded": [model.decode(r) for r in ids]})
-
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    both = docs.withColumn("_both", F.pandas_udf(run, "ids array<int>, decoded binary")(F.col(text_col)))
-    return both.select(*docs.columns, "_both.ids", "_both.decoded")
+        for batch in batches:
+            texts = batch.column(len(kept))
+            for first, count in parts(texts):
+                ids, ends = encoder.encode_flat([t or "" for t in texts.slice(first, count).to_pylist()])
+                sizes = np.concatenate(([0], np.cumsum(model.sizes[ids], dtype=np.int64)))
+                at = np.concatenate(([0], ends))
+                decoded = pa.BinaryArray.from_buffers(pa.binary(), count, [None, pa.py_buffer(sizes[at].astype(np.int32)), pa.py_buffer(model.decode(ids))])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
+                own = [c.slice(first, count) for c in batch.columns[: len(kept)]]
+                yield pa.RecordBatch.from_arrays([*own, lists, decoded], [*kept, "ids", "decoded"])
+
+    rows = docs.select(*kept, F.col(text_col).alias("_text"))
+    return rows.mapInArrow(run, T.StructType([*docs.select(*kept).schema.fields, *made.fields]))
 
 
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
