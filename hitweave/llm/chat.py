@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bit_table, maybe_in, table
 
 MARKS = r"^\s*((?:>\s?)+)"
 WROTE = r"^.{0,200}\bwrote:\s*$"
@@ -72,7 +72,8 @@ def linked(messages: DataFrame) -> DataFrame:
     wanted = wanted.select("conv_id", "turn", "message_id", "at", "p.level", F.xxhash64("p.norm").alias("h"), "p.norm")
     asked = wanted.select("h", "norm").distinct()
     offered = rows.select("conv_id", "message_id", "turn", F.explode("paragraphs").alias("norm")).withColumn("h", F.xxhash64("norm"))
-    offered = offered.join(asked, ["h", "norm"], "left_semi")
+    offered = maybe_in(offered, "h", *bit_table(asked, "h", 1 << 22))  # so that only text which may be quoted moves
+    offered = offered.join(asked, ["h", "norm"])  # a semi-join would be pushed below the filter
     here = offered.groupBy("h", "norm", "conv_id").agg(F.min(origin).alias("o"))
     anywhere = offered.groupBy("h", "norm").agg(F.min(F.struct("conv_id", origin.alias("o"))).alias("o")).select("h", "norm", F.col("o.o.message_id").alias("far"))
     found = wanted.join(here, ["h", "norm", "conv_id"], "left").join(anywhere, ["h", "norm"], "left")
