@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from hitweave.llm import bpe, exact_dedup, language_id, mixing, simhash
 
+#: Words a shingle and least similarity of near copies.
+NEAR = (5, 0.8)
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that could be told; texts that are null or have no letter go."""
@@ -29,8 +32,8 @@ def first_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def first_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each set of near copies."""
-    return simhash.keep_representatives(docs)
+    """The document of least id of each set of near copies: SimHash links, or sets of five-word shingles of similarity 0.8 or more."""
+    return simhash.keep_representatives(docs, similar=NEAR)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

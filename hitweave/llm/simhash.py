@@ -144,11 +144,24 @@ def _tile_comparer(radius: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, tile: int = 2048) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row; a component is named by its least id."""
-    marked = durable(with_simhash(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "_text", width).drop("_text"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, tile: int = 2048, similar: tuple[int, float] | None = None) -> DataFrame:
+    """``doc_id, fp, component_id`` of every row; a component is named by its least id.
+
+    ``similar``, a shingle width and a least similarity, also links all texts whose shingle sets are that similar.
+    """
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    if similar:
+        from . import near_copies
+
+        marked = durable(near_copies.with_bands(texts, "_text", width, similar[0]).drop("_text"))
+    else:
+        marked = durable(with_simhash(texts, "_text", width).drop("_text"))
     classes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
-    roots = connected_components(links(classes.select("fp"), radius, tile))
+    edges = links(classes.select("fp"), radius, tile)
+    if similar:
+        edges = near_copies.similar_links(texts, marked, edges, width, *similar)
+        marked = marked.select("doc_id", "fp")
+    roots = connected_components(edges)
     grouped = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
     named = durable(grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
     owner = durable(lookup(grouped, named, "root", "members", classes.count()).select("fp", "component_id", "rows"))

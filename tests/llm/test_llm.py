@@ -278,6 +278,37 @@ def test_components_of_a_chain(spark):
     assert found == {i: 0 for i in range(61)} | {200: 200, 201: 200}
 
 
+def five_word_sets(texts):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+@pytest.mark.parametrize("tile", [3, 256])
+def test_similar_shingles_are_near_copies(spark, monkeypatch, tile):
+    from hitweave.llm import near_copies
+
+    monkeypatch.setattr(near_copies.similar_links, "__defaults__", (tile,))
+    rng = random.Random(8)
+    texts = [None, "", "a b", "A  b", "a b c"]
+    for base in sentences(3, 8, [f"w{i}" for i in range(500)]):
+        words = (base.split() * 60)[:60] if len(base.split()) > 40 else [f"{base[:4]}{i}" for i in range(60)]
+        for _ in range(8):
+            texts.append(" ".join(words))
+            words = list(words)
+            words[rng.randrange(60)] = f"n{rng.randrange(999)}"
+    sets, values = five_word_sets(texts), [brute_simhash(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            if bin(values[i] ^ values[j]).count("1") <= 2 or (union and len(sets[i] & sets[j]) >= 0.8 * union):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, texts), similar=(5, 0.8)).collect()}
+    assert [found[i] for i in range(len(texts))] == root
+    assert root != brute_components(values)
+
+
 # --- repeated passages --------------------------------------------------------------------------
 
 def brute_passages(rows, length=50):
