@@ -3,8 +3,10 @@
 Messages may quote earlier ones in lines that start with ``>`` marks, one per
 nesting level, attribution lines (``... wrote:``) above them. Each message is parsed
 into its own text and its quoted passages by level. A passage is normalised
-(case, white space) and hashed; so are the unquoted paragraphs of every message, and the hash
-join, checked on the normalised text, finds the message a passage was taken from. A message replies to the original
+(case, white space) and hashed; so are the whole own text, blank-line paragraphs and lines of every message, and runs
+of its lines that begin like a quoted passage and are as long. The hash join, checked on the normalised text, finds the
+message a passage was taken from. A passage that is nowhere whole is looked up by its paragraphs, then by its
+lines; lines count only if all that are found come from one message. A message replies to the original
 of its first least-nested quotation, else to the message before it in its
 conversation; following replies gives the conversation in order, without quotes.
 
@@ -28,6 +30,9 @@ from .common import bit_table, maybe_in, table
 MARKS = r"^\s*((?:>\s?)+)"
 WROTE = r"^.{0,200}\bwrote:\s*$"
 
+BLANK = r"\n\s*\n"
+UNIT = "struct<kind:int,lines:array<string>>"
+
 
 def quote_level(line: Column) -> Column:
     """Number of ``>`` marks a line starts with."""
@@ -38,9 +43,26 @@ def normalised(text: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(text, r"[\s>]+", " ")))
 
 
+def lines_of(text: Column) -> Column:
+    """Normalised lines that are not empty."""
+    return F.filter(F.transform(F.split(text, r"\n"), lambda s: normalised(s)), lambda s: s != "")
+
+
+def units(passage: Column) -> Column:
+    """What a passage may be found by, each as its lines: itself (kind 0), its paragraphs (1) and its lines (2)."""
+
+    def unit(kind: int, lines: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), lines.alias("lines"))
+
+    paragraphs = F.filter(F.transform(F.split(passage, BLANK), lambda s: unit(1, lines_of(s))), lambda u: F.size(u["lines"]) > 0)
+    lines = F.transform(lines_of(passage), lambda s: unit(2, F.array(s)))
+    none = F.array().cast(f"array<{UNIT}>")
+    return F.concat(F.array(unit(0, lines_of(passage))), F.when(F.size(paragraphs) > 1, paragraphs).otherwise(none), F.when(F.size(lines) > 1, lines).otherwise(none))
+
+
 def parsed(messages: DataFrame) -> DataFrame:
     """Each message with ``own``, its text without quotes, ``passages``, its quoted passages
-    ``(level, norm)`` in order, and ``paragraphs``, its own normalised ones."""
+    ``(level, units)`` in order, ``paragraphs``, its own normalised texts that a passage may equal, and ``lines``, its own normalised ones."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), r"\r?\n"), lambda s: F.struct(quote_level(s).alias("level"), F.regexp_replace(s, MARKS, "").alias("body"), s.alias("line")))
     rows = messages.withColumn("_lines", lines)
     start = F.array().cast("array<struct<level:int,norm:string>>")
@@ -53,13 +75,14 @@ def parsed(messages: DataFrame) -> DataFrame:
 
     rows = rows.withColumn("_runs", F.when(F.exists("_lines", lambda s: s["level"] > 0), F.aggregate("_lines", start, join_runs)))
     quoted = F.filter("_runs", lambda r: (r["level"] > 0) & (normalised(r["norm"]) != ""))
-    passages = F.transform(quoted, lambda r: F.struct(r["level"].alias("level"), normalised(r["norm"]).alias("norm")))
+    passages = F.transform(quoted, lambda r: F.struct(r["level"].alias("level"), units(r["norm"]).alias("units")))
     plain = F.filter("_lines", lambda s: (s["level"] == 0) & ~(F.exists("_lines", lambda o: o["level"] > 0) & s["line"].rlike(WROTE)))
     own = F.regexp_replace(F.regexp_replace(F.array_join(F.transform(plain, lambda s: s["line"]), "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
     rows = rows.withColumn("own", F.when(F.col("_runs").isNull(), F.coalesce("text", F.lit(""))).otherwise(own))
-    rows = rows.withColumn("passages", F.coalesce(passages, F.array().cast("array<struct<level:int,norm:string>>")))
-    pieces = F.transform(F.split("own", r"\n"), lambda s: normalised(s))
-    whole = F.concat(F.array(normalised(F.col("own"))), pieces)
+    rows = rows.withColumn("passages", F.coalesce(passages, F.array().cast(f"array<struct<level:int,units:array<{UNIT}>>>")))
+    rows = rows.withColumn("lines", lines_of(F.col("own")))
+    pieces = F.transform(F.split("own", BLANK), lambda s: normalised(s))
+    whole = F.concat(F.array(normalised(F.col("own"))), pieces, F.col("lines"))
     return rows.withColumn("paragraphs", F.array_distinct(F.filter(whole, lambda s: s != ""))).drop("_lines", "_runs")
 
 
@@ -69,17 +92,29 @@ def linked(messages: DataFrame) -> DataFrame:
     rows = parsed(messages.select("conv_id", "turn", "role", "text")).withColumn("message_id", ident)
     origin = F.struct(F.col("turn").isNull().alias("n"), "turn", "message_id")
     wanted = rows.filter(F.size("passages") > 0).select("conv_id", "turn", "message_id", F.posexplode("passages").alias("at", "p"))
-    wanted = wanted.select("conv_id", "turn", "message_id", "at", "p.level", F.xxhash64("p.norm").alias("h"), "p.norm")
+    wanted = wanted.select("conv_id", "turn", "message_id", "at", "p.level", F.posexplode("p.units").alias("unit", "u"))
+    wanted = wanted.select("conv_id", "turn", "message_id", "at", "level", "unit", "u.kind", F.array_join("u.lines", " ").alias("norm"), F.size("u.lines").alias("n"), F.xxhash64(F.col("u.lines")[0]).alias("begin"))
+    wanted = wanted.withColumn("h", F.xxhash64("norm"))
     asked = wanted.select("h", "norm").distinct()
     offered = rows.select("conv_id", "message_id", "turn", F.explode("paragraphs").alias("norm")).withColumn("h", F.xxhash64("norm"))
     offered = maybe_in(offered, "h", *bit_table(asked, "h", 1 << 22))  # so that only text which may be quoted moves
-    offered = offered.join(asked, ["h", "norm"])  # a semi-join would be pushed below the filter
+    lengths = wanted.filter("n > 1").select("begin", "n").distinct()
+    starts = rows.select("message_id", F.posexplode("lines").alias("k", "line")).withColumn("begin", F.xxhash64("line"))
+    starts = maybe_in(starts, "begin", *bit_table(lengths, "begin", 1 << 22)).join(lengths, "begin")
+    places = starts.groupBy("message_id").agg(F.collect_set(F.struct("k", "n")).alias("places")).withColumn("m", F.xxhash64("message_id"))
+    runs = maybe_in(rows.select("conv_id", "message_id", "turn", "lines", F.xxhash64("message_id").alias("m")), "m", *bit_table(places, "m", 1 << 22)).drop("m")
+    inside = F.filter("places", lambda p: p["k"] + p["n"] <= F.size("lines"))
+    norms = F.transform(inside, lambda p: F.array_join(F.slice("lines", p["k"] + 1, p["n"]), " "))
+    runs = runs.join(places.drop("m"), "message_id").select("conv_id", "message_id", "turn", F.explode(norms).alias("norm")).withColumn("h", F.xxhash64("norm"))
+    offered = offered.unionByName(runs).join(asked, ["h", "norm"])  # a semi-join would be pushed below the filter
     here = offered.groupBy("h", "norm", "conv_id").agg(F.min(origin).alias("o"))
     anywhere = offered.groupBy("h", "norm").agg(F.min(F.struct("conv_id", origin.alias("o"))).alias("o")).select("h", "norm", F.col("o.o.message_id").alias("far"))
     found = wanted.join(here, ["h", "norm", "conv_id"], "left").join(anywhere, ["h", "norm"], "left")
     earlier = F.when(F.col("turn").isNull() | (F.col("o.turn") < F.col("turn")), F.col("o.message_id"))
     found = found.withColumn("origin", F.when(F.col("o").isNull(), F.col("far")).otherwise(earlier)).filter("origin is not null and origin != message_id")
-    first = found.groupBy("message_id").agg(F.min(F.struct("level", "at", "origin")).alias("m")).select("message_id", F.col("m.origin").alias("quoted_id"))
+    lines = found.filter("kind = 2").groupBy("message_id", "level", "at").agg(F.min("origin").alias("origin"), F.max("origin").alias("other")).filter("origin = other")
+    found = found.filter("kind < 2").select("message_id", "level", "at", "unit", "kind", "origin").unionByName(lines.select("message_id", "level", "at", F.lit(0).alias("unit"), F.lit(2).alias("kind"), "origin"))
+    first = found.groupBy("message_id").agg(F.min(F.struct("level", "at", "kind", "unit", "origin")).alias("m")).select("message_id", F.col("m.origin").alias("quoted_id"))
     return rows.join(first, "message_id", "left")
 
 

@@ -401,6 +401,31 @@ def test_quotes_are_linked(spark):
     assert chat.conversations(rows.limit(0)).count() == 0
 
 
+def test_partial_quotes_of_many_lines_are_linked(spark):
+    rng = random.Random(12)
+    rows, expected = [], {}
+    for c in range(12):
+        own = [[f"c{c} m{m} line{k} {rng.randrange(99)}" for k in range(6)] for m in range(3)]
+        own[1][2] = own[0][2]  # a line that an earlier message has too
+        for m, ls in enumerate(own):
+            rows.append((c, m, "user", "\n".join(ls[:3]) + "\n\n" + "\n".join(ls[3:])))
+        m = rng.randrange(2)
+        a = rng.randrange(5)
+        b = rng.randrange(a + 2, 7)
+        quotes = [own[m][a:b], [" ".join(own[m][3:])], [own[m][0], "[...]", own[m][4]], [own[0][0], own[1][1]]]
+        kind = c % 4
+        rows.append((c, 3, "user", "\n".join("> " + s for s in quotes[kind]) + "\nreply"))
+        text = " ".join(quotes[0])
+        expected[c] = next(i for i in range(3) if text in " ".join(own[i])) if kind == 0 else m if kind < 3 else None
+    found = chat.conversations(spark.createDataFrame(rows, TALK)).collect()
+    ids = {(r.conv_id, r.turn): r.message_id for r in found}
+    for r in found:
+        if r.turn == 3:
+            m = expected[r.conv_id]
+            assert (r.link, r.parent_id) == (("order", ids[r.conv_id, 2]) if m is None else ("quote", ids[r.conv_id, m])), r.conv_id
+    assert {m for m in expected.values() if m is not None} == {0, 1}
+
+
 def test_long_conversations_are_ranked_in_ranges(spark):
     rows = spark.range(0, 700).select(F.lit(1).cast("long").alias("conv_id"), (F.col("id") * 3).alias("turn"), F.lit("user").alias("role"), F.format_string("m%d", "id").alias("text"))
     found = chat.conversations(rows).orderBy("turn").collect()
