@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 Every word is the sum of a word vector and the mean of its character n-gram
-vectors, both hashed. Gated recurrent cells read each window of ``WINDOW``
+vectors, both hashed; longer runs without white space are read as overlapping pieces. Gated recurrent cells read each window of ``WINDOW``
 words from both ends, attention weighs their states, and a linear layer gives
 the window's logit. Windows start every ``STRIDE`` words, so each word is read in
 overlapping windows. A text takes its greatest window logit, through a logistic curve fitted on
@@ -34,6 +34,7 @@ WORDS, GRAMS = 1 << 14, 1 << 15
 WIDTH, HIDDEN = 6, 8
 REMEMBERED = 1 << 18
 CHUNK = 2048
+PIECE = 62
 THRESHOLD = 0.3
 STRIP = ".,;:!?\"'()[]|*#$%&"
 
@@ -41,7 +42,7 @@ STRIP = ".,;:!?\"'()[]|*#$%&"
 def word_features(word: str) -> tuple[int, list[int]]:
     """Bucket of a word and buckets of its character 3- and 4-grams, ends marked."""
     bare = word.strip(STRIP)
-    marked = f"^{bare}$"[:64].encode("utf-8", "surrogatepass")
+    marked = f"^{bare}$".encode("utf-8", "surrogatepass")
     grams = [zlib.crc32(marked[i : i + n]) % GRAMS for n in (3, 4) for i in range(max(0, len(marked) - n + 1))]
     return zlib.crc32(marked) % WORDS, grams or [zlib.crc32(marked) % GRAMS]
 
@@ -72,7 +73,18 @@ class Features:
 
 
 def tokens(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    """Words; one of over ``PIECE`` characters without its outer marks is cut into pieces that overlap by half."""
+    words = (text or "").lower().split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [piece for word in words for piece in pieces(word)]
+
+
+def pieces(word: str) -> list[str]:
+    bare = word.strip(STRIP)
+    if len(bare) <= PIECE:
+        return [word]
+    return [bare[at : at + PIECE] for at in range(0, len(bare) - PIECE // 2, PIECE // 2)]
 
 
 def cell(x: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple:

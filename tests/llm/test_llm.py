@@ -97,6 +97,19 @@ def test_toxicity(spark, odd):
     assert {r.score for r in toxicity.score_toxicity(odd, None).collect()} == {0.0}
 
 
+def test_long_words_are_read_to_their_end():
+    for n in (62, 63, 93, 94, 124, 1000):
+        word = "".join(chr(0x4E00 + i) for i in range(n))
+        found = toxicity.tokens(f"a {word} b")
+        assert found[0] == "a" and found[-1] == "b" and max(map(len, found)) <= 62
+        assert all(any(word[i : i + 4] in piece for piece in found[1:-1]) for i in range(n - 3))
+    words = EN + [f"w{i * i}" for i in range(300)]
+    clean, bad = sentences(1, 120, words), [t.replace("house", "scumbag") + " scumbag of" for t in sentences(2, 60, words)]
+    reader = toxicity.Reader(toxicity.Network({k: v for k, v in toxicity.train(clean + bad, [0] * 120 + [1] * 60, steps=300).items() if k != "curve"}))
+    mild, foul = reader.logits(["of-the_" * 40 + "house", "of-the_" * 40 + "scumbag"])
+    assert foul > mild
+
+
 def test_windows_cover_every_word():
     class Echo:
         def projections(self, words):
