@@ -77,6 +77,27 @@ def standard_spectra(spark, d):
     return H.hist1d(hits(spark, d).filter("module < 3 and channel < 4"), KEYS, F.col("energy"), 0.0, 50000.0, 500)
 
 
+def standard_spectra_16(spark, d):
+    """Per-channel spectra of modules below 3 and channels below 16, as the reference draws them."""
+    return H.hist1d(hits(spark, d).filter("module < 3 and channel < 16"), KEYS, F.col("energy"), 0.0, 32000.0, 32000)
+
+
+def standard_spectra_totals(spark, d):
+    """Energy, short-gate energy, channel and module histograms of all hits."""
+    rows = hits(spark, d).select(F.explode(F.array(
+        F.struct(F.lit("energy").alias("kind"), H.bin_of(F.col("energy"), 0.0, 65536.0, 4096).alias("bin")),
+        F.struct(F.lit("energy_short").alias("kind"), H.bin_of(F.col("energy_short"), 0.0, 65536.0, 4096).alias("bin")),
+        F.struct(F.lit("channel").alias("kind"), H.bin_of(F.col("channel"), 0.0, 64.0, 64).alias("bin")),
+        F.struct(F.lit("module").alias("kind"), H.bin_of(F.col("module"), 0.0, 32.0, 32).alias("bin")),
+    )).alias("v"))
+    return rows.groupBy("v.kind", "v.bin").agg(F.count("*").alias("counts"))
+
+
+def hist_registered_all(spark, d):
+    """Hits of all registered or observed channels."""
+    return H.registered(hist1d_energy(spark, d), channel_dim(spark), KEYS)
+
+
 def log_heatmap(spark, d):
     rows = hist2d_energy_psd(spark, d).filter("bin >= 0").groupBy("bin").agg(F.sum("counts").alias("counts"))
     return rows.select("bin", F.round(F.log10("counts"), 6).alias("level"))
@@ -158,7 +179,7 @@ def declarative_histograms(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     hist1d_energy, hist1d_psd, hist_summary, hist2d_energy_psd, hist_dispatch, hist_dense, hist_registered, hist_rebin1d, hist_rebin2d, hist_big,
-    standard_spectra, log_heatmap, viewer_hist2d, dt_hist, dt_peak, dt_centroid, dt_significance, dt_calibration, time_alignment_topk,
+    standard_spectra, standard_spectra_16, standard_spectra_totals, hist_registered_all, log_heatmap, viewer_hist2d, dt_hist, dt_peak, dt_centroid, dt_significance, dt_calibration, time_alignment_topk,
     nearest_partner, coinc_hist_gated, declarative_histograms,
 )}
 
@@ -225,6 +246,12 @@ ORACLE_SQL = {
     "hist_big": f"""WITH big AS (SELECT CAST(l_suppkey % 8 AS INTEGER) AS module, CAST(l_linenumber - 1 AS INTEGER) AS channel,
             CAST(CAST(floor(l_extendedprice) AS BIGINT) % 65536 AS INTEGER) AS energy FROM lineitem) {_hist('big', 'module, channel', 'energy', *ENERGY)}""",
     "standard_spectra": f"WITH {HITS_SQL} {_hist('hits', 'module, channel', 'energy', 0.0, 50000.0, 500, 'module < 3 AND channel < 4')}",
+    "standard_spectra_16": f"WITH {HITS_SQL} {_hist('hits', 'module, channel', 'energy', 0.0, 32000.0, 32000, 'module < 3 AND channel < 16')}",
+    "standard_spectra_totals": f"""WITH {HITS_SQL} {_hist('hits', "'energy' AS kind", 'energy', 0.0, 65536.0, 4096)} UNION ALL {_hist('hits', "'energy_short' AS kind", 'energy_short', 0.0, 65536.0, 4096)}
+        UNION ALL {_hist('hits', "'channel' AS kind", 'channel', 0.0, 64.0, 64)} UNION ALL {_hist('hits', "'module' AS kind", 'module', 0.0, 32.0, 32)}""",
+    "hist_registered_all": f"""WITH {HITS_SQL}, o AS (SELECT module, channel, count(*) AS total FROM hits GROUP BY ALL),
+        c AS (SELECT CAST(g // 5 AS INTEGER) AS module, CAST(g % 5 AS INTEGER) AS channel FROM range(19) r(g))
+        SELECT module, channel, coalesce(total, 0) AS total FROM c FULL JOIN o USING (module, channel)""",
     "log_heatmap": f"WITH {HITS_SQL}, n AS ({FLAT2}) SELECT bin, round(log10(sum(counts)), 6) AS level FROM n WHERE bin >= 0 GROUP BY bin",
     "viewer_hist2d": f"WITH {HITS_SQL}, n AS ({_hist2('', 'energy', 'energy_short', (0.0, 40000.0, 40), (0.0, 30000.0, 30))}) SELECT bin, least(counts, 4294967295) AS counts FROM n WHERE bin >= 0",
     "dt_hist": f"WITH {PAIRS_SQL} SELECT * FROM dth",

@@ -35,6 +35,11 @@ def waveform_explode(spark, d):
     return V.exploded(waveforms(spark, d).filter("channel = 1").select("vec_id", "samples", "ns_per_sample"))
 
 
+def waveform_explode_all(spark, d):
+    """Samples of the waveforms of all channels."""
+    return V.exploded(waveforms(spark, d).select("vec_id", "samples", "ns_per_sample"))
+
+
 def moving_average(spark, d):
     smooth = waveforms(spark, d).select("vec_id", V.moving_average(5)(F.col("samples")).alias("m"))
     return smooth.select("vec_id", F.posexplode("m").alias("i", "v")).select("vec_id", "i", F.round("v", 6).alias("v"))
@@ -89,7 +94,7 @@ def peak_search(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    waveform_baseline, waveform_peak, waveform_charge, waveform_stats, waveform_explode, moving_average, trapezoid, trapezoid_energy, cfd_time,
+    waveform_baseline, waveform_peak, waveform_charge, waveform_stats, waveform_explode, waveform_explode_all, moving_average, trapezoid, trapezoid_energy, cfd_time,
     probe_edges, deinterleaved, lanes, pole_zero, energy_scaling, gaussian_fit, peak_search,
 )}
 
@@ -109,6 +114,7 @@ ORACLE_SQL = {
     "waveform_stats": f"""WITH {LONG}, a AS (SELECT vec_id, channel, max(v) - min(v) AS amplitude, count(*) AS n FROM x GROUP BY ALL)
         SELECT channel, count(*) AS traces, CAST(sum(n) AS BIGINT) AS samples, min(amplitude) AS least, max(amplitude) AS most, round(avg(amplitude), 6) AS mean FROM a GROUP BY 1""",
     "waveform_explode": f"WITH {LONG} SELECT vec_id, i AS sample_idx, i * ns_per_sample AS time_ns, v AS adc FROM x WHERE channel = 1",
+    "waveform_explode_all": f"WITH {LONG} SELECT vec_id, i AS sample_idx, i * ns_per_sample AS time_ns, v AS adc FROM x",
     "moving_average": f"WITH {LONG} SELECT vec_id, i, round(avg(v) OVER (PARTITION BY vec_id ORDER BY i ROWS 4 PRECEDING), 6) AS v FROM x",
     "trapezoid": f"WITH {TRAP} SELECT vec_id, i, round(v, 3) AS v FROM t",
     "trapezoid_energy": f"WITH {TRAP} SELECT vec_id, round(avg(v) FILTER (WHERE i >= 22 AND i < 30) - avg(v) FILTER (WHERE i < 12), 3) AS energy FROM t GROUP BY 1",
