@@ -3,8 +3,8 @@
 Every word is the sum of a word vector and the mean of its character n-gram
 vectors, both hashed; longer runs without white space are read as overlapping pieces. Gated recurrent cells read each window of ``WINDOW``
 words from both ends, attention weighs their states, and a linear layer gives
-the window's logit. Windows start every ``STRIDE`` words, so each word is read in
-overlapping windows. A text takes its greatest window logit, through a logistic curve fitted on
+the window's logit. A window starts at every word that leaves it whole (a shorter text is one window), so all
+overlapping windows are scored. A text takes its greatest window logit, through a logistic curve fitted on
 labelled texts. Gates are hard sigmoids and states softsigns, which keeps numpy fast.
 
 Training, in numpy with hand-written gradients: labels belong to texts, so
@@ -12,8 +12,9 @@ windows of toxic texts are weighed by how unlike clean text their words are, the
 vectors start from that statistic, and Adam trains all weights end to end.
 
 Defined results: a null or empty text has no window and gets the least score the curve gives to
-training texts; without labels of both kinds every score is 0; repeated rows each get a row; null ids pass
-through; other columns are ignored unless named in ``keep``.
+training texts; without labels of both kinds every score is 0; very long texts and words are read to
+their end; equal texts get equal scores and repeated rows each a row; null ids pass
+through; an empty table gives no rows; columns named in ``keep`` pass unchanged, others are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_texts, table
+from .common import fold, labelled_texts, table, with_score
 
-WINDOW, STRIDE = 16, 8
+WINDOW = 16
 WORDS, GRAMS = 1 << 14, 1 << 15
 WIDTH, HIDDEN = 6, 8
 REMEMBERED = 1 << 18
@@ -40,10 +41,10 @@ STRIP = ".,;:!?\"'()[]|*#$%&"
 
 
 def word_features(word: str) -> tuple[int, list[int]]:
-    """Bucket of a word and buckets of its character 3- and 4-grams, ends marked."""
+    """Bucket of a word and buckets of its character 4- and 5-grams, as bytes, ends marked."""
     bare = word.strip(STRIP)
     marked = f"^{bare}$".encode("utf-8", "surrogatepass")
-    grams = [zlib.crc32(marked[i : i + n]) % GRAMS for n in (3, 4) for i in range(max(0, len(marked) - n + 1))]
+    grams = [zlib.crc32(marked[i : i + n]) % GRAMS for n in (4, 5) for i in range(max(0, len(marked) - n + 1))]
     return zlib.crc32(marked) % WORDS, grams or [zlib.crc32(marked) % GRAMS]
 
 
@@ -131,21 +132,55 @@ class Network:
         return out
 
     def window_logits(self, steps: list[np.ndarray], real: np.ndarray) -> np.ndarray:
-        """Logits of windows: ``steps[t]`` has the projections of word ``t`` of each, ``real`` says which words exist."""
-        n = len(real)
-        states = np.zeros((n, WINDOW, 2 * HIDDEN), np.float32)
-        h = np.zeros((n, HIDDEN), np.float32)
-        for t in range(WINDOW):
-            h = cell(steps[t][:, : 3 * HIDDEN], h, self.p["uf"])[0]
-            states[:, t, :HIDDEN] = h
-        h = np.zeros((n, HIDDEN), np.float32)
-        for t in reversed(range(WINDOW)):
-            h = cell(steps[t][:, 3 * HIDDEN :], h, self.p["ub"])[0] * real[:, t, None]
-            states[:, t, HIDDEN:] = h
-        both = states.reshape(-1, 2 * HIDDEN) @ np.stack([self.p["attend"], self.p["out"]], axis=1).astype(np.float32)
-        e, value = np.where(real, both[:, 0].reshape(n, WINDOW), -1e9), both[:, 1].reshape(n, WINDOW)
-        weight = np.exp(e - e.max(axis=1, keepdims=True))
-        return (weight * value).sum(axis=1) / weight.sum(axis=1) + self.p["bias"][0]
+        """Logits of windows: ``steps[t]`` has the projections of word ``t`` of each, ``real`` says which words exist.
+
+        Works on one row a hidden unit; best with ``steps`` that are transposed views of such rows.
+        """
+        n, there = len(real), np.ascontiguousarray(real.T)
+        scores = np.zeros((2, WINDOW, n), np.float32)
+        weights = np.stack([self.p["attend"], self.p["out"]]).astype(np.float32)
+        for at, way, order in ((0, "f", range(WINDOW)), (1, "b", range(WINDOW - 1, -1, -1))):
+            u, read = np.ascontiguousarray(self.p[f"u{way}"].T), np.ascontiguousarray(weights[:, at * HIDDEN : (at + 1) * HIDDEN])
+            h, work = np.zeros((HIDDEN, n), np.float32), [np.empty((k * HIDDEN, n), np.float32) for k in (3, 2, 1, 1)]
+            for t in order:
+                step_in_place(steps[t].T[3 * HIDDEN * at : 3 * HIDDEN * (at + 1)], h, u, *work)
+                if at:
+                    h *= there[t]
+                scores[:, t] += read @ h
+        e = np.where(there, scores[0], np.float32(-1e9))
+        e -= e.max(axis=0)
+        weight = np.exp(e, out=e)
+        return (weight * scores[1]).sum(axis=0) / weight.sum(axis=0) + self.p["bias"][0]
+
+
+def step_in_place(x: np.ndarray, h: np.ndarray, u: np.ndarray, hu: np.ndarray, gates: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """:func:`cell` for scoring: units in rows, the state ``h`` replaced, the last four arrays for intermediate values."""
+    n = HIDDEN
+    np.matmul(u, h, out=hu)
+    np.add(x[: 2 * n], hu[: 2 * n], out=gates)
+    gates *= 0.25
+    gates += 0.5
+    np.maximum(gates, 0, out=gates)
+    np.minimum(gates, 1, out=gates)
+    np.multiply(gates[n:], hu[2 * n :], out=a)
+    a += x[2 * n :]
+    np.abs(a, out=b)
+    b += 1
+    a /= b
+    a -= h
+    a *= gates[:n]
+    h += a
+
+
+def every_start(network: Network, table: np.ndarray, stream: np.ndarray) -> np.ndarray:
+    """Logits of the windows at every start of ``stream``, whose words have their projections in ``table``; word 0 is none."""
+    found = np.empty(len(stream) - WINDOW + 1, np.float32)
+    for a in range(0, len(found), CHUNK):
+        part = stream[a : a + CHUNK + WINDOW - 1]
+        units, n = np.ascontiguousarray(table[part].T), len(part) - WINDOW + 1
+        real = np.lib.stride_tricks.sliding_window_view(part > 0, WINDOW)
+        found[a : a + n] = network.window_logits([units[:, t : t + n].T for t in range(WINDOW)], real)
+    return found
 
 
 class Reader:
@@ -174,28 +209,26 @@ class Reader:
         return at
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
-        """Greatest window logit of each text; minus infinity without words."""
+        """Greatest window logit of each text; minus infinity without words.
+
+        The texts are laid end to end, short ones filled up to a window, so that word ``t`` of successive windows is a slice.
+        """
         if len(self.number) > REMEMBERED:
             self.forget()
         words = [tokens(t) for t in texts]
         at = self.numbers([w for ws in words for w in ws])
         counts = np.array([len(w) for w in words], np.int64)
-        blocks = np.where(counts > 0, np.maximum(1, -(-(counts - (WINDOW - STRIDE)) // STRIDE)), 0)
-        span = np.where(counts > 0, (blocks - 1) * STRIDE + WINDOW, 0)
+        span = np.where(counts > 0, np.maximum(counts, WINDOW), 0)
         begin = np.cumsum(span) - span
         stream = np.zeros(int(span.sum()), np.int64)
         if not len(stream):
             return np.full(len(texts), -np.inf)
-        place = np.arange(len(at)) + np.repeat(begin - (np.cumsum(counts) - counts), counts)
-        stream[place] = at
-        first = np.repeat(begin, blocks) + STRIDE * (np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-        found = np.empty(len(first), np.float32)
-        for a in range(0, len(first), CHUNK):
-            rows = stream[first[a : a + CHUNK, None] + np.arange(WINDOW)]
-            found[a : a + CHUNK] = self.network.window_logits([self.rows[rows[:, t]] for t in range(WINDOW)], rows > 0)
+        stream[np.arange(len(at)) + np.repeat(begin - (np.cumsum(counts) - counts), counts)] = at
+        found = every_start(self.network, self.rows, stream)
         out = np.full(len(texts), -np.inf)
-        some = np.flatnonzero(blocks)
-        out[some] = np.maximum.reduceat(found, (np.cumsum(blocks) - blocks)[some])
+        some = np.flatnonzero(counts)
+        inside = np.stack([begin[some], begin[some] + span[some] - WINDOW + 1], axis=1).ravel()
+        out[some] = np.maximum.reduceat(np.append(found, -np.inf), inside)[::2]
         return out
 
 
@@ -215,7 +248,7 @@ def windows_to_learn(words: list[np.ndarray], strength: np.ndarray, toxic: np.nd
     rows, target = [], []
     for ids, y in zip(words, toxic):
         padded = np.pad(ids, (0, max(0, WINDOW - len(ids))))
-        starts = np.arange(0, len(padded) - WINDOW + 1, STRIDE // 2)
+        starts = np.arange(len(padded) - WINDOW + 1)
         peak = np.array([strength[padded[s : s + WINDOW]].max() for s in starts])
         best = starts[np.argsort(-peak, kind="stable")[:3]]
         if y:
@@ -280,9 +313,8 @@ def strongest_windows(net: Network, texts: list[np.ndarray], vocabulary: list[st
     table_of[0] = 0
     found, logits = [], []
     for ids in texts:
-        windows = ids[np.arange(0, len(ids) - WINDOW + 1, STRIDE)[:, None] + np.arange(WINDOW)]
-        scored = net.window_logits([table_of[windows[:, t]] for t in range(WINDOW)], windows > 0)
-        found.append(windows[scored.argmax()])
+        scored = every_start(net, table_of, ids)
+        found.append(ids[scored.argmax() : scored.argmax() + WINDOW])
         logits.append(scored.max())
     return np.array(found)[np.argsort(logits)[len(found) // 2 :]]
 
@@ -374,8 +406,7 @@ def score_toxicity(docs: DataFrame, model: dict | None, keep: list[str] | None =
             yield pd.Series(out)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    scored = docs.withColumn("score", F.pandas_udf(run, "double")(F.col("text")))
-    return scored.select(*(["doc_id"] if keep is None else keep), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return with_score(docs, F.pandas_udf(run, "double")(F.col("text")), ["doc_id"] if keep is None else keep, THRESHOLD)
 
 
 def bounded_parts(texts: pd.Series, chars: int = 1 << 20) -> Iterator[list[int]]:
