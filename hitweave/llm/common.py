@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,15 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is
-    set (local tests) a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``; see :func:`shared_folder`.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="hitweave-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a session that is one process (``local[...]``) may lack the setting; it gets a temporary folder. A cluster has to name one.
+    """
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="hitweave-")
+
+
 def fold(doc_id: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string")) % modulus
@@ -34,20 +46,21 @@ def below_fraction(col: Column, fraction: Column) -> Column:
     return (F.pmod(F.xxhash64(col), F.lit(1 << 30)) / F.lit(float(1 << 30))) < fraction
 
 
-def class_sample(df: DataFrame, label: str, per_class: int, max_classes: int = 64) -> DataFrame:
-    """About ``per_class`` rows of each of the ``max_classes`` commonest labels, at most twice as many.
+def class_sample(df: DataFrame, label: str, per_class: int, max_rows: int = 1 << 16) -> DataFrame:
+    """About ``per_class`` rows of each label, at most twice as many; ``max_rows`` (and as many again) bounds all labels together.
 
     Chosen by a hash of ``doc_id``, so that the same rows come out on every
-    run; the counts behind the fractions cover all rows.
+    run; the counts behind the fractions cover all rows. With more than ``max_rows / per_class`` labels each gets
+    fewer rows, with more than ``max_rows`` the commonest get one.
     """
-    counts = df.groupBy(label).count().orderBy(F.desc("count"), F.asc(label)).limit(max_classes).collect()
+    counts = df.groupBy(label).count().orderBy(F.desc("count"), F.asc(label)).limit(max_rows).collect()
     if not counts:
         return df.limit(0)
-    pick = F.lit(False)
-    for row in counts:
-        wanted = F.lit(min(1.0, per_class / row["count"]))
-        pick = pick | ((F.col(label) == F.lit(row[label])) & below_fraction(F.col("doc_id"), wanted))
-    return df.filter(pick).limit(2 * per_class * len(counts))
+    each = min(per_class, max(1, max_rows // len(counts)))
+    kind = df.select(label).schema[0].dataType.simpleString()
+    shares = df.sparkSession.createDataFrame([(row[label], min(1.0, each / row["count"])) for row in counts], f"_of {kind}, _share double")
+    met = df.join(F.broadcast(shares), F.col(label) == F.col("_of"))  # at most max_rows rows
+    return met.filter(below_fraction(F.col("doc_id"), F.col("_share"))).select(df.columns).limit(2 * each * len(counts))
 
 
 def labelled_texts(
@@ -56,17 +69,24 @@ def labelled_texts(
     """A bounded sample of labelled texts for the driver, in a fixed order.
 
     Labels come only from rows where ``train`` holds; a document labelled twice
-    takes its largest label. Texts above ``max_chars`` stay out of the sample.
+    takes its largest label, a repeated id its least text. Texts above ``max_chars`` stay out of the sample.
     """
     known = labels.filter(train & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     picked = class_sample(known, "label", per_class)
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.char_length("text") <= max_chars))
-    rows = texts.join(F.broadcast(picked), "doc_id").collect()
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], [r["label"] for r in rows]
 
 
+def with_score(docs: DataFrame, score: Column, keep: list[str], threshold: float) -> DataFrame:
+    """The ``keep`` columns of ``docs``, unchanged, then ``score`` and ``predicted``; columns so named are not kept."""
+    kept = [c for c in keep if c not in ("score", "predicted")]
+    made = docs.select(F.struct(*kept).alias("row"), score.alias("score"))
+    return made.select(*[F.col(f"row.`{c}`") for c in kept], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
 def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, parts: int = 1000) -> DataFrame:
     """Join every row to its key's only row in ``groups``, which has the key's row count in ``size``.
 

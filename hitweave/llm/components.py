@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import durable
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of an edge table ``a, b`` of longs; ``root`` is the least node reachable.
 
     Each round hangs every node's larger neighbours, then its smaller ones,
@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     links = durable(_undirected(edges).distinct())
     if links.isEmpty():
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    for _ in range(max_rounds):
+    while True:  # every round but the last changes an edge towards smaller ends
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -32,8 +32,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         links = after
         if change == 0:
             break
-    else:
-        raise RuntimeError("components did not settle")
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     tops = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return roots.unionByName(tops)

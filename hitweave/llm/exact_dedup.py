@@ -72,16 +72,17 @@ def _verdict(found: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, salts: int = 16) -> DataFrame:
     """The rows of ``docs`` that stay, columns unchanged; of rows with equal id and text one stays."""
-    rows = docs.withColumn("_digest", F.sha2(normalised("text"), 256))
-    groups = content_groups(rows.select(F.col("doc_id").alias("_id"), "_digest", normalised("text").alias("_norm")), salts)
-    winners = groups.select("_digest", F.col("keep_id").alias("_keep"))
-    kept = rows.join(winners, (rows["_digest"] == winners["_digest"]) & rows["doc_id"].eqNullSafe(winners["_keep"]), "left_semi")
-    again = docs.groupBy("doc_id").count().filter("count > 1")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_id"), normalised("text").alias("_norm"))
+    rows = rows.withColumn("_digest", F.sha2("_norm", 256))
+    groups = content_groups(rows.select("_id", "_digest", "_norm"), salts)
+    winners = groups.select(F.col("_digest").alias("_of"), F.col("keep_id").alias("_keep"))
+    kept = rows.drop("_norm").join(winners, (F.col("_digest") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_keep")), "left_semi")
+    again = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
     if again.isEmpty():
-        return kept.drop("_digest")
-    unsure = kept.join(again.select(F.col("doc_id").alias("_again")), F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi")
-    sure = kept.join(again.select(F.col("doc_id").alias("_again")), F.col("doc_id").eqNullSafe(F.col("_again")), "left_anti")
-    return sure.unionByName(unsure.dropDuplicates(["doc_id", "_digest"])).drop("_digest")
+        return kept.select("row.*")
+    same = F.col("_id").eqNullSafe(F.col("_again"))
+    sure, unsure = kept.join(again, same, "left_anti"), kept.join(again, same, "left_semi")
+    return sure.unionByName(unsure.dropDuplicates(["_id", "_digest"])).select("row.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,14 @@ Every language owns a codeword of +1/-1 bits. One linear classifier per bit,
 over hashed character n-grams (as UTF-8 bytes of the lower-cased text),
 predicts that bit. Decoding weighs each bit's logistic loss by how reliable the
 bit proved on the training rows, and takes the codeword with the least loss;
-a small lead over the runner-up flags the answer as ambiguous.
+a small lead over the runner-up flags the answer as ambiguous. A text whose bits are hardly better than
+coin tosses (its least loss above ``COIN`` of theirs) and ambiguous besides is flagged as undecided: no learned language fits.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0.
-Without any labelled row every text is ``und``. Repeated rows each get a
-row; null ids pass through; other columns are ignored unless named in ``keep``.
+Without any labelled row every text is ``und``. Of languages whose codewords are equally near, the first by name is
+taken and the answer is ambiguous. Very long texts are counted whole, piece by piece. Repeated rows each get a
+row; null ids pass through; an empty table gives no rows; columns named in ``keep`` pass unchanged (but for those that are
+made), others are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from .common import class_sample, fold, table
 
 BUCKETS = 1 << 13
 PIECE = 1 << 20
+COIN = 0.75 * float(np.log(2))
 
 
 def codewords(n_classes: int, seed: int = 7) -> np.ndarray:
@@ -37,7 +41,7 @@ def codewords(n_classes: int, seed: int = 7) -> np.ndarray:
         return np.array(columns, np.float32).T
     rng, width = np.random.default_rng(seed), int(np.ceil(10 * np.log2(n_classes)))
     best, spread = None, -1
-    for _ in range(200):
+    for _ in range(200 if n_classes <= 256 else 2):
         code = rng.choice(np.array([-1, 1], np.float32), size=(n_classes, width))
         distance = (width - code @ code.T) / 2
         np.fill_diagonal(distance, width)
@@ -93,16 +97,17 @@ class EcocModel:
         bit_loss = np.logaddexp(0, -margin[:, None, :] * self.code[None])
         return (bit_loss * self.trust).sum(axis=2) / self.trust.sum(axis=1)
 
-    def decode(self, features: np.ndarray, slack: float) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def decode(self, features: np.ndarray, slack: float) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, and whether the answer is ambiguous and undecided, for each row."""
         loss = self.losses(features)
         order = np.argsort(loss, axis=1, kind="stable")
         best = order[:, 0]
         likely = np.exp(-4.0 * (loss - loss.min(axis=1, keepdims=True)))
         score = likely[np.arange(len(loss)), best] / likely.sum(axis=1)
         if loss.shape[1] == 1:
-            return [self.languages[0]] * len(loss), np.ones(len(loss)), np.zeros(len(loss), bool)
+            return [self.languages[0]] * len(loss), np.ones(len(loss)), *np.zeros((2, len(loss)), bool)
         lead = loss[np.arange(len(loss)), order[:, 1]] - loss[np.arange(len(loss)), best]
-        return [self.languages[k] for k in best], score, lead < slack
+        return [self.languages[k] for k in best], score, lead < slack, (lead < 2 * slack) & (loss.min(axis=1) > COIN)
 
 
 def train(texts: list[str], langs: list[str], steps: int = 120, rate: float = 30.0) -> EcocModel | None:
@@ -128,7 +133,7 @@ def train(texts: list[str], langs: list[str], steps: int = 120, rate: float = 30
 def fit(docs: DataFrame, per_language: int = 300, max_chars: int = 20_000) -> EcocModel | None:
     """Train on about ``per_language`` rows a language with non-null ``lang`` and ``text``.
 
-    The sample is bounded by ``per_language`` rows, ``max_chars`` a text and 64 languages.
+    The sample is bounded by ``per_language`` rows, ``max_chars`` a text and 2^16 rows of all languages together (twice that at most).
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     sized = known.select("doc_id", "lang", "text").filter(F.char_length("text") <= max_chars)
@@ -140,11 +145,12 @@ def fit(docs: DataFrame, per_language: int = 300, max_chars: int = 20_000) -> Ec
 def identify(
     docs: DataFrame, model: EcocModel | None, keep: list[str] | None = None, slack: float = 0.05
 ) -> DataFrame:
-    """``keep`` columns and ``lang_pred, score, ambiguous`` for every row of ``docs``."""
-    keep = ["doc_id"] if keep is None else keep
-    kind = F.pandas_udf(_identifier(model, slack), "lang_pred string, score double, ambiguous boolean")
-    found = docs.withColumn("_found", kind(F.col("text")))
-    return found.select(*keep, "_found.lang_pred", "_found.score", "_found.ambiguous")
+    """``keep`` columns and ``lang_pred, score, ambiguous, undecided`` for every row of ``docs``."""
+    made = ("lang_pred", "score", "ambiguous", "undecided")
+    kept = [c for c in (["doc_id"] if keep is None else keep) if c not in made]
+    kind = F.pandas_udf(_identifier(model, slack), "lang_pred string, score double, ambiguous boolean, undecided boolean")
+    found = docs.select(F.struct(*kept).alias("row"), kind(F.col("text")).alias("found"))
+    return found.select(*[F.col(f"row.`{c}`") for c in kept], *[F.col(f"found.{c}") for c in made])
 
 
 def _identifier(model: EcocModel | None, slack: float):
@@ -152,13 +158,14 @@ def _identifier(model: EcocModel | None, slack: float):
         for texts in batches:
             n = len(texts)
             lang, score = np.full(n, "und", object), np.zeros(n)
-            unsure = np.ones(n, bool)
+            unsure, lost = np.ones((2, n), bool)
+            step = max(1, min(256, (1 << 22) // model.code.size)) if model else 1
             worth = [i for i, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))]
-            for at in range(0, len(worth) if model else 0, 256):
-                part = worth[at : at + 256]
-                names, scores, ambiguous = model.decode(ngram_counts([texts.iloc[i] for i in part]), slack)
-                lang[part], score[part], unsure[part] = names, scores, ambiguous
-            yield pd.DataFrame({"lang_pred": lang, "score": score, "ambiguous": unsure})
+            for at in range(0, len(worth) if model else 0, step):
+                part = worth[at : at + step]
+                names, scores, ambiguous, undecided = model.decode(ngram_counts([texts.iloc[i] for i in part]), slack)
+                lang[part], score[part], unsure[part], lost[part] = names, scores, ambiguous, undecided
+            yield pd.DataFrame({"lang_pred": lang, "score": score, "ambiguous": unsure, "undecided": lost})
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return run

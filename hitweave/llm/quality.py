@@ -7,8 +7,9 @@ dictionary, and the summed sizes give the normalised difference
 the normalised size itself (text that repeats is short under any dictionary), into the probability of good quality.
 
 Defined results: a null or empty text has no bytes and gets the share of good
-among the training labels (one half without any label); repeated rows each get a row; null ids
-pass through; other columns are ignored unless named in ``keep``.
+among the training labels (one half without labels of both kinds); very long texts are read to their
+end, block by block; equal texts get equal scores and repeated rows each a row; null ids
+pass through; an empty table gives no rows; columns named in ``keep`` pass unchanged, others are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_texts, table
+from .common import fold, labelled_texts, table, with_score
 
 BLOCK = 2048
 LEVEL = 3
@@ -114,8 +115,7 @@ def score_quality(docs: DataFrame, model: QualityModel | None, keep: list[str] |
             yield pd.Series(model.score(np.array([scales.weigh(t) for t in texts])))
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    scored = docs.withColumn("score", F.pandas_udf(run, "double")(F.col("text")))
-    return scored.select(*(["doc_id"] if keep is None else keep), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return with_score(docs, F.pandas_udf(run, "double")(F.col("text")), ["doc_id"] if keep is None else keep, THRESHOLD)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,9 @@ radius. In a tile numpy compares all with exclusive-or and bit counts, but
 only a spanning forest of the links leaves it.
 
 Defined results: a null text counts as empty, with fingerprint zero, and
-links like any other; repeated rows keep their row each; null ids never name
-a component unless all ids of it are null; an empty table gives no rows.
+links like any other; very long texts are read whole; repeated rows keep their row each in :func:`near_duplicates`, while
+:func:`keep_representatives` keeps one; null ids never name
+a component unless all ids of it are null; other columns are ignored, or kept as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -144,12 +145,8 @@ def _tile_comparer(radius: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, tile: int = 2048, similar: tuple[int, float] | None = None) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row; a component is named by its least id.
-
-    ``similar``, a shingle width and a least similarity, also links all texts whose shingle sets are that similar.
-    """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+def grouped_fingerprints(texts: DataFrame, width: int, radius: int, tile: int, similar: tuple[int, float] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``doc_id, _text``: all rows' ``doc_id, fp``; each ``fp`` with its ``root``, ``least`` id and ``rows``; each root with its ``component_id``."""
     if similar:
         from . import near_copies
 
@@ -163,15 +160,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         marked = marked.select("doc_id", "fp")
     roots = connected_components(edges)
     grouped = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
-    named = durable(grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
-    owner = durable(lookup(grouped, named, "root", "members", classes.count()).select("fp", "component_id", "rows"))
+    return marked, grouped, durable(grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, tile: int = 2048, similar: tuple[int, float] | None = None) -> DataFrame:
+    """``doc_id, fp, component_id`` of every row; a component is named by its least id.
+
+    ``similar``, a shingle width and a least similarity, also links all texts whose shingle sets are that similar.
+    """
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    marked, grouped, named = grouped_fingerprints(texts, width, radius, tile, similar)
+    owner = durable(lookup(grouped, named, "root", "members", grouped.count()).select("fp", "component_id", "rows"))
     return lookup(marked, owner, "fp", "rows", marked.count()).select("doc_id", "fp", "component_id")
 
 
-def keep_representatives(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, columns unchanged."""
-    chosen = near_duplicates(docs, **settings).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["kept"]), "left_semi")
+def keep_representatives(docs: DataFrame, width: int = 3, radius: int = 2, tile: int = 2048, similar: tuple[int, float] | None = None) -> DataFrame:
+    """One row of ``docs`` a component, columns unchanged: that of the least id; of rows that share it, that of the least text hash.
+
+    A null id is greater than all others.
+    """
+    mark = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    *_, named = grouped_fingerprints(docs.select(mark.alias("doc_id"), F.col("text").alias("_text")), width, radius, tile, similar)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), mark.alias("mark"))
+    best = named.select(F.col("component_id.id").alias("_id"), F.col("component_id.text").alias("_hash"))
+    kept = rows.join(best, F.col("mark.id").eqNullSafe(F.col("_id")) & (F.col("mark.text") == F.col("_hash")), "left_semi")
+    again = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
+    if again.isEmpty():
+        return kept.select("row.*")
+    same = F.col("mark.id").eqNullSafe(F.col("_again"))
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["mark"])).select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
