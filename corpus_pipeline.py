@@ -2,28 +2,34 @@
 
 ``run`` applies ``STAGES`` to ``documents``. All stages but the last return the
 columns of ``documents``; the last returns the token digests of what was kept.
-Stages write under the session's ``spark.checkpoint.dir``, or a temporary folder where none is set.
+Stages write under the session's ``spark.checkpoint.dir`` (a session in one process may lack it and gets a temporary folder); a run
+leaves its stages there for its result, which is read from the last of them.
+
+Defined results: a document goes in the first stage if its text is null, has no letter or fits no learned language; of equal
+texts and of near copies the least id stays, a null id only without another; of repeated rows one stays; very long texts are
+processed whole; extra columns pass all stages but the last unchanged; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitweave.llm import bpe, exact_dedup, language_id, mixing, simhash
+from hitweave.llm.common import shared_folder
 
 #: Words a shingle and least similarity of near copies.
 NEAR = (5, 0.8)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that could be told; texts that are null or have no letter go."""
+    """Documents in a language that could be told; texts that are null, have no letter or fit no learned language go."""
     model = language_id.fit(docs)
-    found = language_id.identify(docs, model, [*docs.columns])
-    return found.filter("lang_pred != 'und'").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    found = language_id.identify(rows, model, ["row"])
+    return found.filter("lang_pred != 'und' AND NOT undecided").select("row.*")
 
 
 def first_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +65,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="hitweave-pipeline-")
-    folder = f"{base}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
