@@ -1,15 +1,15 @@
 """Canonical exact fingerprints of documents, in DataFrame operations only.
 
-A text is made canonical by Unicode normalisation (NFKC), lower-casing and
-folding white space; two chained 64-bit xxhash values make a 128-bit digest. Rows
+A text is made canonical by Unicode normalisation (NFKC), full case folding and
+folding white space (normalisation and case folding are those of ICU, whose jar comes with Spark); two chained 64-bit xxhash values make a 128-bit digest. Rows
 are grouped by digest, and inside each digest shared by several rows the
 canonical bytes are compared: if they differ, the distinct contents are
 numbered in byte order and the number becomes part of the fingerprint.
 
-Defined results: a null text counts as empty; rows with equal ids stay apart
-and follow each other by text; a null id comes last; one document alone is its
-own next document; an empty table gives no rows. Other columns are ignored
-unless named.
+Defined results: a null text counts as empty; very long texts are digested whole; rows with equal ids stay apart
+and follow each other by a hash of their text; a null id comes last; one document alone is its
+own next document; an empty table gives no rows. :func:`fingerprint_documents` keeps all columns but one with the
+name of the fingerprint.
 """
 
 from __future__ import annotations
@@ -25,9 +25,13 @@ MAX_RANGES = 1 << 15
 
 
 def canonical(text: Column) -> Column:
-    """NFKC, lower case, single spaces, no outer spaces."""
-    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    return F.trim(F.regexp_replace(F.lower(composed), WHITE, " "))
+    """NFKC, folded case, single spaces, no outer spaces."""
+
+    def composed(x: Column) -> Column:
+        return F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(True))
+
+    folded = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed(text), F.lit(True))
+    return F.trim(F.regexp_replace(composed(folded), WHITE, " "))
 
 
 def with_digest(rows: DataFrame, text: str, name: str) -> DataFrame:
@@ -82,32 +86,51 @@ def name_contents(rows: DataFrame, numbered: DataFrame, digest: str, name: str)
 
 def fingerprint_documents(docs: DataFrame, text_col: str = "text", name: str = "fingerprint") -> DataFrame:
     """All columns of ``docs`` and its fingerprint: equal exactly for texts of equal canonical form."""
-    rows = with_digest(docs, text_col, "_d")
-    texts = rows.select(F.col("_d").alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shared = durable(shared_digests(texts))
-    return name_contents(rows, clashes(candidates(texts, shared), shared), "_d", name).drop("_d")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = with_digest(packed, "text", "d")
+    shared = durable(shared_digests(rows))
+    found = name_contents(rows, clashes(candidates(rows.select("d", "text"), shared), shared), "d", "_made")
+    return found.select(*[F.col(f"row.`{c}`") for c in docs.columns if c != name], F.col("_made").alias(name))
+
+
+def id_ranges(rows: DataFrame, id_col: str, tie: str, rows_per_range: int) -> DataFrame:
+    """Adds ``_range``, which rises with falling ``id_col``, nulls last, and then with the long ``tie``; about ``rows_per_range`` rows each.
+
+    Ranges are of equal width in the id first. Any that is too full, because ids are uneven, repeated or null, is cut again between
+    its own least and greatest id, and inside one id by the tie.
+    """
+    low, high, count = rows.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
+    low, high, size = low or 0, high or 0, max(rows_per_range, -(-count // MAX_RANGES))
+    ranges = max(1, -(-count // size))
+    width = -(-(high - low + 1) // ranges)
+    rows = rows.withColumn("_range", F.coalesce(F.expr(f"({high}L - `{id_col}`) div {width}L"), F.lit(ranges + 1)).cast("long"))
+    for _ in range(3):
+        heads = rows.groupBy("_range").agg(F.min(id_col).alias("_low"), F.max(id_col).alias("_high"), F.count("*").alias("_n"))
+        if ranges == 1 or (heads.agg(F.max("_n")).first()[0] or 0) <= 4 * size:
+            break
+        heads = heads.withColumn("_pieces", F.ceil(F.col("_n") / size)).drop("_n")  # at most twice MAX_RANGES rows
+        before = F.coalesce(F.sum("_pieces").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        met = rows.join(F.broadcast(heads.withColumn("_before", before)), "_range")
+        inside = F.coalesce(F.col("_high") - F.col(id_col), F.lit(0)) + F.shiftrightunsigned(tie, 11).bitwiseXOR(F.lit(1 << 52)) / F.lit(float(1 << 53))
+        piece = F.floor(inside / F.coalesce(F.col("_high") - F.col("_low") + 1, F.lit(1)) * F.col("_pieces"))
+        rows = met.withColumn("_range", F.col("_before") + F.least(piece, F.col("_pieces") - 1)).drop("_low", "_high", "_pieces", "_before")
+    return rows
 
 
 def with_next(rows: DataFrame, id_col: str, text_col: str, rows_per_range: int = 512) -> DataFrame:
     """Each row with ``_next``: a struct of the row with the next smaller id, or of the largest id after the last.
 
-    Ranges of ids of about ``rows_per_range`` rows are ordered apart from each
+    Ranges of ids are ordered apart from each
     other; the last row of a range takes the first row of the next filled
-    range. There are at most ``MAX_RANGES`` ranges, so the table of first rows
-    is bounded; ranges of very uneven ids are slower, never wrong.
+    range. The table of first rows is bounded by twice ``MAX_RANGES``.
     """
-    low, high, count = rows.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
-    low, high = low or 0, high or 0
-    ranges = max(1, min(MAX_RANGES, -(-count // rows_per_range)))
-    width = -(-(high - low + 1) // ranges)
-    place = F.expr(f"({high}L - `{id_col}`) div {width}L")
-    rows = rows.withColumn("_range", F.coalesce(place, F.lit(ranges + 1)).cast("long"))
-    names = [c for c in rows.columns if c != "_range"]
-    order = Window.partitionBy("_range").orderBy(F.desc_nulls_last(id_col), F.asc(text_col))
+    names = rows.columns
+    rows = id_ranges(rows.withColumn("_tie", F.xxhash64(text_col)), id_col, "_tie", rows_per_range)
+    order = Window.partitionBy("_range").orderBy(F.desc_nulls_last(id_col), "_tie", text_col)
     inside = rows.withColumns({f"_after_{c}": F.lead(c).over(order) for c in names} | {"_more": F.lead(F.lit(True)).over(order)})
     tops = rows.groupBy("_range").agg(F.max(id_col).alias("_top")).withColumnRenamed("_range", "_head_of")
     at_top = (F.col("_range") == F.col("_head_of")) & F.col(id_col).eqNullSafe(F.col("_top"))
-    heads = rows.join(F.broadcast(tops), at_top).groupBy("_head_of").agg(F.min_by(F.struct(*names), text_col).alias("_head"))
+    heads = rows.join(F.broadcast(tops), at_top).groupBy("_head_of").agg(F.min_by(F.struct(*names), F.struct("_tie", text_col)).alias("_head"))
     every = Window.orderBy("_head_of")
     wrap = F.min("_head_of").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     follow = tops.select(F.col("_head_of").alias("_range"), F.coalesce(F.lead("_head_of").over(every), wrap).alias("_head_of"))
@@ -130,11 +153,11 @@ def edited_text(text: str, other: str) -> Column:
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their texts edited with the next document's start."""
-    docs = table(spark, sf_dir, "documents")
-    rows = with_digest(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "d")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_digest(docs.withColumn("h", F.xxhash64("text")), "text", "d")
     paired = with_next(rows, "doc_id", "text").withColumn("edited", edited_text("text", "_next.text"))
     marked = durable(with_digest(paired, "edited", "e").select(
-        "doc_id", F.col("_next.doc_id").alias("next_id"), F.char_length("text").cast("long").alias("n_chars"),
+        "doc_id", "h", F.struct("_next.doc_id", "_next.h").alias("next"), F.char_length("text").cast("long").alias("n_chars"),
         F.unhex(F.sha2("edited", 256)).alias("sha"), "d", "e", likeness("d", "_next.d").alias("near_next"),
     ))
     shared = durable(shared_digests(marked.select(F.explode(F.array("d", "e")).alias("d"))))
@@ -148,15 +171,18 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edited_again(rows: DataFrame, marked: DataFrame, shared: DataFrame) -> DataFrame:
-    """``d, text`` of the edited texts whose digest is shared, put together again from the few documents they need."""
+    """``d, text`` of the edited texts whose digest is shared, put together again from the few documents they need.
+
+    A document is found by its id and the hash of its text, so that repeated or null ids do not meet each other.
+    """
     wanted = marked.join(shared, (F.col("e.d1") == shared["d1"]) & (F.col("e.d2") == shared["d2"]), "left_semi")
-    wanted = durable(wanted.select("doc_id", "next_id", "d", "e"))
-    ids = wanted.select(F.explode(F.array("doc_id", "next_id")).alias("id")).select(F.xxhash64("id").alias("_h"))
+    wanted = durable(wanted.select(F.struct("doc_id", "h").alias("mine"), "next", "e").distinct())
+    ids = wanted.select(F.explode(F.array(F.xxhash64("mine"), F.xxhash64("next"))).alias("_h"))
     bits_of, bits = bit_table(ids, "_h", wanted.count() * 2)
-    near = maybe_in(rows.withColumn("_h", F.xxhash64("doc_id")), "_h", bits_of, bits).drop("_h")
-    mine, other = near.select(F.col("doc_id").alias("_a"), F.col("d").alias("_da"), "text"), near.select(F.col("doc_id").alias("_b"), F.col("text").alias("_other"))
-    met = wanted.join(mine, wanted["doc_id"].eqNullSafe(mine["_a"]) & (wanted["d"] == mine["_da"]))
-    met = met.join(other, met["next_id"].eqNullSafe(other["_b"]))
+    key = F.struct("doc_id", "h")
+    near = maybe_in(rows.select(key.alias("_key"), F.xxhash64(key).alias("_h"), "text"), "_h", bits_of, bits).select("_key", "text").distinct()
+    met = wanted.join(near.select(F.col("_key").alias("_mine"), "text"), F.col("mine") == F.col("_mine"))
+    met = met.join(near.select(F.col("_key").alias("_theirs"), F.col("text").alias("_other")), F.col("next") == F.col("_theirs"))
     made = with_digest(met.select("e", edited_text("text", "_other").alias("text")), "text", "_again")
     return made.filter("_again = e").select(F.col("e").alias("d"), "text")
 
