@@ -11,6 +11,9 @@ overlaps count and matches never cross documents.
 2. *Filter.* Only phrases whose trigger occurs in another document can hold a
    repeated passage. Blocks of documents send the hashes of their distinct
    triggers, in packed arrays dealt by hash range, and get back which ones repeat.
+   A trigger in too many different phrases (a common line in ever new surroundings) comes back as
+   hot: each of its passages then is a phrase of its own, whose trigger is the
+   whole passage, and is filtered in the same way. So no group grows with the phrases of one trigger.
 3. *Dictionary and parse.* Blocks send the distinct phrases of repeated triggers, each with
    the least document of the block that holds it. Phrases meet by trigger:
    equal ones collapse (the dictionary) and keep the least document of all (the parse).
@@ -23,8 +26,9 @@ Text is dealt to blocks once; a passage that very many documents share reaches
 a task once a block, not once a document. All comparisons are on bytes; hashes only
 choose where to look.
 
-Defined results: a null text counts as empty; documents with equal ids are not smaller
-than each other; a null id is greater than any other; an empty table gives no rows.
+Defined results: a null text counts as empty; a very long text is one document of one block; documents with equal ids are not smaller
+than each other; rows repeated with equal id and text are worked out once and get a row each; a null id is greater than any
+other; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,12 +37,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
 GRAM = 24
+MANY = 8
 STRIDE = 1 << 17
 LAST = np.iinfo(np.int64).max
 BYTE_HASH = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -88,6 +94,7 @@ class Block:
         order = sorted(range(len(raw)), key=lambda i: (ids[i] is pd.NA, 0 if ids[i] is pd.NA else ids[i], raw[i]))
         self.ids = [ids[i] for i in order]
         self.raw = [raw[i] for i in order]
+        self.copies = pdf["copies"].to_numpy()[order].tolist() if "copies" in pdf else [1] * len(raw)
         self.rank = np.array([LAST if i is pd.NA else i for i in self.ids], np.int64)
         self.sizes = np.array([len(r) for r in self.raw], np.int64)
         self.ends = np.cumsum(self.sizes)
@@ -119,6 +126,29 @@ class Block:
         at = np.flatnonzero(new)
         return h[at], np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at) if len(at) else np.empty(0, bool)
 
+    def phrase_counts(self, triggers: np.ndarray, many: int) -> np.ndarray:
+        """Number of different phrases of each of the sorted distinct ``triggers``, or 0 if there are fewer than ``many``."""
+        at = np.searchsorted(triggers, self.hashes)
+        often = np.flatnonzero((np.bincount(at, minlength=len(triggers)) >= many)[at])
+        first, last = self.first[often].tolist(), (self.last[often] + self.length).tolist()
+        marks = np.fromiter((xxhash.xxh3_64_intdigest(self.data[a:b]) for a, b in zip(first, last)), np.uint64, len(often))
+        found = np.bincount(np.unique(np.stack([at[often].astype(np.uint64), marks]), axis=1)[0].astype(np.int64), minlength=len(triggers))
+        return np.where(found >= many, found, 0)
+
+    def split(self, hot: np.ndarray) -> None:
+        """Makes every passage of a ``hot`` trigger a phrase of its own, with the hash of the passage; the others are left out until :meth:`unite`."""
+        gone = among(self.hashes, np.sort(hot))
+        runs, self.cold = np.flatnonzero(gone), tuple(x[~gone] for x in (self.first, self.last, self.owner, self.hashes))
+        count = self.last[runs] - self.first[runs] + 1
+        starts = ranges_of(self.first[runs], count)
+        digest, n = xxhash.xxh3_64_intdigest, self.length
+        hashes = np.fromiter((digest(self.data[a : a + n]) for a in starts.tolist()), np.uint64, len(starts))
+        self.first, self.last, self.owner, self.hashes = starts, starts, np.repeat(self.owner[runs], count), hashes
+
+    def unite(self) -> None:
+        own = (self.first, self.last, self.owner, self.hashes)
+        self.first, self.last, self.owner, self.hashes = (np.concatenate(x) for x in zip(self.cold, own))
+
     def phrases(self, repeated: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct phrases of repeated triggers in order of hash and bytes.
 
@@ -153,41 +183,100 @@ def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values if len(known) else np.zeros(len(values), bool)
 
 
-def send_triggers(ranges: int, length: int):
+KEYS = "block long, part long, keys binary, shared binary, counts binary"
+FOUND = "doc_id long, copies long, n_bytes long, span_starts array<long>, span_ends array<long>, kept binary"
+TOLD = "block long, part long, flags binary, hot binary, again binary, found binary"
+
+
+def names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=names(schema))
+
+
+def send_triggers(ranges: int, length: int, many: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, shared = Block(pdf, length).distinct_triggers()
-        low, number = h.astype(np.uint32), int(pdf["block"].iloc[0])
-        rows = [(number, r, low[a:b].tobytes(), shared[a:b].tobytes()) for r, a, b in range_slices(h, ranges)]
-        return pd.DataFrame(rows, columns=["block", "part", "keys", "shared"])
+        block = Block(pdf, length)
+        return frame(packed_triggers(block, int(pdf["block"].iloc[0]), ranges, many), KEYS)
 
     return run
 
 
-def repeated_triggers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Which trigger hashes of each block other blocks hold too, or several of its documents."""
-    keys = [np.frombuffer(k, np.uint32) for k in pdf["keys"]]
-    all_keys = np.concatenate(keys)
-    ordered = np.sort(all_keys)
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+def packed_triggers(block: Block, number: int, ranges: int, many: int | None) -> list[tuple]:
+    """Rows of the block's distinct triggers by hash range; with ``many``, also the places and numbers of those in as many phrases."""
+    h, shared = block.distinct_triggers()
+    low, count = h.astype(np.uint32), block.phrase_counts(h, many) if many else np.zeros(len(h), np.int64)
     rows = []
-    for block, part, mine, shared in zip(pdf["block"], pdf["part"], keys, pdf["shared"]):
-        flags = among(mine, twice) | np.frombuffer(shared, bool)
-        if flags.any():
-            rows.append((block, part, np.packbits(flags).tobytes(), b""))
-    return pd.DataFrame(rows, columns=["block", "part", "flags", "found"])
+    for r, a, b in range_slices(h, ranges):
+        at = np.flatnonzero(count[a:b])
+        rows.append((number, r, low[a:b].tobytes(), shared[a:b].tobytes(), np.stack([at, count[a:b][at]]).astype(np.int32).tobytes()))
+    return rows
 
 
-def told_repeats(block: Block, told: pd.DataFrame, ranges: int) -> np.ndarray:
-    """The block's repeated trigger hashes, from what came back."""
+def repeated_triggers(most: int):
+    """Which trigger hashes of each block other blocks hold too, or several of its documents; and which have over ``most`` phrases."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.frombuffer(k, np.uint32) for k in pdf["keys"]]
+        counts = [np.frombuffer(c, np.int32).reshape(2, -1) for c in pdf["counts"]]
+        ordered = np.sort(np.concatenate(keys))
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        often, at = np.unique(np.concatenate([k[c[0]] for k, c in zip(keys, counts)]), return_inverse=True)
+        hot = often[np.bincount(at, np.concatenate([c[1] for c in counts]), len(often)) > most]
+        rows = []
+        for block, part, mine, shared in zip(pdf["block"], pdf["part"], keys, pdf["shared"]):
+            flags, burning = among(mine, twice) | np.frombuffer(shared, bool), among(mine, hot)
+            if flags.any() or burning.any():
+                rows.append((block, part, np.packbits(flags).tobytes(), np.packbits(burning).tobytes() if burning.any() else b"", b"", b""))
+        return frame(rows, TOLD)
+
+    return run
+
+
+def send_passages(ranges: int, length: int):
+    """The passages of a block's hot triggers, as triggers of their own."""
+
+    def run(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        told = told[told["hot"].map(len) > 0]
+        if not len(texts) or not len(told):
+            return frame([], KEYS)
+        block = Block(texts, length)
+        block.split(flagged(block, told, ranges, "hot"))
+        return frame(packed_triggers(block, int(texts["block"].iloc[0]), ranges, None), KEYS)
+
+    return run
+
+
+def repeated_passages(pdf: pd.DataFrame) -> pd.DataFrame:
+    """:func:`repeated_triggers` of passages."""
+    found = repeated_triggers(LAST)(pdf)
+    return found.assign(again=found["flags"], flags=b"")
+
+
+def flagged(block: Block, told: pd.DataFrame, ranges: int, name: str) -> np.ndarray:
+    """The block's trigger hashes whose bit is set in column ``name`` of what came back."""
     h, _ = block.distinct_triggers()
     spans = {r: (a, b) for r, a, b in range_slices(h, ranges)}
     out = [np.empty(0, np.uint64)]
-    for part, flags in zip(told["part"], told["flags"]):
-        a, b = spans[part]
-        out.append(h[a:b][np.unpackbits(np.frombuffer(flags, np.uint8))[: b - a].astype(bool)])
+    for part, flags in zip(told["part"], told[name]):
+        if len(flags):
+            a, b = spans[part]
+            out.append(h[a:b][np.unpackbits(np.frombuffer(flags, np.uint8))[: b - a].astype(bool)])
     return np.concatenate(out)
 
 
+def told_repeats(block: Block, told: pd.DataFrame, ranges: int) -> np.ndarray:
+    """The hashes of the block's phrases that may repeat, from what came back; the passages of hot triggers become phrases."""
+    repeated, hot = flagged(block, told, ranges, "flags"), flagged(block, told, ranges, "hot")
+    if len(hot):
+        block.split(hot)
+        repeated = np.concatenate([np.setdiff1d(repeated, hot), flagged(block, told, ranges, "again")])
+        block.unite()
+    return repeated
+
+
 def send_phrases(ranges: int, length: int):
     def run(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         columns = ["block", "part", "bytes", "sizes", "least"]
@@ -260,20 +349,19 @@ def combine(length: int):
             worth = told[at] < docs[phrase[at]]
             if worth.any():
                 found = np.stack([phrase[at], skip, size, told[at]])[:, worth]
-                rows.append((block, part, b"", found.tobytes()))
-        return pd.DataFrame(rows, columns=["block", "part", "flags", "found"])
+                rows.append((block, part, b"", b"", b"", found.tobytes()))
+        return frame(rows, TOLD)
 
     return run
 
 
 def remove(ranges: int, length: int):
     def run(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        columns = ["doc_id", "n_bytes", "span_starts", "span_ends", "kept"]
         if not len(texts):
-            return pd.DataFrame([], columns=columns)
+            return frame([], FOUND)
         block = Block(texts, length)
         cover = np.zeros(len(block.data) + 1, np.int32)
-        marks = told[told["flags"].map(len) > 0]
+        marks = told[told["found"].map(len) == 0]
         if len(marks):
             phrases, h, least, runs, which = block.phrases(told_repeats(block, marks, ranges))
             count = np.array([len(p) - length + 1 for p in phrases], np.int64)
@@ -292,39 +380,46 @@ def remove(ranges: int, length: int):
             np.add.at(cover, gone + length, -1)
         covered = np.cumsum(cover, dtype=np.int32)[:-1] > 0
         rows = []
-        for doc_id, raw, end in zip(block.ids, block.raw, block.ends.tolist()):
+        for doc_id, copies, raw, end in zip(block.ids, block.copies, block.raw, block.ends.tolist()):
             mine = covered[end - len(raw) : end]
             edges = np.flatnonzero(np.diff(mine, prepend=False, append=False))
             kept = np.frombuffer(raw, np.uint8)[~mine].tobytes() if len(edges) else raw
-            rows.append((doc_id, len(raw), edges[::2], edges[1::2], kept))
-        out = pd.DataFrame(rows, columns=columns)
+            rows.append((doc_id, copies, len(raw), edges[::2], edges[1::2], kept))
+        out = frame(rows, FOUND)
         return out.assign(doc_id=out["doc_id"].astype("Int64"))
 
     return run
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 1 << 22, range_bytes: int = 1 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 1 << 22, range_bytes: int = 1 << 20,
+    hot_phrases: int = 1 << 12, many: int = MANY,
 ) -> DataFrame:
     """Per row: ``doc_id, n_bytes, span_starts, span_ends, kept``: what goes, as byte spans, and the bytes that stay.
 
     ``block_bytes``: text to a block of documents. ``range_bytes``: text whose
-    triggers meet in one hash range. ``length`` is above ``GRAM``.
+    triggers meet in one hash range. ``length`` is above ``GRAM``. A trigger is hot that has over ``hot_phrases`` phrases in
+    the blocks where it has ``many`` or more.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(1).cast("long").alias("copies"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    again = rows.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
+    repeated = not again.isEmpty()
+    if repeated:
+        same = F.col("doc_id").eqNullSafe(F.col("_again"))
+        once = rows.join(again, same, "left_semi").groupBy("doc_id", "text").agg(F.sum("copies").alias("copies"))
+        rows = rows.join(again, same, "left_anti").unionByName(once)
     blocks, ranges = max(1, total // block_bytes), max(1, total // range_bytes)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    keys = dealt.groupBy("block").applyInPandas(send_triggers(ranges, length), "block long, part long, keys binary, shared binary")
-    told = "block long, part long, flags binary, found binary"
-    marks = keys.groupBy("part").applyInPandas(repeated_triggers, told)
-    sent = dealt.groupBy("block").cogroup(marks.groupBy("block")).applyInPandas(
-        send_phrases(ranges, length), "block long, part long, bytes binary, sizes binary, least binary"
-    )
-    answers = sent.groupBy("part").applyInPandas(combine(length), told)
-    return dealt.groupBy("block").cogroup(marks.unionByName(answers).groupBy("block")).applyInPandas(
-        remove(ranges, length), "doc_id long, n_bytes long, span_starts array<long>, span_ends array<long>, kept binary"
-    )
+    by_block = dealt.groupBy("block")
+    marks = by_block.applyInPandas(send_triggers(ranges, length, many), KEYS).groupBy("part").applyInPandas(repeated_triggers(hot_phrases), TOLD)
+    passages = by_block.cogroup(marks.groupBy("block")).applyInPandas(send_passages(ranges, length), KEYS)
+    marks = marks.unionByName(passages.groupBy("part").applyInPandas(repeated_passages, TOLD))
+    sent = by_block.cogroup(marks.groupBy("block")).applyInPandas(send_phrases(ranges, length), "block long, part long, bytes binary, sizes binary, least binary")
+    answers = sent.groupBy("part").applyInPandas(combine(length), TOLD)
+    found = by_block.cogroup(marks.unionByName(answers).groupBy("block")).applyInPandas(remove(ranges, length), FOUND)
+    out = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))) if repeated else found
+    return out.drop("copies", "_copy")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -361,6 +361,32 @@ def test_passages_with_equal_and_null_ids(spark):
     assert found == [(False, len(text)), (False, len(text)), (True, 0)]
 
 
+def test_a_trigger_in_every_document(spark):
+    """A line in ever new surroundings: its triggers are hot, and its passages meet by their own hashes."""
+    rng = random.Random(5)
+    line, texts = "the quick brown fox jumps over the lazy dog and runs on", []
+    for i in range(60):
+        around = "".join(rng.choice("abcdefgh ") for _ in range(120))
+        texts.append(around[:60] + line + around[60:] if i % 5 else texts[-1] if texts else line)
+    rows = [*enumerate(texts), (3, texts[3]), (3, texts[3]), (7, "another " + line), (None, texts[4]), (None, texts[4])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    first = {}
+    for i, t in sorted(((10**9 if i is None else i), t) for i, t in rows)[::-1]:
+        for p in range(len(t) - 49):
+            first[t[p : p + 50]] = i
+    expected = []
+    for i, t in rows:
+        gone = bytearray(len(t))
+        for p in range(len(t) - 49):
+            if first[t[p : p + 50]] < (10**9 if i is None else i):
+                gone[p : p + 50] = b"\1" * 50
+        expected.append((i is None, i or 0, len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), "".join(c for c, g in zip(t, gone) if not g)))
+    for hot, many, block, part in ((2, 2, 700, 400), (1 << 12, 8, 700, 400), (0, 1, 1 << 20, 1 << 20)):
+        found = suffix_dedup.remove_repeats(frame, block_bytes=block, range_bytes=part, hot_phrases=hot, many=many).collect()
+        made = [(r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_bytes - len(r.kept), len(r.span_starts), bytes(r.kept).decode()) for r in found]
+        assert sorted(made) == sorted(expected), (hot, many)
+
+
 def test_strides_change_nothing(spark, monkeypatch):
     import pandas as pd
 
