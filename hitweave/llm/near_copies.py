@@ -2,8 +2,9 @@
 
 Candidates share one of ``BANDS`` bands of ``DEPTH`` MinHash values; a pair of similarity 0.8 shares none with probability
 ``(1 - 0.8**4)**32``, 5e-8, a more similar pair with less. All pairs of a band's bucket are then compared by their whole
-sets. A bucket of over ``tile`` members is first compared with its least member, piece by piece; only where that leaves
-it in more than one component do its pieces meet pairwise, so that a large group of copies costs no square.
+sets. The members of a bucket of over ``tile`` are first compared with its least member, once for all buckets with that least
+member. Where that leaves a bucket in several components, only members of different components meet: those of small components meet all
+others, tile by tile, large components each other, none itself. So a large group of copies costs no square.
 
 Links join SimHash values, the nodes of ``simhash.near_duplicates``: rows with equal SimHash are one already.
 """
@@ -157,16 +158,33 @@ def similar_links(docs: DataFrame, marked: DataFrame, known: DataFrame, simhash_
     sets = durable(sets.groupBy("fp", "sid").agg(F.first("shingles").alias("shingles")))
     node = F.struct("fp", "sid")
     few = members.filter(F.col("n") <= tile).groupBy("bucket").agg(F.collect_list(node).alias("members")).select("members")
-    pieces = members.filter(F.col("n") > tile).withColumn("piece", F.pmod(F.xxhash64("fp", "sid"), F.ceil(F.col("n") / tile)))
-    grouped = durable(pieces.groupBy("bucket", "piece").agg(F.collect_list(node).alias("members"), F.first("pivot").alias("pivot")))
-    stars = grouped.select(F.concat("members", F.array("pivot")).alias("members"))
+    large = members.filter(F.col("n") > tile)
+    pairs = large.select("pivot", node.alias("member")).distinct()  # a group of copies has few least members for all its buckets
+    salts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / tile).alias("salts"))
+    stars = pairs.join(salts, "pivot").groupBy("pivot", F.pmod(F.xxhash64("member"), F.col("salts")).alias("salt")).agg(F.collect_list("member").alias("members"))
+    stars = stars.select(F.concat("members", F.array("pivot")).alias("members"))
     edges = durable(compared(few.unionByName(stars), sets, least).unionByName(known).distinct())
-    if grouped.isEmpty():
+    if large.isEmpty():
         return edges
-    roots = connected_components(edges)
-    parts = grouped.select("bucket", F.explode("members.fp").alias("node")).join(roots, "node", "left").groupBy("bucket")
-    parts = parts.agg(F.min(F.coalesce("root", "node")).alias("low"), F.max(F.coalesce("root", "node")).alias("high")).filter("low != high").select("bucket")
-    left = durable(grouped.join(parts, "bucket").select("bucket", "piece", "members"))
-    right = left.select("bucket", F.col("piece").alias("piece2"), F.col("members").alias("others"))
-    pairs = left.join(right, "bucket").filter("piece <= piece2").select(F.concat("members", "others").alias("members"))
-    return edges.unionByName(compared(pairs, sets, least))
+    return edges.unionByName(compared(across_components(large, connected_components(edges), tile), sets, least))
+
+
+def across_components(large: DataFrame, roots: DataFrame, tile: int) -> DataFrame:
+    """Lists ``members`` that hold, for every bucket of ``large``, all pairs of members of different components."""
+    node = F.struct("fp", "sid")
+    placed = large.select("bucket", "fp", "sid").join(roots, F.col("fp") == F.col("node"), "left").select("bucket", "fp", "sid", F.coalesce("root", "fp").alias("root"))
+    several = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
+    placed = durable(placed.join(several, "bucket"))
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("size")).withColumn("own", F.when(F.col("size") >= tile, F.col("root")))
+    tiles = sizes.groupBy(F.col("bucket").alias("of"), F.col("own").alias("of_own")).agg(F.ceil(F.sum("size") / tile).alias("tiles"))
+    dealt = sizes.join(tiles, (F.col("bucket") == F.col("of")) & F.col("own").eqNullSafe(F.col("of_own"))).select("bucket", "root", "own", "tiles")
+    pieces = placed.join(dealt, ["bucket", "root"]).withColumn("piece", F.pmod(F.xxhash64("fp", "sid"), F.col("tiles")))
+    pieces = durable(pieces.groupBy("bucket", "own", "piece").agg(F.collect_list(node).alias("members")))
+    mixed = pieces.filter("own is null").select("bucket", F.col("piece").alias("mixed"), F.col("members").alias("others"))
+    met = mixed.join(pieces, "bucket").filter("own is not null or piece >= mixed")  # a piece with itself, too
+    owners = pieces.filter("own is not null").select("bucket", "own").distinct()
+    apart = owners.join(owners.withColumnRenamed("own", "own2"), "bucket").filter("own < own2")
+    one = pieces.select("bucket", "own", F.col("members").alias("others"))
+    two = pieces.select("bucket", F.col("own").alias("own2"), "members")
+    big = apart.join(one, ["bucket", "own"]).join(two, ["bucket", "own2"])
+    return met.select(F.concat("others", "members").alias("members")).unionByName(big.select(F.concat("others", "members").alias("members")))
