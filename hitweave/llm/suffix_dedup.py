@@ -78,11 +78,15 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def triggers(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Position and hash of the trigger of the passage at every start of ``data``."""
+    """Position and hash of the trigger of the passage at every start of ``data``.
+
+    Triggers are least hashes and so crowd at small values; mixed once more (one to one), they fill all hash ranges alike.
+    """
     h = gram_hashes(data, gram)
     packed = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     spot = (sliding_min(packed, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return spot, h[spot]
+    even = (h ^ (h >> np.uint64(31))) * MIXER
+    return spot, (even ^ (even >> np.uint64(32)))[spot]
 
 
 class Block:
@@ -99,7 +103,7 @@ class Block:
         self.sizes = np.array([len(r) for r in self.raw], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.data = np.frombuffer(b"".join(self.raw), np.uint8)
-        self.length = length
+        self.length, self.known = length, None
         parts = [self._runs(at) for at in range(0, len(self.data) - length + 1, STRIDE)]
         empty = [np.empty(0, np.int64)] * 3 + [np.empty(0, np.uint64)]
         self.first, self.last, self.owner, self.hashes = (np.concatenate(x) for x in zip(*parts)) if parts else empty
@@ -118,13 +122,17 @@ class Block:
         return starts[first], starts[last], owner[first], h[first]
 
     def distinct_triggers(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct trigger hashes, and which of them several documents of the block hold."""
+        """Sorted distinct trigger hashes, and which of them several documents of the block hold; worked out once for the same phrases."""
+        if self.known is not None and self.known[0] is self.hashes:
+            return self.known[1:]
         order = np.lexsort((self.rank[self.owner], self.hashes))
         h, doc = self.hashes[order], self.rank[self.owner][order]
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         at = np.flatnonzero(new)
-        return h[at], np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at) if len(at) else np.empty(0, bool)
+        shared = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at) if len(at) else np.empty(0, bool)
+        self.known = (self.hashes, h[at], shared)
+        return h[at], shared
 
     def phrase_counts(self, triggers: np.ndarray, many: int) -> np.ndarray:
         """Number of different phrases of each of the sorted distinct ``triggers``, or 0 if there are fewer than ``many``."""
