@@ -139,14 +139,20 @@ class Network:
         n, there = len(real), np.ascontiguousarray(real.T)
         scores = np.zeros((2, WINDOW, n), np.float32)
         weights = np.stack([self.p["attend"], self.p["out"]]).astype(np.float32)
+        full = bool(there.all())
         for at, way, order in ((0, "f", range(WINDOW)), (1, "b", range(WINDOW - 1, -1, -1))):
-            u, read = np.ascontiguousarray(self.p[f"u{way}"].T), np.ascontiguousarray(weights[:, at * HIDDEN : (at + 1) * HIDDEN])
-            h, work = np.zeros((HIDDEN, n), np.float32), [np.empty((k * HIDDEN, n), np.float32) for k in (3, 2, 1, 1)]
+            read = weights[:, at * HIDDEN : (at + 1) * HIDDEN]
+            u = np.concatenate([self.p[f"u{way}"].T, read]).astype(read.dtype)  # a step also reads the state it starts from
+            h, work = np.zeros((HIDDEN, n), np.float32), [np.empty((k, n), np.float32) for k in (3 * HIDDEN + 2, 2 * HIDDEN, HIDDEN, HIDDEN)]
+            before = None
             for t in order:
                 step_in_place(steps[t].T[3 * HIDDEN * at : 3 * HIDDEN * (at + 1)], h, u, *work)
-                if at:
+                if before is not None:
+                    scores[:, before] += work[0][3 * HIDDEN :]
+                if at and not full:
                     h *= there[t]
-                scores[:, t] += read @ h
+                before = t
+            scores[:, before] += read @ h
         e = np.where(there, scores[0], np.float32(-1e9))
         e -= e.max(axis=0)
         weight = np.exp(e, out=e)
@@ -154,15 +160,14 @@ class Network:
 
 
 def step_in_place(x: np.ndarray, h: np.ndarray, u: np.ndarray, hu: np.ndarray, gates: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """:func:`cell` for scoring: units in rows, the state ``h`` replaced, the last four arrays for intermediate values."""
+    """:func:`cell` for scoring: units in rows, the state ``h`` replaced, the last four arrays for intermediate values; ``u`` may have more rows."""
     n = HIDDEN
     np.matmul(u, h, out=hu)
     np.add(x[: 2 * n], hu[: 2 * n], out=gates)
     gates *= 0.25
     gates += 0.5
-    np.maximum(gates, 0, out=gates)
-    np.minimum(gates, 1, out=gates)
-    np.multiply(gates[n:], hu[2 * n :], out=a)
+    np.clip(gates, 0, 1, out=gates)
+    np.multiply(gates[n:], hu[2 * n : 3 * n], out=a)
     a += x[2 * n :]
     np.abs(a, out=b)
     b += 1
