@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -100,19 +101,23 @@ def stateless(graph: dict[str, Trigger], name: str) -> dict[tuple[int, int], int
 def multiplicity_anchors(hits: DataFrame, keys: dict, minimum: int, window_ns: float) -> DataFrame:
     """Hits on ``keys`` with at least ``minimum`` distinct channels in the trailing window, both ends included.
 
-    Hits are copied to the next time bucket as history, which makes the bounded
-    frame exact inside each bucket.
+    Hits are copied to the next time bucket as history, which makes the window
+    exact inside each bucket; one running maximum a channel holds its last time.
     """
     listed = hits.filter(is_channel(keys))
     own = bucket("timestamp_ns", window_ns)
     dealt = listed.withColumn("_b", F.explode(F.array(own, own + 1))).withColumn("_home", F.col("_b") == own)
-    frame = f"PARTITION BY _b ORDER BY timestamp_ns RANGE BETWEEN {float(window_ns)}D PRECEDING AND CURRENT ROW"
-    seen = dealt.withColumn("_n", F.expr(f"size(collect_set(module * 256 + channel) OVER ({frame}))"))
-    return seen.filter(F.col("_home") & (F.col("_n") >= minimum)).drop("_b", "_home", "_n")
+    so_far = Window.partitionBy("_b").orderBy("timestamp_ns").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    lasts = [F.max(F.when((F.col("module") == m) & (F.col("channel") == c), F.col("timestamp_ns"))).over(so_far) for m, c in keys]
+    seen = dealt.withColumn("_lasts", F.array(*lasts))
+    met = F.size(F.filter("_lasts", lambda t: t >= F.col("timestamp_ns") - F.lit(float(window_ns))))
+    return seen.filter(F.col("_home") & (met >= minimum)).drop("_b", "_home", "_lasts")
 
 
 def anchors(hits: DataFrame, triggers: list[Trigger], root: str, window_ns: float) -> DataFrame:
     """Hits that fire the root trigger."""
+    if not triggers:
+        return hits.limit(0)  # no trigger, no event: the input is not read
     graph = validate(triggers, root, window_ns)
     out = hits.filter(is_channel(stateless(graph, root)))
     parts = stateful(graph, root, window_ns)
@@ -162,21 +167,26 @@ def nested_events(members: DataFrame, ac_pairs: dict[tuple[int, int], tuple[int,
     return rows.withColumn("hits", F.transform("hits", full)).withColumn("multiplicity", F.size("hits").cast("long"))
 
 
-def build_priority(triggers: DataFrame, hits: DataFrame, window_ns: float, priority: Column) -> DataFrame:
+def priorities(triggers: list[Trigger], root: str, window_ns: float) -> dict[tuple[int, int], int]:
+    """Priority number of every channel under ``root``: the order in which a depth-first walk first reaches it."""
+    reached = expand(validate(triggers, root, window_ns), root)
+    return {key: n for n, (key, _) in enumerate(sorted(reached.items(), key=lambda item: item[1]))}
+
+
+def build_priority(triggers: DataFrame, hits: DataFrame, window_ns: float, priority: Column, levels: int) -> DataFrame:
     """Trigger-centred events: a trigger is dropped if an earlier one within the window has a priority number at most its own.
 
     Windows may overlap, so a hit can belong to several events. Earlier means
-    earlier in the total order; triggers that are themselves dropped still suppress.
+    earlier in the total order; triggers that are themselves dropped still suppress. Priorities are 0 to ``levels - 1``: one running
+    maximum a level holds the last time of triggers up to it, so a burst costs no more than its rows.
     """
-    own = triggers.withColumn("priority", priority)
     w = float(window_ns)
-    dealt = own.withColumn("_b", F.explode(F.array(bucket("timestamp_ns", w), bucket("timestamp_ns", w) + 1)))
-    dealt = dealt.withColumn("_home", F.col("_b") == bucket("timestamp_ns", w)).withColumn("_key", F.struct(*ORDER))
-    frame = f"PARTITION BY _b ORDER BY timestamp_ns RANGE BETWEEN {w}D PRECEDING AND CURRENT ROW"
-    before = F.expr(f"collect_list(struct(priority, _key)) OVER ({frame})")
-    kept = dealt.withColumn("_before", before)
-    kept = kept.filter(F.col("_home") & ~F.exists("_before", lambda e: (e["priority"] <= F.col("priority")) & (e["_key"] < F.col("_key"))))
-    kept = kept.drop("_b", "_home", "_key", "_before", "_range")
+    own = bucket("timestamp_ns", w)
+    dealt = triggers.withColumn("priority", priority).withColumn("_b", F.explode(F.array(own, own + 1))).withColumn("_home", F.col("_b") == own)
+    before = Window.partitionBy("_b").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    lasts = F.array(*[F.max(F.when(F.col("priority") <= p, F.col("timestamp_ns"))).over(before) for p in range(levels)])
+    last = F.get("_lasts", F.col("priority"))
+    kept = dealt.withColumn("_lasts", lasts).filter(F.col("_home") & (last.isNull() | (last < F.col("timestamp_ns") - F.lit(w)))).drop("_b", "_home", "_lasts")
     events = dense_number(kept, "timestamp_ns", ORDER, "event_no").select(
         "event_no", F.col("timestamp_ns").alias("trigger_time"), F.col("module").alias("trigger_module"), F.col("channel").alias("trigger_channel"),
         (F.col("timestamp_ns") - F.lit(w)).alias("window_start"), (F.col("timestamp_ns") + F.lit(w)).alias("window_end"),
@@ -250,16 +260,44 @@ def vetoed(f: Filter) -> Column:
     return F.exists(triggers, lambda h: F.exists(vetoes, lambda v: F.abs(h["relative_time"] - v["relative_time"]) <= f.window_ns))
 
 
+NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+
+
+def validate_filters(filters: list[Filter]) -> None:
+    """Raises on double or bad names, unknown or cyclic references, and a list without an accept."""
+    known = {f.name: f for f in filters}
+    if len(known) != len(filters):
+        raise ValueError("filter names are not unique")
+    if not any(f.kind == "accept" for f in filters):
+        raise ValueError("at least one accept is needed")
+    for f in filters:
+        if not NAME.fullmatch(f.name):
+            raise ValueError(f"{f.name!r} is not a name")
+        for m in f.monitor:
+            if m not in known:
+                raise ValueError(f"{f.name!r} refers to {m!r}, which is not listed")
+    open_nodes = {f.name: set(f.monitor) for f in filters}
+    while free := [n for n, refs in open_nodes.items() if not refs & open_nodes.keys()]:
+        for n in free:
+            del open_nodes[n]
+    if open_nodes:
+        raise ValueError(f"filters refer to each other in a circle: {sorted(open_nodes)}")
+
+
+def number_kept(events: DataFrame) -> DataFrame:
+    """The kept events only, ``event_no`` dense and in the order of trigger times."""
+    order = ["trigger_time", "trigger_module", "trigger_channel", "_was"]
+    kept = events.filter("keep").withColumnRenamed("event_no", "_was")
+    return dense_number(kept, "trigger_time", order, "event_no").drop("_was").select("event_no", *[c for c in events.columns if c != "event_no"])
+
+
 def evaluate_filters(events: DataFrame, filters: list[Filter], tags: dict[tuple[int, int], set[str]]) -> DataFrame:
     """Adds a LONG per counter, a BOOLEAN per other node, ``accepted`` names and ``keep``; ``events`` has ``hits``.
 
     A flag reads an earlier counter, else an earlier flag as 0 or 1, else 0. An
     accept reads earlier flags only. ``ac_veto`` is true when the pair is seen.
     """
-    if not any(f.kind == "accept" for f in filters):
-        raise ValueError("at least one accept is needed")
-    if len({f.name for f in filters}) != len(filters):
-        raise ValueError("filter names are not unique")
+    validate_filters(filters)
     counters: set[str] = set()
     flags: set[str] = set()
     for f in filters:

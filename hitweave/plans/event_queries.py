@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.events import ORDER, Filter, Trigger, anchors, build_events, build_priority, evaluate_filters, event_hits, nested_events, slices
+from ..operators.events import ORDER, Filter, Trigger, anchors, build_events, build_priority, evaluate_filters, event_hits, nested_events, number_kept, priorities, slices
 from ..sources.hits import CHANNEL_DIM_SQL, HITS_SQL, hits
 
 W = 60e9
@@ -76,8 +76,9 @@ def event_hits_flat(spark, d):
 
 def event_build_priority(spark, d):
     rows = hits(spark, d)
-    triggers = rows.filter("channel = 0")
-    found = build_priority(triggers, rows, 300e9, F.col("module"))
+    order = priorities(CLICK, "any", W)
+    number = F.coalesce(*[F.when((F.col("module") == m) & (F.col("channel") == c), F.lit(p)) for (m, c), p in order.items()])
+    found = build_priority(anchors(rows, CLICK, "any", W), rows, 300e9, number, len(order))
     return found.select("event_no", "trigger_time", "trigger_module", "event_id", "relative_time")
 
 
@@ -94,7 +95,7 @@ def event_slices(spark, d):
 FILTERS = [
     Filter("n_si", "counter", tags=("Si",)), Filter("n_ac", "counter", tags=("AC",)),
     Filter("two_si", "flag", monitor=("n_si",), op=">=", value=2), Filter("no_ac", "flag", monitor=("n_ac",), op="==", value=0),
-    Filter("late", "flag", monitor=("later",), op="==", value=0), Filter("both", "accept", monitor=("two_si", "no_ac"), logic="AND"),
+    Filter("late", "flag", monitor=("n_other",), op="==", value=0), Filter("n_other", "counter", tags=("Other",)), Filter("both", "accept", monitor=("two_si", "no_ac"), logic="AND"),
     Filter("either", "accept", monitor=("two_si", "n_ac"), logic="OR"),
 ]
 
@@ -104,6 +105,11 @@ def l2_counter_flag_accept(spark, d):
     return found.select("event_no", "n_si", "n_ac", "two_si", "no_ac", "late", "both", "either", "keep", F.array_join("accepted", ",").alias("accepted"))
 
 
+def l2_kept_events(spark, d):
+    """Kept events alone, numbered after the filters."""
+    return number_kept(evaluate_filters(_nested(spark, d), FILTERS, TAGS)).select("event_no", "trigger_time", "trigger_module", "multiplicity", "n_si", "n_ac")
+
+
 def l2_energy_gate(spark, d):
     gate = [Filter("gate", "energy_gate", module=1, channel=0, low=10_000, high=30_000), Filter("ok", "accept", monitor=("gate",))]
     return evaluate_filters(_nested(spark, d), gate, TAGS).filter("keep").select("event_no", "multiplicity")
@@ -170,7 +176,7 @@ def pipeline_counters(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     l1_or_anchor, l1_module_anchor, l1_multiplicity, l1_and, event_build_merge, event_multiplicity, multiplicity_buckets, event_hits_flat,
-    event_build_priority, event_with_ac, event_slices, l2_counter_flag_accept, l2_energy_gate, l2_min_hits, l2_ac_veto, built_event_arrays,
+    event_build_priority, event_with_ac, event_slices, l2_counter_flag_accept, l2_kept_events, l2_energy_gate, l2_min_hits, l2_ac_veto, built_event_arrays,
     module_correlation, anti_diagonal_pairs, first_hit_pairs, pair_fractions, pipeline_counters,
 )}
 
@@ -222,6 +228,8 @@ ORACLE_SQL = {
     "l2_counter_flag_accept": f"""WITH {COUNTS_SQL}, f AS (SELECT *, n_si >= 2 AS two_si, n_ac = 0 AS no_ac FROM counted)
         SELECT event_no, n_si, n_ac, two_si, no_ac, true AS late, two_si AND no_ac AS both, two_si AS either, two_si AS keep,
                CASE WHEN two_si AND no_ac THEN 'both,either' WHEN two_si THEN 'either' ELSE '' END AS accepted FROM f""",
+    "l2_kept_events": f"""WITH {COUNTS_SQL} SELECT row_number() OVER (ORDER BY b.trigger_time) - 1 AS event_no, b.trigger_time, b.trigger_module, c.n AS multiplicity, c.n_si, c.n_ac
+        FROM counted c JOIN built b USING (event_no) WHERE c.n_si >= 2""",
     "l2_energy_gate": f"""WITH {EVENTS_SQL} SELECT event_no, count(*) AS multiplicity FROM members GROUP BY event_no
         HAVING bool_or(module = 1 AND channel = 0 AND energy BETWEEN 10000 AND 30000)""",
     "l2_min_hits": f"WITH {EVENTS_SQL} SELECT event_no, count(*) AS multiplicity FROM members GROUP BY event_no HAVING count(*) >= 2",

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.events import Filter, Trigger, validate
+from ..operators.events import Filter, Trigger, validate, validate_filters
 from ..operators.histograms import hist1d, hist2d
 
 
@@ -54,7 +54,10 @@ def build_settings(text: str) -> BuildSettings:
         raise ValueError("a slice must be longer than the window")
     triggers = [_trigger(n, window) for n in doc["l1"]["definitions"]]
     validate(triggers, doc["l1"]["trigger"], window)
-    return BuildSettings(window, triggers, doc["l1"]["trigger"], [_filter(n) for n in doc.get("l2", ())])
+    filters = [_filter(n) for n in doc.get("l2", ())]
+    if filters:
+        validate_filters(filters)
+    return BuildSettings(window, triggers, doc["l1"]["trigger"], filters)
 
 
 def command_line_triggers(arguments: list[str]) -> list[Trigger]:
