@@ -75,9 +75,21 @@ def sign_extend(value: Column, width: int = 14) -> Column:
     return F.shiftright(F.shiftleft(value.cast("int"), 32 - width), 32 - width)
 
 
+def in_units(rate: Column, units: list[tuple[float, str]], rest: str) -> Column:
+    """Two decimals and the unit of the first scale reached; below all of them no decimals (halves to even) and ``rest``."""
+    out = F.format_string(f"%.0f {rest}", F.rint(rate))
+    for scale, name in reversed(units):
+        out = F.when(rate >= scale, F.format_string(f"%.2f {name}", rate / scale)).otherwise(out)
+    return out
+
+
 def rate_text(rate: Column) -> Column:
-    """A rate with unit M, K or none."""
-    return F.when(rate >= 1e6, F.format_string("%.2f M/s", rate / 1e6)).when(rate >= 1e3, F.format_string("%.2f K/s", rate / 1e3)).otherwise(F.format_string("%.2f /s", rate))
+    """A rate of events with unit M, K or none."""
+    return in_units(rate, [(1e6, "M/s"), (1e3, "K/s")], "/s")
+
+
+def byte_rate_text(rate: Column) -> Column:
+    return in_units(rate, [(1e9, "GB/s"), (1e6, "MB/s"), (1e3, "KB/s")], "B/s")
 
 
 def loss_percent(lost: Column, triggers: Column) -> Column:

@@ -53,7 +53,7 @@ def fit_peak(x: np.ndarray, y: np.ndarray) -> dict | None:
     start = np.array([y[top] - ground, x[top], sigma, y[:edge].mean(), 0.0, y[-edge:].mean(), 0.0])
     p, chi2 = levenberg(gaussian_on_lines, start, x, y, 1 / np.maximum(y, 1))
     sigma = abs(p[2])
-    return {"amplitude": p[0], "mu": p[1], "sigma": sigma, "fwhm": SIGMA_TO_FWHM * sigma, "area": p[0] * sigma * np.sqrt(2 * np.pi) / (x[1] - x[0]), "chi2": chi2, "ndf": len(x) - 7}
+    return {"amplitude": p[0], "mu": p[1], "sigma": sigma, "fwhm": SIGMA_TO_FWHM * sigma, "area": p[0] * sigma * np.sqrt(2 * np.pi), "chi2": chi2, "ndf": len(x) - 7}
 
 
 def fit_peaks(hist: DataFrame, keys: list[str], low: float, width: float, bins: int) -> DataFrame:
@@ -72,10 +72,17 @@ def fit_peaks(hist: DataFrame, keys: list[str], low: float, width: float, bins:
 
 
 def find_peaks(y: np.ndarray, height: float, distance: int, prominence: float, skip: int) -> list[tuple[int, float]]:
-    """``(position, height)`` of local maxima, the highest first; a nearby lower one goes."""
-    inner = [i for i in range(max(1, skip), len(y) - 1) if y[i] >= height and y[i] > y[i - 1] and y[i] >= y[i + 1]]
+    """``(position, height)`` of local maxima past the first ``skip`` bins, which count for nothing, the highest first.
+
+    A plateau counts at its middle; a lower peak nearer than ``distance`` goes, of equal ones the earlier.
+    """
+    y = y[skip:]
+    begin = np.flatnonzero(np.diff(y, prepend=np.nan))  # of runs of equal values
+    end = np.append(begin[1:], len(y)) - 1
+    v = y[begin]
+    top = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:]) & (v[1:-1] >= height)) + 1
     kept: list[int] = []
-    for i in sorted(inner, key=lambda i: (-y[i], -i)):
+    for i in sorted(((begin[top] + end[top]) // 2).tolist(), key=lambda i: (-y[i], -i)):
         if all(abs(i - k) >= distance for k in kept):
             kept.append(i)
     out = []
@@ -84,7 +91,7 @@ def find_peaks(y: np.ndarray, height: float, distance: int, prominence: float, s
         left, right = higher[higher < i], higher[higher > i]
         base = max(y[(left[-1] if len(left) else 0) : i + 1].min(), y[i : (right[0] if len(right) else len(y) - 1) + 1].min())
         if y[i] - base >= prominence:
-            out.append((i, float(y[i])))
+            out.append((i + skip, float(y[i])))
     return out
 
 

@@ -2,7 +2,7 @@
 
 Rows are dealt to ranges of the ordering value. Inside a range an ordinary
 window works; what crosses a range border comes from a summary with one row a
-range, at most ``MAX_RANGES`` of them, so the results are those of one global window.
+range, at most some ``MAX_RANGES`` of them, so the results are those of one global window.
 """
 
 from __future__ import annotations
@@ -10,16 +10,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_RANGES = 1 << 15
+MAX_RANGES = 1 << 17
 
 
-def with_range(rows: DataFrame, value: str, rows_per_range: int = 4096) -> DataFrame:
-    """Adds ``_range``, which rises with ``value``; about ``rows_per_range`` rows each for even values."""
+def with_range(rows: DataFrame, value: str, rows_per_range: int = 1 << 16) -> DataFrame:
+    """Adds ``_range``, which rises with ``value``; about ``rows_per_range`` rows each, more where ``MAX_RANGES`` of them don't hold all.
+
+    Ranges are of equal width first. Ranges that are too full (an outlier stretched the scale, or hits came in a burst) are cut again,
+    between their own least and greatest value, up to three times. Equal values stay together.
+    """
     low, high, count = rows.agg(F.min(value), F.max(value), F.count("*")).first()
-    ranges = max(1, min(MAX_RANGES, count // rows_per_range))
-    if low is None or high == low:
+    size = max(rows_per_range, -(-count // MAX_RANGES))
+    ranges = max(1, count // size)
+    if low is None or high == low or ranges == 1:
         return rows.withColumn("_range", F.lit(0).cast("long"))
-    return rows.withColumn("_range", F.floor((F.col(value) - F.lit(low)) / F.lit((high - low) / ranges)).cast("long"))
+    dealt = rows.withColumn("_range", F.floor((F.col(value) - F.lit(low)) / F.lit((high - low) / ranges)).cast("long"))
+    for _ in range(3):
+        heads = dealt.groupBy("_range").agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count("*").alias("_n"))
+        if heads.filter((F.col("_n") > 4 * size) & (F.col("_low") < F.col("_high"))).isEmpty():
+            break
+        heads = heads.withColumn("_pieces", F.when(F.col("_low") < F.col("_high"), F.ceil(F.col("_n") / size)).otherwise(1)).drop("_n")
+        before = F.coalesce(F.sum("_pieces").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        met = dealt.join(F.broadcast(heads.withColumn("_before", before)), "_range", "left")  # at most 2 * MAX_RANGES rows
+        piece = F.floor((F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0)) * F.col("_pieces"))
+        cut = F.col("_before") + F.least(F.coalesce(piece, F.lit(0)), F.col("_pieces") - 1)
+        dealt = met.withColumn("_range", cut.cast("long")).drop("_low", "_high", "_pieces", "_before")
+    return dealt
 
 
 def lag_global(rows: DataFrame, value: str, order: list[str], names: dict[str, str], keys: list[str] | None = None) -> DataFrame:
@@ -51,6 +67,41 @@ def running_sum(rows: DataFrame, value: str, order: list[str], amount: str, name
     return placed.withColumn(name, F.col("_here") + F.col("_shift")).drop("_here", "_shift")
 
 
+def running_max(rows: DataFrame, value: str, order: list[str], amount: str, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Adds ``name``: the greatest ``amount`` of all rows (of equal ``keys``) up to this one in ``order``, which begins with ``value``."""
+    keys = keys or []
+    dealt = rows if "_range" in rows.columns else with_range(rows, value)
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    tops = dealt.groupBy(*keys, "_range").agg(F.max(amount).alias("_part"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tops.select(*keys, "_range", F.max("_part").over(before).alias("_carry"))
+    placed = dealt.withColumn("_here", F.max(amount).over(inside)).join(carry if keys else F.broadcast(carry), [*keys, "_range"])
+    return placed.withColumn(name, F.greatest("_here", "_carry")).drop("_here", "_carry")
+
+
+def extended_counter(rows: DataFrame, order: str, raw: str, bits: int, keys: list[str]) -> DataFrame:
+    """Adds ``extended`` and ``late`` of a counter of ``bits`` bits that wraps, in the order of ``order`` among equal ``keys``.
+
+    A step forward of at most half a period goes on, into the next epoch where the counter falls. A reading behind by less is a late
+    arrival: it belongs to the epoch before and changes nothing for the readings after it; in the first epoch it has no
+    place and ``extended`` is null. Late readings are found on the path of wrapped differences, where they lie below its maximum so
+    far; readings that are not late may lie up to half a period apart from late ones between them.
+    """
+    period, half = 1 << bits, 1 << (bits - 1)
+    dealt = with_range(rows, order)
+    lagged = lag_global(dealt, order, [order], {"_prev": raw}, keys)
+    ahead = F.pmod(F.col(raw) - F.col("_prev"), F.lit(period))
+    step = F.when(F.col("_prev").isNull(), F.col(raw)).when(ahead <= half, ahead).otherwise(ahead - period)
+    path = running_max(running_sum(lagged.withColumn("_step", step.cast("long")), order, [order], "_step", "_at", keys), order, [order], "_at", "_top", keys)
+    path = path.withColumn("late", F.col("_at") < F.col("_top")).drop("_prev", "_step", "_at", "_top")
+    on_time = lag_global(path.filter("NOT late"), order, [order], {"_prev": raw}, keys)
+    on_time = on_time.withColumn("_wrap", F.when(F.col(raw) < F.col("_prev"), 1).otherwise(0).cast("long")).drop("_prev")
+    both = on_time.unionByName(path.filter("late").withColumn("_wrap", F.lit(0).cast("long")))
+    found = running_sum(both, order, [order], "_wrap", "_epoch", keys)
+    epoch = F.when(F.col("late"), F.col("_epoch") - 1).otherwise(F.col("_epoch"))
+    return found.withColumn("extended", F.when(epoch >= 0, epoch * period + F.col(raw))).drop("_range", "_wrap", "_epoch")
+
+
 def dense_number(rows: DataFrame, value: str, order: list, name: str) -> DataFrame:
     """Adds ``name``: 0, 1, 2, ... in ``order``, which begins with ``value``."""
     counted = running_sum(rows.withColumn("_one", F.lit(1).cast("long")), value, order, "_one", name)

@@ -51,7 +51,7 @@ def hist_dense(spark, d):
 
 
 def hist_registered(spark, d):
-    rows = H.hist1d(hits(spark, d).filter("module < 2 and channel < 3"), KEYS, F.col("energy"), *ENERGY)
+    rows = H.hist1d(hits(spark, d), KEYS, F.col("energy"), *ENERGY)
     return H.registered(rows, channel_dim(spark), KEYS)
 
 
@@ -73,8 +73,8 @@ def hist_big(spark, d):
 
 
 def standard_spectra(spark, d):
-    """Per-channel spectra of modules below 3 and channels below 4."""
-    return H.hist1d(hits(spark, d).filter("module < 3 and channel < 4"), KEYS, F.col("energy"), 0.0, 50000.0, 500)
+    """Per-channel spectra of modules below 3 and channels below 16, in bins of 100."""
+    return H.hist1d(hits(spark, d).filter("module < 3 and channel < 16"), KEYS, F.col("energy"), 0.0, 50000.0, 500)
 
 
 def standard_spectra_16(spark, d):
@@ -233,7 +233,7 @@ ORACLE_SQL = {
     "hist_dense": f"""WITH {HITS_SQL}, b AS (SELECT module, CAST(energy // 2500 AS INTEGER) AS bin, count(*) AS c FROM hits WHERE energy < 50000 GROUP BY ALL),
         g AS (SELECT DISTINCT module, k AS bin FROM b, range(20) r(k))
         SELECT module, string_agg(CAST(coalesce(c, 0) AS VARCHAR), ',' ORDER BY bin) AS counts FROM g LEFT JOIN b USING (module, bin) GROUP BY module""",
-    "hist_registered": f"""WITH {HITS_SQL}, o AS (SELECT module, channel, count(*) AS total FROM hits WHERE module < 2 AND channel < 3 GROUP BY ALL),
+    "hist_registered": f"""WITH {HITS_SQL}, o AS (SELECT module, channel, count(*) AS total FROM hits GROUP BY ALL),
         c AS (SELECT CAST(g // 5 AS INTEGER) AS module, CAST(g % 5 AS INTEGER) AS channel FROM range(19) r(g))
         SELECT module, channel, coalesce(total, 0) AS total FROM c FULL JOIN o USING (module, channel)""",
     "hist_rebin1d": f"""WITH {HITS_SQL}, n AS ({NATIVE}), c AS (SELECT *, (bin + 0.5::DOUBLE) * 256 AS x FROM n)
@@ -245,7 +245,7 @@ ORACLE_SQL = {
             CAST(sum(counts) AS BIGINT) AS counts FROM c GROUP BY ALL""",
     "hist_big": f"""WITH big AS (SELECT CAST(l_suppkey % 8 AS INTEGER) AS module, CAST(l_linenumber - 1 AS INTEGER) AS channel,
             CAST(CAST(floor(l_extendedprice) AS BIGINT) % 65536 AS INTEGER) AS energy FROM lineitem) {_hist('big', 'module, channel', 'energy', *ENERGY)}""",
-    "standard_spectra": f"WITH {HITS_SQL} {_hist('hits', 'module, channel', 'energy', 0.0, 50000.0, 500, 'module < 3 AND channel < 4')}",
+    "standard_spectra": f"WITH {HITS_SQL} {_hist('hits', 'module, channel', 'energy', 0.0, 50000.0, 500, 'module < 3 AND channel < 16')}",
     "standard_spectra_16": f"WITH {HITS_SQL} {_hist('hits', 'module, channel', 'energy', 0.0, 32000.0, 32000, 'module < 3 AND channel < 16')}",
     "standard_spectra_totals": f"""WITH {HITS_SQL} {_hist('hits', "'energy' AS kind", 'energy', 0.0, 65536.0, 4096)} UNION ALL {_hist('hits', "'energy_short' AS kind", 'energy_short', 0.0, 65536.0, 4096)}
         UNION ALL {_hist('hits', "'channel' AS kind", 'channel', 0.0, 64.0, 64)} UNION ALL {_hist('hits', "'module' AS kind", 'module', 0.0, 32.0, 32)}""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.ordered import lag_global, running_sum, with_range
+from ..operators.ordered import extended_counter, lag_global, with_range
 from ..sources.hits import BATCHES_SQL, HITS_SQL, RUNS_SQL, batches, hits, runs, table
 
 KEYS = ["module", "channel"]
@@ -45,10 +45,15 @@ def loss_percent(spark, d):
 
 def rollover_extend(spark, d):
     """A 20-bit counter made monotone: every fall is one more period."""
-    rows = batches(spark, d).withColumn("raw", F.col("event_id") * 300 % (1 << 20))
-    rows = _with_last(rows, "raw").withColumn("wrap", F.when(F.col("raw") < F.col("last_raw"), 1).otherwise(0).cast("long"))
-    rows = running_sum(rows, "event_id", ["event_id"], "wrap", "epoch", ["source_id"])
-    return rows.select("source_id", "event_id", (F.col("epoch") * (1 << 20) + F.col("raw")).alias("extended"))
+    rows = batches(spark, d).select("source_id", "event_id", (F.col("event_id") * 300 % (1 << 20)).alias("raw"))
+    return extended_counter(rows, "event_id", "raw", 20, ["source_id"]).select("source_id", "event_id", "extended")
+
+
+def rollover_late(spark, d):
+    """A 16-bit counter, one reading in eleven of which comes late by up to some thousand ticks."""
+    ticks = F.col("event_id") * 900 - F.when(F.col("event_id") % 11 == 7, F.col("event_id") % 5 * 1500 + 4000).otherwise(0)
+    rows = batches(spark, d).select("source_id", "event_id", F.pmod(ticks, F.lit(1 << 16)).alias("raw"))
+    return extended_counter(rows, "event_id", "raw", 16, ["source_id"]).select("source_id", "event_id", "extended", "late")
 
 
 def subcounter(spark, d):
@@ -190,10 +195,9 @@ def run_export(spark, d):
 
 def dashboard_rates(spark, d):
     """Hit counts per ten minutes of the last day, over ten, in time order."""
-    hits(spark, d).createOrReplaceTempView("_dash_hits")
     return spark.sql("""
-        SELECT module, CAST(floor(timestamp_ns / 6e11) AS BIGINT) AS slot, count(*) / 10.0D AS event_rate FROM _dash_hits
-        WHERE timestamp_ns > (SELECT max(timestamp_ns) FROM _dash_hits) - 86400e9D AND module IN (1, 3) GROUP BY module, slot ORDER BY slot, module""")
+        SELECT module, CAST(floor(timestamp_ns / 6e11) AS BIGINT) AS slot, count(*) / 10.0D AS event_rate FROM {h}
+        WHERE timestamp_ns > (SELECT max(timestamp_ns) FROM {h}) - 86400e9D AND module IN (1, 3) GROUP BY module, slot ORDER BY slot, module""", h=hits(spark, d))
 
 
 def line_protocol(spark, d):
@@ -210,7 +214,7 @@ def throughput_filter(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    seq_gaps, trigger_loss_flag, trigger_loss_counter, loss_percent, rollover_extend, subcounter, dt_stats, percentiles_rounded, module_summary, channel_counts,
+    seq_gaps, trigger_loss_flag, trigger_loss_counter, loss_percent, rollover_extend, rollover_late, subcounter, dt_stats, percentiles_rounded, module_summary, channel_counts,
     channel_topk, latest_per_channel, fine_time_stats, regression_fit, rate_deltas, run_stats, eos_state, recent_runs, runs_by_experiment,
     next_run_number, versioned_configs, config_history, run_export, dashboard_rates, line_protocol, throughput_filter,
 )}
@@ -230,6 +234,14 @@ ORACLE_SQL = {
     "rollover_extend": f"""WITH {B}, r AS (SELECT source_id, event_id, event_id * 300 % 1048576 AS raw FROM batches),
         l AS (SELECT *, lag(raw) OVER (PARTITION BY source_id ORDER BY event_id) AS prev FROM r)
         SELECT source_id, event_id, CAST(sum(CASE WHEN raw < prev THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY event_id) * 1048576 + raw AS BIGINT) AS extended FROM l""",
+    "rollover_late": f"""WITH RECURSIVE {B}, r AS (SELECT source_id, event_id, (event_id * 900 - CASE WHEN event_id % 11 = 7 THEN event_id % 5 * 1500 + 4000 ELSE 0 END + 65536 * 4) % 65536 AS raw,
+            row_number() OVER (PARTITION BY source_id ORDER BY event_id) AS i FROM batches),
+        s AS (SELECT source_id, event_id, i, raw AS prev, CAST(0 AS BIGINT) AS epoch, CAST(raw AS BIGINT) AS extended, false AS late FROM r WHERE i = 1
+            UNION ALL
+            SELECT r.source_id, r.event_id, r.i, CASE WHEN f <= 32768 THEN r.raw ELSE prev END, CASE WHEN f <= 32768 AND r.raw < prev THEN epoch + 1 ELSE epoch END,
+                   CASE WHEN f <= 32768 THEN CASE WHEN r.raw < prev THEN epoch + 1 ELSE epoch END * 65536 + r.raw WHEN epoch > 0 THEN (epoch - 1) * 65536 + r.raw END, f > 32768
+            FROM (SELECT r.*, s.prev, s.epoch, (r.raw - s.prev + 65536) % 65536 AS f FROM s JOIN r ON r.source_id = s.source_id AND r.i = s.i + 1) r)
+        SELECT source_id, event_id, extended, late FROM s""",
     "subcounter": f"""WITH {HITS_SQL}, g AS (SELECT event_id, event_id * 40000 AS wide, ((event_id * 40000) >> 16) * 65536 + event_id * 39990 % 65536 AS guess FROM hits)
         SELECT event_id, CASE WHEN guess > wide AND guess >= 65536 THEN guess - 65536 ELSE guess END AS placed FROM g""",
     "dt_stats": f"""WITH {HITS_SQL}, g AS (SELECT timestamp_ns - lag(timestamp_ns) OVER (ORDER BY timestamp_ns, event_id) AS gap FROM hits),

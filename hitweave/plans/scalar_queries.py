@@ -76,6 +76,11 @@ def rate_format(spark, d):
     return hits(spark, d).select("event_id", C.rate_text(rate).alias("rate"))
 
 
+def byte_rate_format(spark, d):
+    rate = F.pow(F.lit(10.0), F.col("event_id") % 11) * 1.25
+    return hits(spark, d).select("event_id", C.byte_rate_text(rate).alias("rate"))
+
+
 def snap_validate(spark, d):
     v = F.col("energy") / 7.0
     return hits(spark, d).select("event_id", C.snapped(v, 100.0, 5000.0, 25.0).alias("value"), C.snap_status(v, 100.0, 5000.0, 25.0).alias("status"))
@@ -96,14 +101,13 @@ def config_overlay(spark, d):
 
 def offset_tree_resolve(spark, d=None):
     """Absolute offset, root and depth of every channel; a root's own offset counts."""
-    offset_tree(spark).createOrReplaceTempView("_offset_tree")
     return spark.sql("""
         WITH RECURSIVE t(module, channel, root_module, root_channel, offset_ns, depth) AS (
-            SELECT module, channel, module, channel, offset_ns, 0 FROM _offset_tree WHERE ref_module IS NULL
+            SELECT module, channel, module, channel, offset_ns, 0 FROM {tree} WHERE ref_module IS NULL
             UNION ALL
             SELECT o.module, o.channel, t.root_module, t.root_channel, t.offset_ns + o.offset_ns, t.depth + 1
-            FROM _offset_tree o JOIN t ON o.ref_module = t.module AND o.ref_channel = t.channel)
-        SELECT * FROM t""")
+            FROM {tree} o JOIN t ON o.ref_module = t.module AND o.ref_channel = t.channel)
+        SELECT * FROM t""", tree=offset_tree(spark))
 
 
 def check_offsets(entries: list[tuple]) -> list[str]:
@@ -177,7 +181,7 @@ def gain_update(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     hit_projection, flag_predicates, flag_remap, adc_min_filter, psd_ratio, energy_gate, axis_sources, compare_logic, timestamp_compose, fine_time_fraction,
-    physics_words, sign_extension, rate_format, snap_validate, channel_mask, config_overlay, offset_tree_resolve, offset_collapse, time_align,
+    physics_words, sign_extension, rate_format, byte_rate_format, snap_validate, channel_mask, config_overlay, offset_tree_resolve, offset_collapse, time_align,
     energy_calibration, channel_tags, offset_skeleton, legacy_keys, gain_update,
 )}
 
@@ -206,7 +210,10 @@ ORACLE_SQL = {
         {WORD} & 32767 AS pha_energy, ({WORD} >> 15) & 1 AS pha_pileup, ({WORD} >> 16) & 1023 AS pha_extra FROM hits""",
     "sign_extension": f"WITH {HITS_SQL}, x AS (SELECT event_id, event_id * 7919 % 16384 AS v FROM hits) SELECT event_id, CAST(CASE WHEN v >= 8192 THEN v - 16384 ELSE v END AS INTEGER) AS value FROM x",
     "rate_format": f"""WITH {HITS_SQL}, x AS (SELECT event_id, pow(10.0::DOUBLE, event_id % 8) * 1.5 AS r FROM hits)
-        SELECT event_id, CASE WHEN r >= 1e6 THEN printf('%.2f M/s', r / 1e6) WHEN r >= 1e3 THEN printf('%.2f K/s', r / 1e3) ELSE printf('%.2f /s', r) END AS rate FROM x""",
+        SELECT event_id, CASE WHEN r >= 1e6 THEN printf('%.2f M/s', r / 1e6) WHEN r >= 1e3 THEN printf('%.2f K/s', r / 1e3) ELSE printf('%.0f /s', r) END AS rate FROM x""",
+    "byte_rate_format": f"""WITH {HITS_SQL}, x AS (SELECT event_id, pow(10.0::DOUBLE, event_id % 11) * 1.25 AS r FROM hits)
+        SELECT event_id, CASE WHEN r >= 1e9 THEN printf('%.2f GB/s', r / 1e9) WHEN r >= 1e6 THEN printf('%.2f MB/s', r / 1e6) WHEN r >= 1e3 THEN printf('%.2f KB/s', r / 1e3)
+               ELSE printf('%.0f B/s', round_even(r, 0)) END AS rate FROM x""",
     "snap_validate": f"""WITH {HITS_SQL}, x AS (SELECT event_id, energy / 7.0::DOUBLE AS v FROM hits),
         y AS (SELECT *, least(greatest(100 + floor((v - 100) / 25 + 0.5) * 25, 100), 5000)::DOUBLE AS s FROM x) SELECT event_id, s AS value, CASE WHEN s = v THEN 'ok' ELSE 'adjusted' END AS status FROM y""",
     "channel_mask": f"WITH {HITS_SQL} SELECT event_id, CAST(bit_count(event_id % 65536) AS INTEGER) AS enabled, '0x' || lower(printf('%x', event_id % 65536)) AS mask FROM hits",

@@ -32,7 +32,7 @@ def waveform_stats(spark, d):
 
 
 def waveform_explode(spark, d):
-    return V.exploded(waveforms(spark, d).filter("channel = 1").select("vec_id", "samples", "ns_per_sample"))
+    return V.exploded(waveforms(spark, d).select("vec_id", "samples", "ns_per_sample"))
 
 
 def waveform_explode_all(spark, d):
@@ -113,7 +113,7 @@ ORACLE_SQL = {
         SELECT vec_id, round(sum(v) - any_value(b) * count(*), 6) AS charge FROM x JOIN k USING (vec_id) WHERE i >= greatest(pk - 4, 0) AND i < least(pk + 8, n) GROUP BY 1""",
     "waveform_stats": f"""WITH {LONG}, a AS (SELECT vec_id, channel, max(v) - min(v) AS amplitude, count(*) AS n FROM x GROUP BY ALL)
         SELECT channel, count(*) AS traces, CAST(sum(n) AS BIGINT) AS samples, min(amplitude) AS least, max(amplitude) AS most, round(avg(amplitude), 6) AS mean FROM a GROUP BY 1""",
-    "waveform_explode": f"WITH {LONG} SELECT vec_id, i AS sample_idx, i * ns_per_sample AS time_ns, v AS adc FROM x WHERE channel = 1",
+    "waveform_explode": f"WITH {LONG} SELECT vec_id, i AS sample_idx, i * ns_per_sample AS time_ns, v AS adc FROM x",
     "waveform_explode_all": f"WITH {LONG} SELECT vec_id, i AS sample_idx, i * ns_per_sample AS time_ns, v AS adc FROM x",
     "moving_average": f"WITH {LONG} SELECT vec_id, i, round(avg(v) OVER (PARTITION BY vec_id ORDER BY i ROWS 4 PRECEDING), 6) AS v FROM x",
     "trapezoid": f"WITH {TRAP} SELECT vec_id, i, round(v, 3) AS v FROM t",
