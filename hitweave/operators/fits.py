@@ -7,12 +7,13 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SIGMA_TO_FWHM = 2.0 * np.sqrt(2.0 * np.log(2.0))
 
 
-def levenberg(model: Callable, start: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Parameters of least weighted squares and their chi-square."""
+def levenberg(model: Callable, start: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 200, limits: tuple | None = None) -> tuple[np.ndarray, float]:
+    """Parameters of least weighted squares, held between ``limits``, and their chi-square."""
     p, damp = start.astype(float).copy(), 1e-3
     cost = float((weight * (y - model(p, x)) ** 2).sum())
     for _ in range(rounds):
@@ -21,6 +22,7 @@ def levenberg(model: Callable, start: np.ndarray, x: np.ndarray, y: np.ndarray,
         jac = np.stack([(model(p + h * e, x) - here) / h for h, e in zip(steps, np.eye(len(p)))], axis=1)
         grad, hess = jac.T @ (weight * (y - here)), (jac * weight[:, None]).T @ jac
         trial = p + np.linalg.lstsq(hess + damp * np.diag(np.diag(hess) + 1e-12), grad, rcond=None)[0]
+        trial = trial if limits is None else np.clip(trial, *limits)
         new = float((weight * (y - model(trial, x)) ** 2).sum())
         if np.isfinite(new) and new < cost:
             done, p, cost, damp = cost - new < 1e-10 * cost, trial, new, max(damp / 5, 1e-12)
@@ -71,6 +73,51 @@ def fit_peaks(hist: DataFrame, keys: list[str], low: float, width: float, bins:
     return hist.filter(f"bin between 0 and {bins - 1}").groupBy(*keys).applyInPandas(run, schema)
 
 
+def gaussian_on_constant(p: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return p[0] * np.exp(-0.5 * ((x - p[1]) / p[2]) ** 2) + p[3]
+
+
+def fit_region(y: np.ndarray, low: int, least: float) -> dict:
+    """Gaussian on a constant over bins from ``low`` on, by least squares without weights; ``status`` tells why there is no fit."""
+    x, high = low + np.arange(len(y), dtype=float), low + len(y)
+    if y.sum() < least:
+        return {"status": "too few counts"}
+    top, ground = y.max(), (y[0] + y[-1]) / 2
+    wide = x[y > (top + ground) / 2]
+    sigma = max((wide[-1] - wide[0]) / 2.35, 1.0) if len(wide) > 1 else len(y) / 6
+    limits = np.array([0, low, 0.5, 0]), np.array([10 * top, high, len(y), np.inf])
+    p, _ = levenberg(gaussian_on_constant, np.clip([top, x[y.argmax()], sigma, ground], *limits), x, y, np.ones(len(y)), limits=limits)
+    chi2 = float(((y - gaussian_on_constant(p, x)) ** 2 / np.where(y > 0, y, 1)).sum())
+    found = {"amplitude": p[0], "mu": p[1], "sigma": p[2], "ground": p[3], "chi2_ndf": chi2 / max(len(y) - 4, 1)}
+    return found | {"status": "ok"} if np.isfinite(p).all() else {"status": "no fit"}
+
+
+def fit_regions(hist: DataFrame, keys: list[str], low: int, high: int, least: float = 1000) -> DataFrame:
+    """:func:`fit_region` of bins ``low`` to below ``high`` of each key's histogram; a key without counts there has too few."""
+    if not 0 <= low < high:
+        raise ValueError(f"no region from {low} to {high}")
+    types, values = dict(hist.dtypes), ("amplitude", "mu", "sigma", "ground", "chi2_ndf")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = np.zeros(high - low)
+        inside = pdf[pdf["bin"].between(low, high - 1)]
+        y[inside["bin"].to_numpy() - low] = inside["counts"].to_numpy()
+        return pd.DataFrame([{k: pdf[k].iloc[0] for k in keys} | fit_region(y, low, least)], columns=[*keys, *values, "status"])
+
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"{v} double" for v in values] + ["status string"])
+    return hist.groupBy(*keys).applyInPandas(run, schema)
+
+
+def scan_channels(hist: DataFrame, keys: list[str], bins: int, least: int = 100, margin: int = 50, **search) -> DataFrame:
+    """Counts of each key, its strongest peak and the region around it; both null below ``least`` counts or without a peak."""
+    totals = hist.groupBy(*keys).agg(F.sum("counts").alias("total"))
+    enough = hist.join(totals.filter(F.col("total") >= least), keys, "left_semi")
+    peaks = search_peaks(enough, keys, bins, **search).filter("rank = 0").select(*keys, F.col("position").alias("peak"))
+    low, high = F.greatest(F.lit(0), F.col("peak") - margin), F.least(F.lit(bins - 1), F.col("peak") + margin)
+    region = [F.when(F.col("peak").isNotNull(), c).alias(n) for n, c in (("region_low", low), ("region_high", high))]
+    return totals.join(peaks, keys, "left").select(*keys, "total", "peak", *region)
+
+
 def find_peaks(y: np.ndarray, height: float, distance: int, prominence: float, skip: int) -> list[tuple[int, float]]:
     """``(position, height)`` of local maxima past the first ``skip`` bins, which count for nothing, the highest first.
 

@@ -8,6 +8,7 @@ magic is a parameter.
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 
@@ -35,8 +36,12 @@ def write_run(batches: list[tuple[int, int, int, list]], magic: bytes, header: d
         events, size = events + len(batch[3]), size + len(block)
         times += [e[4] for e in batch[3]]
         out += [struct.pack("<I", len(block)), block]
+    return b"".join(out) + closing(state, events, size, times, complete)
+
+
+def closing(state: int, events: int, size: int, times: list[float], complete: bool) -> bytes:
     footer = struct.pack("<8sQQQddd?", b"FOOTER01", state ^ size, events, size, min(times, default=0.0), max(times, default=0.0), 0.0, complete)
-    return b"".join(out) + footer.ljust(FOOTER, b"\0")
+    return footer.ljust(FOOTER, b"\0")
 
 
 def rolled(state: int, block: bytes) -> int:
@@ -68,6 +73,61 @@ def decode(block: bytes) -> tuple[int, int, list]:
 
 def read_hits(spark: SparkSession, path: str, magic: bytes, mode: str = "PERMISSIVE") -> DataFrame:
     """One row a hit of all files under ``path``."""
+    return decoded(spark.read.format("binaryFile").load(path), magic, mode)
+
+
+def replay(spark: SparkSession, path: str, magic: bytes, files: int = 1, mode: str = "PERMISSIVE") -> DataFrame:
+    """The same rows as a stream, ``files`` of them a micro-batch, the oldest first."""
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    return decoded(stream.option("maxFilesPerTrigger", files).load(path), magic, mode)
+
+
+def recover(spark: SparkSession, path: str, magic: bytes) -> DataFrame:
+    """``file, content, blocks, events`` of each file with a header: its readable blocks up to the first bad one under a new footer."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for file, content in zip(pdf["path"], pdf["content"]):
+                state, events, size, times, number = 0, 0, 0, [], 0
+                start = len(magic) + 4 + struct.unpack_from("<I", content.ljust(len(magic) + 4, b"\0"), len(magic))[0]
+                if content[: len(magic)] != magic or len(content) < start:
+                    continue
+                for number, block, error in blocks(content, magic):
+                    try:
+                        found = None if error else decode(block)[2]
+                    except (ValueError, IndexError, struct.error):
+                        found = None
+                    if found is None:
+                        break
+                    state, events, size = rolled(state, block), events + len(found), size + len(block)
+                    times += [e[4] for e in found]
+                    number += 1
+                good = content[: start + size + 4 * number] + closing(state, events, size, times, True)
+                yield pd.DataFrame([(file, good, number, events)], columns=["file", "content", "blocks", "events"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "file string, content binary, blocks long, events long")
+
+
+def headers(spark: SparkSession, path: str, magic: bytes) -> DataFrame:
+    """Size and header of each file, the header as JSON; null where there is none. Blocks are not decoded."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for file, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    head = json.dumps(unpack(content, len(magic) + 4)[0], default=str) if content[: len(magic)] == magic else None
+                except (ValueError, IndexError, struct.error):
+                    head = None
+                rows.append((file, len(content), head))
+            yield pd.DataFrame(rows, columns=["file", "bytes", "header"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, bytes long, header string")
+
+
+def decoded(files: DataFrame, magic: bytes, mode: str) -> DataFrame:
+    """One row a hit of ``files`` with ``path`` and ``content``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in HITS.split(", ")]
@@ -84,7 +144,7 @@ def read_hits(spark: SparkSession, path: str, magic: bytes, mode: str = "PERMISS
                         break
                     yield pd.DataFrame([(file, number, source, sequence, *e[:6], e[6]) for e in events], columns=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, HITS)
+    return files.select("path", "content").mapInPandas(run, HITS)
 
 
 def validate(spark: SparkSession, path: str, magic: bytes) -> DataFrame:

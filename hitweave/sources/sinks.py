@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,26 @@ def write_events(events: DataFrame, path: str, counters: list[str] | None = None
     event_columns(events, counters).write.mode("append").option("maxRecordsPerFile", events_per_file).parquet(path)
 
 
+#: Fixed values of the dump format: fields of a record, little-endian and without gaps.
+RECORD = {"module": "u1", "channel": "u1", "energy": "<u2", "energy_short": "<u2", "flags": "<u8", "timestamp_ns": "<f8"}
+
+
+def flat_records(hits: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns and ``record``, the 22 bytes of each hit."""
+    names, layout = list(RECORD), np.dtype(list(RECORD.items()))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            packed = np.empty(len(pdf), layout)
+            for n in names:
+                packed[n] = pdf[n].to_numpy()
+            data, size = packed.tobytes(), layout.itemsize
+            yield pdf[keep].assign(record=[data[i : i + size] for i in range(0, len(data), size)])
+
+    types = dict(hits.dtypes)
+    return hits.select(*dict.fromkeys([*keep, *names])).mapInPandas(run, ", ".join([*(f"`{k}` {types[k]}" for k in keep), "record binary"]))
+
+
 def histogram_rows(hist: DataFrame, keys: list[str], low: float, width: float) -> DataFrame:
     """One row a key with bin centres and counts in order, entries and the fullest bin's centre; as many bins as were filled."""
     centre = F.lit(low) + (F.col("bin") + 0.5) * F.lit(width)

@@ -55,6 +55,49 @@ def time_sorted(hits: DataFrame, delay_ns: float, keys: str = "source_id") -> Da
     return hits.groupBy(keys).applyInPandasWithState(run, SORTED, schema, "append", GroupStateTimeout.NoTimeout)
 
 
+CHUNKS = "source_id long, chunk long, core_start double, core_end double, event_id long, timestamp_ns double, core boolean, late boolean"
+
+
+def next_chunk(held: pd.DataFrame, core_start: float, horizon_ns: float, lookback_ns: float, ended: bool) -> tuple[pd.DataFrame | None, pd.DataFrame, float]:
+    """The chunk that can be given out, or None, the hits that are kept, and where the next core starts.
+
+    A core ends ``horizon_ns`` before the newest hit, at the end of the data at infinity; hits from ``lookback_ns`` before
+    that on are kept as context of the next chunk, in whose core the earlier ones are not. While the hits do not span more than the horizon, all are kept.
+    """
+    held = held.sort_values(["timestamp_ns", "event_id"])
+    times = held["timestamp_ns"]
+    core_end = float("inf") if ended else (times.max() - horizon_ns if len(held) else float("-inf"))
+    if not len(held) or core_end <= times.iloc[0]:
+        return None, held, core_start
+    chunk = held.assign(core_start=core_start, core_end=core_end, core=(times >= core_start) & (times < core_end))
+    return chunk, held[times >= core_end - lookback_ns], core_end
+
+
+def safe_chunks(hits: DataFrame, horizon_ns: float, lookback_ns: float, keys: str = "source_id") -> DataFrame:
+    """Sorted chunks of each source from rows with ``end``, true on a row that closes the source's run and is no hit itself.
+
+    Events are built in a chunk from all its hits, and those whose first trigger is a ``core`` hit count: each hit is in one core, unless
+    it comes below it and so ``late``. State is what lies within horizon and look-back, and starts anew after an end.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        number, start, ids, times = state.get if state.exists else (0, float("-inf"), [], [])
+        pdf = pd.concat(list(frames))
+        ended, fresh = bool(pdf["end"].any()), pdf[~pdf["end"].astype(bool)]
+        carried = pd.DataFrame({"event_id": list(ids), "timestamp_ns": list(times), "late": False})
+        fresh = fresh[["event_id", "timestamp_ns"]].assign(late=fresh["timestamp_ns"] < start)
+        chunk, rest, start = next_chunk(fresh if carried.empty else pd.concat([carried, fresh]), start, horizon_ns, lookback_ns, ended)
+        if ended:
+            state.remove()
+        else:
+            state.update((number + (chunk is not None), float(start), [int(i) for i in rest["event_id"]], [float(t) for t in rest["timestamp_ns"]]))
+        if chunk is not None:
+            yield chunk.assign(source_id=key[0], chunk=number)[[c.split()[0] for c in CHUNKS.split(", ")]]
+
+    schema = "number long, core_start double, ids array<long>, times array<double>"
+    return hits.groupBy(keys).applyInPandasWithState(run, CHUNKS, schema, "append", GroupStateTimeout.NoTimeout)
+
+
 def nearest_in_stream(left: DataFrame, right: DataFrame, window_ns: float, delay: str) -> DataFrame:
     """Pairs of two watermarked streams within ``window_ns``, by an interval join; the nearest is picked downstream by ``min_by``."""
     margin = f"{int(window_ns // 1000) + 1} microseconds"
