@@ -142,11 +142,12 @@ class Network:
         full = bool(there.all())
         for at, way, order in ((0, "f", range(WINDOW)), (1, "b", range(WINDOW - 1, -1, -1))):
             read = weights[:, at * HIDDEN : (at + 1) * HIDDEN]
-            u = np.concatenate([self.p[f"u{way}"].T, read]).astype(read.dtype)  # a step also reads the state it starts from
-            h, work = np.zeros((HIDDEN, n), np.float32), [np.empty((k, n), np.float32) for k in (3 * HIDDEN + 2, 2 * HIDDEN, HIDDEN, HIDDEN)]
+            u = scaled_weights(self.p[f"u{way}"], read)  # a step also reads the state it starts from
+            state, work = np.zeros((HIDDEN + 1, n), np.float32), [np.empty((k, n), np.float32) for k in (3 * HIDDEN + 2, 2 * HIDDEN, HIDDEN, HIDDEN)]
+            state[HIDDEN], h = 1, state[:HIDDEN]
             before = None
             for t in order:
-                step_in_place(steps[t].T[3 * HIDDEN * at : 3 * HIDDEN * (at + 1)], h, u, *work)
+                step_in_place(steps[t].T[3 * HIDDEN * at : 3 * HIDDEN * (at + 1)], state, u, *work)
                 if before is not None:
                     scores[:, before] += work[0][3 * HIDDEN :]
                 if at and not full:
@@ -159,14 +160,22 @@ class Network:
         return (weight * scores[1]).sum(axis=0) / weight.sum(axis=0) + self.p["bias"][0]
 
 
-def step_in_place(x: np.ndarray, h: np.ndarray, u: np.ndarray, hu: np.ndarray, gates: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """:func:`cell` for scoring: units in rows, the state ``h`` replaced, the last four arrays for intermediate values; ``u`` may have more rows."""
-    n = HIDDEN
-    np.matmul(u, h, out=hu)
+def scaled_weights(u: np.ndarray, read: np.ndarray) -> np.ndarray:
+    """Weights of :func:`step_in_place` over a state with a last row of ones: gates moved up by 2, candidates divided by 4, ``read`` as it is."""
+    rows = np.concatenate([u[:, : 2 * HIDDEN].T, 0.25 * u[:, 2 * HIDDEN :].T, read])
+    shift = np.repeat([2, 0], [2 * HIDDEN, len(rows) - 2 * HIDDEN])
+    return np.column_stack([rows, shift]).astype(np.float32)
+
+
+def step_in_place(x: np.ndarray, state: np.ndarray, u: np.ndarray, hu: np.ndarray, gates: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """:func:`cell` for scoring: units in rows, the state replaced but for its ones, the last four arrays for intermediate values.
+
+    Gates are kept four times as large, from 0 to 4, which spares two passes over them.
+    """
+    n, h = HIDDEN, state[:HIDDEN]
+    np.matmul(u, state, out=hu)
     np.add(x[: 2 * n], hu[: 2 * n], out=gates)
-    gates *= 0.25
-    gates += 0.5
-    np.clip(gates, 0, 1, out=gates)
+    np.clip(gates, 0, 4, out=gates)
     np.multiply(gates[n:], hu[2 * n : 3 * n], out=a)
     a += x[2 * n :]
     np.abs(a, out=b)
@@ -174,6 +183,7 @@ def step_in_place(x: np.ndarray, h: np.ndarray, u: np.ndarray, hu: np.ndarray, g
     a /= b
     a -= h
     a *= gates[:n]
+    a *= 0.25
     h += a
 
 
