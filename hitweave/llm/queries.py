@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("language_id", "fingerprints", "exact_dedup", "simhash", "mixing", "suffix_dedup", "quality", "bpe", "toxicity", "chat")
+MODULES = ("language_id", "fingerprints", "exact_dedup", "simhash", "mixing", "suffix_dedup", "quality", "bpe", "toxicity", "chat", "spelling")
 
 
 def queries() -> dict:
