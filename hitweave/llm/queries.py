@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("language_id", "fingerprints", "exact_dedup", "simhash", "mixing", "suffix_dedup", "quality", "bpe", "toxicity", "chat", "packing", "spelling")
+MODULES = ("language_id", "fingerprints", "exact_dedup", "simhash", "mixing", "suffix_dedup", "quality", "bpe", "toxicity", "chat", "repair", "packing", "spelling")
 
 
 def queries() -> dict:
