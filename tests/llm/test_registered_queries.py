@@ -15,6 +15,8 @@ from hitweave.llm import exact_dedup, fingerprints, language_id, mixing, quality
 
 WORDS = {"en": "the of and house water stone with from over".split(), "de": "der und das haus wasser stein mit von über".split()}
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Queries that return other rows than one a document.
+OTHER_TABLES = ("op9_chat", "op11_repair", "op12_packing", "op13_spelling")
 CLASH = ["row", "number", "_d", "_c", "_digest", "_found", "lang_pred", "score", "predicted", "held_out", "h", "mark", "_id", "_range", "ids", "decoded", "slot", "block", "fp"]
 
 
@@ -47,14 +49,14 @@ def fold(i, n):
     return None if i is None else zlib.crc32(str(i).encode()) % n
 
 
-@pytest.mark.parametrize("name", [n for n in queries.queries() if n != "op9_chat"])
+@pytest.mark.parametrize("name", [n for n in queries.queries() if n not in OTHER_TABLES])
 def test_every_row_has_its_result(spark, folder, name):
     path, rows, _ = folder
     found = queries.queries()[name](spark, path)
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in found.select("doc_id").collect()) == sorted((r[0] is None, r[0] or 0) for r in rows)
 
 
-@pytest.mark.parametrize("name", [n for n in queries.queries() if n != "op9_chat"])
+@pytest.mark.parametrize("name", [n for n in queries.queries() if n not in OTHER_TABLES])
 def test_empty_tables_give_no_rows(spark, tmp_path, name):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
