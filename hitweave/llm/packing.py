@@ -17,7 +17,7 @@ remainders of one length goes where depends on how the input is dealt to tasks;
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -31,35 +31,97 @@ from pyspark.sql import types as T
 from .bpe import parts
 from .common import durable, table
 
-#: White space on which the byte-level pattern ends a token that has begun with anything else.
-SPACE = "\t-\r \x85\xa0  -     　"
-CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Chunks whose ids a task remembers, and again as many that it is about to forget.
-REMEMBERED = 1 << 18
+#: Bytes of ASCII white space, bytes before which it surely begins, letters, punctuation. The byte-level pattern ends a token before white space that follows
+#: anything else, and before punctuation that follows a letter, so texts may be cut there.
+SPACE, SURE, LETTER, MARK = (np.zeros(256, bool) for _ in range(4))
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SURE[[*range(0x21, 0x7F), *range(0x80, 0x100)]] = True
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+#: The other characters of white space. No cut is made after these, nor after control characters.
+WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+UNSURE = frozenset(map(chr, [*range(0x21), 0x7F])) | frozenset(WIDE_SPACES)
+#: Bytes of text that are worked on together, chunks whose ids are remembered, and bytes of new chunks that are encoded in one call.
+TOGETHER, REMEMBERED, CALL = 1 << 22, 1 << 19, 1 << 14
+
+
+def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where chunks of the texts that begin at ``starts`` begin, in order: at ASCII white space after a character that is surely not white space, and at
+    ASCII punctuation after an ASCII letter."""
+    begins = np.zeros(len(data), bool)
+    begins[1:] = SPACE[data[1:]] & SURE[data[:-1]] | MARK[data[1:]] & LETTER[data[:-1]]
+    wide = np.flatnonzero(begins[1:] & (data[:-1] >= 0x80)) + 1
+    for space in WIDE_SPACES:
+        raw = np.frombuffer(space.encode(), np.uint8)
+        same = wide >= len(raw)
+        for k, byte in enumerate(raw):
+            same &= data[np.maximum(wide - len(raw) + k, 0)] == byte
+        begins[wide[same]] = False
+    begins[starts] = True
+    return np.flatnonzero(begins)
 
 
 class Ids:
-    """Ids of texts as packed little-endian unsigned 32-bit numbers; chunks met before are looked up."""
+    """Ids of texts under a byte-level tokenizer. Texts are cut into chunks, of which only those not met lately are encoded, many in one call."""
 
     def __init__(self, tokenizer: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark keeps the cores busy
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(tokenizer)
         self.model.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.sizes = np.zeros(self.model.get_vocab_size(), np.int64)
+        for token, number in self.model.get_vocab(with_added_tokens=False).items():
+            self.sizes[number] = len(token)  # such a tokenizer spells each byte by one character
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.first, self.count = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def learn(self, chunks: list[str]) -> None:
+        """Adds the ids of new chunks. Those that begin with white space and end with none are laid end to end, and their ids told apart by their bytes."""
+        joint = [c for c in chunks if c[0] in " \t\n\r\v\f" and c[-1] not in UNSURE]
+        single = [c for c in chunks if not (c[0] in " \t\n\r\v\f" and c[-1] not in UNSURE)]
+        made, counts = [self.pool], []
+        sizes = np.fromiter((len(c.encode()) for c in joint), np.int64, len(joint))
+        part = (np.cumsum(sizes) - sizes) // CALL
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(joint)] if joint else [0]
+        for a, b in zip(edges[:-1], edges[1:]):
+            ids = np.array(self.model.encode_batch_fast(["".join(joint[a:b])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(sizes[a:b])) + 1
+            made.append(ids)
+            counts.append(np.diff(ends, prepend=0))
+        for a in range(0, len(single), 1024):
+            found = [e.ids for e in self.model.encode_batch_fast(single[a : a + 1024], add_special_tokens=False)]
+            made.append(np.array([i for ids in found for i in ids], np.uint32))
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+        self.known |= zip(joint + single, range(len(self.known), len(self.known) + len(chunks)))
+        fresh = np.concatenate(counts) if counts else np.empty(0, np.int64)
+        self.first = np.concatenate((self.first, len(self.pool) + np.cumsum(fresh) - fresh))
+        self.count = np.concatenate((self.count, fresh))
+        self.pool = np.concatenate(made)
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's end; nulls are empty."""
+        texts = texts.fill_null("").cast(pa.string())
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        if ends[-1] == ends[0]:
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        ends -= ends[0]
+        begins = cuts(data, np.unique(ends[:-1][np.diff(ends) > 0]))
+        offsets = np.concatenate((begins, ends[-1:])).astype(np.int32)
+        chunks = pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
         if len(self.known) > REMEMBERED:
-            self.known, self.old = {}, self.known
-        pieces = [CHUNK.findall(text) for text in texts]
-        fresh = set().union(*pieces).difference(self.known)
-        self.known |= {c: self.old[c] for c in fresh if c in self.old}
-        fresh = [c for c in fresh if c not in self.known]
-        made = self.model.encode_batch_fast(fresh, add_special_tokens=False)
-        self.known |= {c: np.asarray(e.ids, "<u4").tobytes() for c, e in zip(fresh, made)}
-        ids_of = self.known.__getitem__
-        return [b"".join(map(ids_of, row)) for row in pieces]
+            self.forget()
+        words = chunks.dictionary.to_pylist()
+        self.learn([w for w in words if w not in self.known])
+        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[chunks.indices.to_numpy()]
+        count = self.count[which]
+        upto = np.cumsum(count)
+        ids = self.pool[np.repeat(self.first[which] - upto + count, count) + np.arange(upto[-1])]
+        return ids, np.concatenate(([0], upto))[np.searchsorted(begins, ends[1:])]
 
 
 def windows(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -74,10 +136,12 @@ def windows(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
         encoder, task, width = Ids(tokenizer), TaskContext.get().partitionId(), 4 * capacity
         end, before, ranks = np.asarray([end_id], "<u4").tobytes(), 0, [0] * capacity
         for batch in batches:
-            for first, count in parts(batch.column(1)):
+            for first, count in parts(batch.column(1), TOGETHER):
                 found: list[list] = [[] for _ in range(8)]
-                for ids in encoder.encode([t or "" for t in batch.column(1).slice(first, count).to_pylist()]):
-                    ids += end
+                flat, ends = encoder.encode(batch.column(1).slice(first, count))
+                packed = flat.astype("<u4", copy=False).tobytes()
+                for a, b in zip([0, *ends.tolist()], ends.tolist()):
+                    ids = packed[4 * a : 4 * b] + end
                     full = [zlib.crc32(ids[a : a + width]) for a in range(0, len(ids) - width + 1, width)]
                     rest = ids[len(full) * width :]
                     length = len(rest) // 4

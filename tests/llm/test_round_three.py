@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,9 +154,12 @@ def test_packing_of_no_rows(spark, tmp_path):
 
 
 def test_chunks_have_the_ids_of_the_whole():
-    encoder = packing.Ids(packing.public_tokenizer())
-    texts = [t or "" for _, t in odd_texts(2)]
-    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [ids[:-1] for ids in ids_of(texts)]
+    encoder, rng = packing.Ids(packing.public_tokenizer()), random.Random(6)
+    odd = [*packing.UNSURE, *" \n.!'aé1日🙂 ", "the", " the", "'s", "\u200b"]
+    texts = [t or "" for _, t in odd_texts(2)] + ["".join(rng.choice(odd) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    for _ in range(2):  # the second time all are known
+        ids, ends = encoder.encode(pa.array([*texts, None]).slice(1))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [i[:-1] for i in ids_of([*texts[1:], ""])]
 
 
 def test_fill_comes_closest():
