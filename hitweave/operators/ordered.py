@@ -7,8 +7,17 @@ range, at most some ``MAX_RANGES`` of them, so the results are those of one glob
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .durable import dealt_in_order
 
 MAX_RANGES = 1 << 17
 
@@ -80,26 +89,156 @@ def running_max(rows: DataFrame, value: str, order: list[str], amount: str, name
 
 
 def extended_counter(rows: DataFrame, order: str, raw: str, bits: int, keys: list[str]) -> DataFrame:
-    """Adds ``extended`` and ``late`` of a counter of ``bits`` bits that wraps, in the order of ``order`` among equal ``keys``.
+    """Adds ``extended`` and ``late`` of a counter of ``bits`` bits that wraps, in the order of ``order``, then ``raw``, among equal ``keys``.
+
+    Each reading is compared with the last one that was on time. A step forward of at most half a period is on time, and begins the next epoch
+    where the counter falls. Any other reading is late: it belongs to the epoch before and changes nothing; in the first epoch it has no place and
+    ``extended`` is null. Bits above ``bits`` are cut off; null readings stay null and change nothing.
+
+    Rows are sorted over all tasks and written once. A first pass tells for each task what its first key does to any last reading
+    that the task before may end with; the driver chains these few numbers a task, and a second pass counts with the right beginning.
+    """
+    columns = [c for c in rows.columns if c not in ("extended", "late")]
+    dealt = dealt_in_order(rows.select(*columns), [F.col(c) for c in (*keys, order, raw)])
+    places = [columns.index(k) for k in keys]
+    at, mask = columns.index(raw), (1 << bits) - 1
+
+    def readings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, tuple]], np.ndarray, np.ndarray]]:
+        """Each batch with its runs ``(first, end, key)``, its readings, 0 for null, and which are not null."""
+        for batch in batches:
+            if batch.num_rows:
+                names = list(zip(*(batch.column(i).to_pylist() for i in places))) or [()] * batch.num_rows
+                edges = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+                column = batch.column(at).cast(pa.int64())
+                yield batch, [(a, b, names[a]) for a, b in zip(edges[:-1], edges[1:])], column.fill_null(0).to_numpy() & mask, column.is_valid().to_numpy(zero_copy_only=False)
+
+    def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a task: its first key with its effect, and its last key with how it ends if it began here."""
+        first, last, effect, end = None, None, None, None
+        for _, runs, values, valid in readings(batches):
+            for a, b, key in runs:
+                some = values[a:b][valid[a:b]]
+                if first is None:
+                    first, effect = (key,), CounterEffect(bits)
+                if last != (key,):
+                    last, end = (key,), (None, 0)
+                if first == (key,):
+                    effect.read(some)
+                _, _, end = counted(some, bits, end)
+        if first is not None:
+            found = pickle.dumps((first, effect.arcs(), last, end))
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([found], pa.binary())], ["task", "found"])
+
+    begin: dict[int, tuple] = {}  # of each task whose first key goes on from the task before: the key and its state; a few numbers a task
+    before: tuple = (None, (None, 0))
+    for task, found in sorted(tuple(r) for r in dealt.mapInArrow(effects, "task long, found binary").collect()):
+        first, arcs, last, end = pickle.loads(found)
+        if before[0] == first:
+            begin[task] = (first, before[1])
+            if last == first:
+                end = after_arcs(arcs, before[1], end)
+        before = (last, end)
+
+    schema = T.StructType([*dealt.schema.fields, T.StructField("extended", T.LongType()), T.StructField("late", T.BooleanType())])
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = begin.get(TaskContext.get().partitionId(), (None, (None, 0)))
+        for batch, runs, values, valid in readings(batches):
+            wide, late = np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+            known = valid.copy()
+            for a, b, name in runs:
+                if key != (name,):
+                    key, state = (name,), (None, 0)
+                here = a + np.flatnonzero(valid[a:b])
+                epochs, behind, state = counted(values[here], bits, state)
+                wide[here], late[here], known[here] = (epochs << bits) + values[here], behind, epochs >= 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(wide, mask=~known), pa.array(late)], schema.names)
+
+    return dealt.mapInArrow(extend, schema)
 
-    A step forward of at most half a period goes on, into the next epoch where the counter falls. A reading behind by less is a late
-    arrival: it belongs to the epoch before and changes nothing for the readings after it; in the first epoch it has no
-    place and ``extended`` is null. Late readings are found on the path of wrapped differences, where they lie below its maximum so
-    far; readings that are not late may lie up to half a period apart from late ones between them.
+
+def counted(values: np.ndarray, bits: int, state: tuple) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Epoch of each reading (-1: none), whether it is late, and the state after: the last reading on time and the epoch."""
+    last, epoch = state
+    mask, half = (1 << bits) - 1, 1 << (bits - 1)
+    if len(values) == 0:
+        return np.empty(0, np.int64), np.empty(0, bool), state
+    joined = np.concatenate(([values[0] if last is None else last], values))
+    if not ((joined[1:] - joined[:-1] & mask) > half).any():
+        epochs = epoch + np.cumsum(joined[1:] < joined[:-1])
+        return epochs, np.zeros(len(values), bool), (int(values[-1]), int(epochs[-1]))
+    epochs, late = np.empty(len(values), np.int64), np.zeros(len(values), bool)
+    last = int(joined[0])
+    for i, value in enumerate(values.tolist()):
+        if value - last & mask > half:
+            epochs[i], late[i] = epoch - 1, True
+        else:
+            epoch += value < last
+            epochs[i], last = epoch, value
+    return epochs, late, (last, epoch)
+
+
+class CounterEffect:
+    """What readings do to any last reading on time before them, as arcs of such values that fare alike.
+
+    An arc either has met no reading that is on time for it and keeps its own value, or follows a track: a last reading, epochs begun since.
+    Tracks that come to the same reading go on as one, after which the rest is plain counting.
     """
-    period, half = 1 << bits, 1 << (bits - 1)
-    dealt = with_range(rows, order)
-    lagged = lag_global(dealt, order, [order], {"_prev": raw}, keys)
-    ahead = F.pmod(F.col(raw) - F.col("_prev"), F.lit(period))
-    step = F.when(F.col("_prev").isNull(), F.col(raw)).when(ahead <= half, ahead).otherwise(ahead - period)
-    path = running_max(running_sum(lagged.withColumn("_step", step.cast("long")), order, [order], "_step", "_at", keys), order, [order], "_at", "_top", keys)
-    path = path.withColumn("late", F.col("_at") < F.col("_top")).drop("_prev", "_step", "_at", "_top")
-    on_time = lag_global(path.filter("NOT late"), order, [order], {"_prev": raw}, keys)
-    on_time = on_time.withColumn("_wrap", F.when(F.col(raw) < F.col("_prev"), 1).otherwise(0).cast("long")).drop("_prev")
-    both = on_time.unionByName(path.filter("late").withColumn("_wrap", F.lit(0).cast("long")))
-    found = running_sum(both, order, [order], "_wrap", "_epoch", keys)
-    epoch = F.when(F.col("late"), F.col("_epoch") - 1).otherwise(F.col("_epoch"))
-    return found.withColumn("extended", F.when(epoch >= 0, epoch * period + F.col(raw))).drop("_range", "_wrap", "_epoch")
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.open = bits, [(0, (1 << bits) - 1)]
+        self.tracks: list[list[int]] = []  # last reading, epochs begun
+        self.held: list[tuple[int, int, int, int]] = []  # first and last value of the arc, its track, epochs more than the track's
+
+    def read(self, values: np.ndarray) -> None:
+        at = 0
+        while at < len(values) and (self.open or len(self.tracks) > 1):
+            self._one(int(values[at]))
+            at += 1
+        if at < len(values):
+            _, _, state = counted(values[at:], self.bits, tuple(self.tracks[0]))
+            self.tracks[0] = list(state)
+
+    def _one(self, value: int) -> None:
+        period, half = 1 << self.bits, 1 << (self.bits - 1)
+        for track in self.tracks:
+            if value - track[0] & (period - 1) <= half:
+                track[1] += value < track[0]
+                track[0] = value
+        fresh = []
+        for low, high, more in ((max(0, value - half), value, 0), (value - half + period, period - 1, 1)):  # before it, and from the epoch before
+            for a, b in self.open:
+                if max(a, low) <= min(b, high):
+                    fresh.append((max(a, low), min(b, high), more))
+        if fresh:
+            self.tracks.append([value, 0])
+            self.held += [(a, b, len(self.tracks) - 1, more) for a, b, more in fresh]
+            for a, b, _ in fresh:
+                self.open = [piece for x, y in self.open for piece in ((x, min(y, a - 1)), (max(x, b + 1), y)) if piece[0] <= piece[1]]
+        self._join()
+
+    def _join(self) -> None:
+        first: dict[int, int] = {}
+        kept, moved = [], {}
+        for i, (last, begun) in enumerate(self.tracks):
+            if last not in first:
+                first[last] = len(kept)
+                kept.append([last, begun])
+            moved[i] = (first[last], begun - kept[first[last]][1])
+        self.tracks = kept
+        self.held = [(a, b, moved[t][0], more + moved[t][1]) for a, b, t, more in self.held]
+
+    def arcs(self) -> list[tuple[int, int, int | None, int]]:
+        """``first, last, reading after (none: its own), epochs begun`` of every arc."""
+        return [(a, b, None, 0) for a, b in self.open] + [(a, b, self.tracks[t][0], self.tracks[t][1] + more) for a, b, t, more in self.held]
+
+
+def after_arcs(arcs: list[tuple], state: tuple, fresh: tuple) -> tuple:
+    """The state after readings with these arcs, from ``state``; ``fresh`` is the state if nothing came before."""
+    if state[0] is None:
+        return fresh
+    last, begun = next((q, n) for a, b, q, n in arcs if a <= state[0] <= b)
+    return (state[0] if last is None else last, state[1] + begun)
 
 
 def dense_number(rows: DataFrame, value: str, order: list, name: str) -> DataFrame:

@@ -44,7 +44,7 @@ def loss_percent(spark, d):
 
 
 def rollover_extend(spark, d):
-    """A 20-bit counter made monotone: every fall is one more period."""
+    """A 20-bit counter made monotone: a fall of over half a period begins the next one."""
     rows = batches(spark, d).select("source_id", "event_id", (F.col("event_id") * 300 % (1 << 20)).alias("raw"))
     return extended_counter(rows, "event_id", "raw", 20, ["source_id"]).select("source_id", "event_id", "extended")
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -23,26 +24,60 @@ def test_uneven_times_are_dealt_evenly_and_lag_is_global(spark, times):
     assert found == {b: a for a, b in zip([None, *order], order)}
 
 
-@pytest.mark.parametrize("bits,seed", [(4, 1), (8, 2), (13, 3)])
-def test_counters_with_late_readings(spark, bits, seed):
-    rng, period = random.Random(seed), 1 << bits
-    rows, now = [], rng.randrange(period)
-    for i in range(300):
-        now += rng.randrange(period // 8)
-        rows.append((i % 2, i, (now - (rng.randrange(1, period // 4) if rng.random() < 0.2 and i > 1 else 0)) % period))
-    state, expected = {}, {}
-    for k, i, raw in rows:
+def extended(rows, bits):
+    """``(k, i, raw, extended, late)`` by the rule, one reading after another."""
+    state, out, period = {}, [], 1 << bits
+    for k, i, raw in sorted(rows, key=lambda r: (r[0], r[1])):
         if k not in state:
-            state[k], expected[i] = (raw, 0), (raw, False)
+            state[k] = (raw, 0)
+            out.append((k, i, raw, raw, False))
             continue
         last, epoch = state[k]
         if (raw - last) % period > period // 2:
-            expected[i] = (None if epoch == 0 else (epoch - 1) * period + raw, True)
+            out.append((k, i, raw, None if epoch == 0 else (epoch - 1) * period + raw, True))
         else:
             state[k] = (raw, epoch + (raw < last))
-            expected[i] = (state[k][1] * period + raw, False)
-    found = O.extended_counter(spark.createDataFrame(rows, "k int, id long, raw long"), "id", "raw", bits, ["k"]).collect()
-    assert {r.id: (r.extended, r.late) for r in found} == expected and any(late for _, late in expected.values())
+            out.append((k, i, raw, state[k][1] * period + raw, False))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("bits,step,behind,seed", [(4, 2, 4, 1), (8, 32, 64, 2), (13, 4095, 4095, 3), (16, 30_000, 20_000, 4), (5, 32, 1, 5)])
+@pytest.mark.parametrize("parts,adaptive", [("1", "true"), ("2", "false"), ("8", "true"), ("8", "false")])
+def test_counters_with_late_readings(spark, bits, step, behind, seed, parts, adaptive):
+    rng, period = random.Random(seed), 1 << bits
+    rows, now = [], rng.randrange(period)
+    for i in range(400):
+        now += rng.randrange(step)
+        key = 0 if i < 300 else i % 3
+        rows.append((key, i, (now - (rng.randrange(behind) if rng.random() < 0.3 else 0)) % period))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(old, (parts, adaptive)):
+            spark.conf.set(k, v)
+        found = O.extended_counter(spark.createDataFrame(rows, "k int, id long, raw long").repartition(3), "id", "raw", bits, ["k"])
+        assert found.rdd.getNumPartitions() in (1, int(parts)) and found.count() == len(rows)
+        assert Counter(map(tuple, found.collect())) == extended(rows, bits)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_effect_of_readings_on_any_beginning(seed):
+    rng, bits = random.Random(seed), 5
+    values = [rng.randrange(32) for _ in range(rng.randrange(1, 8))]
+    effect = O.CounterEffect(bits)
+    effect.read(np.array(values))
+    for begin in range(32):
+        *_, state = O.counted(np.array(values), bits, (begin, 7))
+        assert O.after_arcs(effect.arcs(), (begin, 7), None) == state
+
+
+def test_counters_without_readings(spark):
+    empty = O.extended_counter(spark.createDataFrame([], "k int, id long, raw long"), "id", "raw", 8, ["k"])
+    assert empty.collect() == [] and empty.columns == ["k", "id", "raw", "extended", "late"]
+    rows = O.extended_counter(spark.createDataFrame([(1, 1, None), (1, 2, 300), (1, 3, None), (1, 4, 5)], "k int, id long, raw long"), "id", "raw", 8, ["k"])
+    assert sorted((r.id, r.extended, r.late) for r in rows.collect()) == [(1, None, False), (2, 44, False), (3, None, False), (4, None, True)]
 
 
 def test_rates_are_written_with_their_unit(spark):
