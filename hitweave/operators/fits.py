@@ -77,19 +77,38 @@ def gaussian_on_constant(p: np.ndarray, x: np.ndarray) -> np.ndarray:
     return p[0] * np.exp(-0.5 * ((x - p[1]) / p[2]) ** 2) + p[3]
 
 
+def clipped_moments(x: np.ndarray, y: np.ndarray, rounds: int = 4) -> tuple[float, float, float, float]:
+    """Height, centre and spread of the counts above the ground around the fullest five bins, and the ground, the lower quintile.
+
+    Each round takes the moments of what lies within two and a half spreads of the centre found so far.
+    """
+    ground = float(np.quantile(y, 0.2))
+    above = np.clip(y - ground, 0, None)
+    centre, spread = x[np.convolve(above, np.ones(min(5, len(y))), "same").argmax()], len(y) / 5
+    for _ in range(rounds):
+        weight = np.where(np.abs(x - centre) <= 2.5 * spread, above, 0)
+        if weight.sum() <= 0:
+            break
+        centre = float(np.average(x, weights=weight))
+        spread = max(float(np.sqrt(np.average((x - centre) ** 2, weights=weight))), 0.5)
+    return float(above.max()), centre, spread, ground
+
+
 def fit_region(y: np.ndarray, low: int, least: float) -> dict:
-    """Gaussian on a constant over bins from ``low`` on, by least squares without weights; ``status`` tells why there is no fit."""
-    x, high = low + np.arange(len(y), dtype=float), low + len(y)
+    """Gaussian on a constant over bins from ``low`` on, by least squares without weights; ``status`` tells why there is no fit.
+
+    Limits: an amplitude to ten times the greatest count, a centre inside the bins, a sigma from half a bin to all bins, a ground of 0 or more.
+    """
     if y.sum() < least:
         return {"status": "too few counts"}
-    top, ground = y.max(), (y[0] + y[-1]) / 2
-    wide = x[y > (top + ground) / 2]
-    sigma = max((wide[-1] - wide[0]) / 2.35, 1.0) if len(wide) > 1 else len(y) / 6
-    limits = np.array([0, low, 0.5, 0]), np.array([10 * top, high, len(y), np.inf])
-    p, _ = levenberg(gaussian_on_constant, np.clip([top, x[y.argmax()], sigma, ground], *limits), x, y, np.ones(len(y)), limits=limits)
-    chi2 = float(((y - gaussian_on_constant(p, x)) ** 2 / np.where(y > 0, y, 1)).sum())
-    found = {"amplitude": p[0], "mu": p[1], "sigma": p[2], "ground": p[3], "chi2_ndf": chi2 / max(len(y) - 4, 1)}
-    return found | {"status": "ok"} if np.isfinite(p).all() else {"status": "no fit"}
+    x = np.arange(low, low + len(y), dtype=float)
+    limits = np.array([[0, 10 * y.max()], [low, low + len(y)], [0.5, len(y)], [0, np.inf]], float).T
+    p, _ = levenberg(gaussian_on_constant, np.clip(clipped_moments(x, y), *limits), x, y, np.ones(len(y)), limits=tuple(limits))
+    if not np.isfinite(p).all():
+        return {"status": "no fit"}
+    off = y - gaussian_on_constant(p, x)
+    chi2 = float((off**2 / np.where(y > 0, y, 1)).sum())
+    return dict(zip(("amplitude", "mu", "sigma", "ground"), p)) | {"chi2_ndf": chi2 / max(len(y) - 4, 1), "status": "ok"}
 
 
 def fit_regions(hist: DataFrame, keys: list[str], low: int, high: int, least: float = 1000) -> DataFrame:
