@@ -1,7 +1,7 @@
 """Recorded run files: header, length-prefixed blocks of event batches, 64-byte footer.
 
-``read_hits`` lists files with Spark's ``binaryFile`` reader, so any store works, and
-decodes them in ``mapInPandas``, one file a row. A bad block ends its file:
+Hits are read by runs of blocks, see ``run_files``. What works on files whole, validation, recovery and streams of files, takes them from Spark's
+``binaryFile`` reader, one file a row. A bad block ends its file:
 in ``PERMISSIVE`` mode what came before is kept, in ``FAILFAST`` mode the job stops. The file
 magic is a parameter.
 """
@@ -33,7 +33,7 @@ def write_run(batches: list[tuple[int, int, int, list]], magic: bytes, header: d
     for batch in batches:
         block = pack(list(batch))
         state = rolled(state, block)
-        events, size = events + len(batch[3]), size + len(block)
+        events, size = events + len(batch[3]), size + 4 + len(block)
         times += [e[4] for e in batch[3]]
         out += [struct.pack("<I", len(block)), block]
     return b"".join(out) + closing(state, events, size, times, complete)
@@ -45,8 +45,10 @@ def closing(state: int, events: int, size: int, times: list[float], complete: bo
 
 
 def rolled(state: int, block: bytes) -> int:
-    """Order-dependent checksum: rotated by 5, then crossed with the block's hash."""
-    return ((state << 5 | state >> 59) & (1 << 64) - 1) ^ xxhash.xxh64_intdigest(block, 0)
+    """Order-dependent checksum of the length prefix, then of the block: rotated by 5, then crossed with the hash."""
+    for part in (struct.pack("<I", len(block)), block):
+        state = ((state << 5 | state >> 59) & (1 << 64) - 1) ^ xxhash.xxh64_intdigest(part, 0)
+    return state
 
 
 def blocks(data: bytes, magic: bytes) -> Iterator[tuple[int, bytes, str | None]]:
@@ -72,8 +74,10 @@ def decode(block: bytes) -> tuple[int, int, list]:
 
 
 def read_hits(spark: SparkSession, path: str, magic: bytes, mode: str = "PERMISSIVE") -> DataFrame:
-    """One row a hit of all files under ``path``."""
-    return decoded(spark.read.format("binaryFile").load(path), magic, mode)
+    """One row a hit of all files under ``path``; see :func:`run_files.read`."""
+    from .run_files import read
+
+    return read(spark, path, magic, mode=mode)
 
 
 def replay(spark: SparkSession, path: str, magic: bytes, files: int = 1, mode: str = "PERMISSIVE") -> DataFrame:
@@ -99,10 +103,10 @@ def recover(spark: SparkSession, path: str, magic: bytes) -> DataFrame:
                         found = None
                     if found is None:
                         break
-                    state, events, size = rolled(state, block), events + len(found), size + len(block)
+                    state, events, size = rolled(state, block), events + len(found), size + 4 + len(block)
                     times += [e[4] for e in found]
                     number += 1
-                good = content[: start + size + 4 * number] + closing(state, events, size, times, True)
+                good = content[: start + size] + closing(state, events, size, times, True)
                 yield pd.DataFrame([(file, good, number, events)], columns=["file", "content", "blocks", "events"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
