@@ -89,7 +89,7 @@ def running_max(rows: DataFrame, value: str, order: list[str], amount: str, name
 
 
 def extended_counter(rows: DataFrame, order: str, raw: str, bits: int, keys: list[str]) -> DataFrame:
-    """Adds ``extended`` and ``late`` of a counter of ``bits`` bits that wraps, in the order of ``order``, then ``raw``, among equal ``keys``.
+    """Adds ``extended`` and ``late``, and ``held``, the extended last reading on time up to here, of a counter of ``bits`` bits that wraps, in the order of ``order``, then ``raw``, among equal ``keys``.
 
     Each reading is compared with the last one that was on time. A step forward of at most half a period is on time, and begins the next epoch
     where the counter falls. Any other reading is late: it belongs to the epoch before and changes nothing; in the first epoch it has no place and
@@ -98,7 +98,7 @@ def extended_counter(rows: DataFrame, order: str, raw: str, bits: int, keys: lis
     Rows are sorted over all tasks and written once. A first pass tells for each task what its first key does to any last reading
     that the task before may end with; the driver chains these few numbers a task, and a second pass counts with the right beginning.
     """
-    columns = [c for c in rows.columns if c not in ("extended", "late")]
+    columns = [c for c in rows.columns if c not in ("extended", "late", "held")]
     dealt = dealt_in_order(rows.select(*columns), [F.col(c) for c in (*keys, order, raw)])
     places = [columns.index(k) for k in keys]
     at, mask = columns.index(raw), (1 << bits) - 1
@@ -139,20 +139,22 @@ def extended_counter(rows: DataFrame, order: str, raw: str, bits: int, keys: lis
                 end = after_arcs(arcs, before[1], end)
         before = (last, end)
 
-    schema = T.StructType([*dealt.schema.fields, T.StructField("extended", T.LongType()), T.StructField("late", T.BooleanType())])
+    schema = T.StructType([*dealt.schema.fields, T.StructField("extended", T.LongType()), T.StructField("late", T.BooleanType()), T.StructField("held", T.LongType())])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = begin.get(TaskContext.get().partitionId(), (None, (None, 0)))
         for batch, runs, values, valid in readings(batches):
-            wide, late = np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+            wide, late, held = np.zeros(len(values), np.int64), np.zeros(len(values), bool), np.full(len(values), -1)
             known = valid.copy()
             for a, b, name in runs:
                 if key != (name,):
                     key, state = (name,), (None, 0)
                 here = a + np.flatnonzero(valid[a:b])
+                before = -1 if state[0] is None else (state[1] << bits) + state[0]
                 epochs, behind, state = counted(values[here], bits, state)
                 wide[here], late[here], known[here] = (epochs << bits) + values[here], behind, epochs >= 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(wide, mask=~known), pa.array(late)], schema.names)
+                held[here] = np.maximum.accumulate(np.concatenate(([before], np.where(behind, -1, wide[here]))))[1:]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(wide, mask=~known), pa.array(late), pa.array(held, mask=~valid)], schema.names)
 
     return dealt.mapInArrow(extend, schema)
 

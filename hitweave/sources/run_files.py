@@ -215,7 +215,7 @@ class RunWriter(DataSourceArrowWriter):
     """Files ``run0007_0000_name`` and on, each a header, blocks and a footer; a task ends a file at ``maxBytes`` or after ``maxSeconds`` and begins the next.
 
     Tasks have number ranges of their own, so that a task run again writes the same files; where the folder holds files of the run already, all new names get the time appended and
-    nothing is overwritten. A batch holds consecutive hits of one source. The driver adds nothing.
+    nothing is overwritten. A batch holds hits of one source in their order. The driver adds nothing.
     """
 
     def __init__(self, columns: list[str], options: dict[str, str]) -> None:
@@ -263,11 +263,13 @@ class RunWriter(DataSourceArrowWriter):
             sources = at.get("source_id", [0] * rows)
             user = at.get("user_info", none)
             events = list(zip(at["module"], at["channel"], at["energy"], at["energy_short"], at["timestamp_ns"], at.get("flags", [0] * rows), user, waves(at, rows)))
-            edges = [0, *(i for i in range(1, rows) if sources[i] != sources[i - 1]), rows]
-            for a, b in zip(edges[:-1], edges[1:]):
-                for k in range(a, b, self.batch):
-                    some = [[*e[:6], list(e[6]) if e[6] else [0, 0, 0, 0], e[7]] for e in events[k : min(b, k + self.batch)]]
-                    raw = block(some, sources[a])
+            of_source: dict[int, list] = {}
+            for source, event in zip(sources, events):
+                of_source.setdefault(source, []).append([*event[:6], list(event[6]) if event[6] else [0, 0, 0, 0], event[7]])
+            for source, mine in of_source.items():
+                for k in range(0, len(mine), self.batch):
+                    some = mine[k : k + self.batch]
+                    raw = block(some, source)
                     if out is not None and (out[3] + 4 + len(raw) > self.most or time.monotonic() - out[5] > self.seconds):
                         end()
                         out = None

@@ -56,7 +56,12 @@ def test_counters_with_late_readings(spark, bits, step, behind, seed, parts, ada
             spark.conf.set(k, v)
         found = O.extended_counter(spark.createDataFrame(rows, "k int, id long, raw long").repartition(3), "id", "raw", bits, ["k"])
         assert found.rdd.getNumPartitions() in (1, int(parts)) and found.count() == len(rows)
-        assert Counter(map(tuple, found.collect())) == extended(rows, bits)
+        got = found.collect()
+        assert Counter((r.k, r.id, r.raw, r.extended, r.late) for r in got) == extended(rows, bits)
+        last = {}
+        for r in sorted(got, key=lambda r: (r.k, r.id)):
+            last[r.k] = last.get(r.k) if r.late else r.extended
+            assert r.held == last[r.k]
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
@@ -75,7 +80,7 @@ def test_effect_of_readings_on_any_beginning(seed):
 
 def test_counters_without_readings(spark):
     empty = O.extended_counter(spark.createDataFrame([], "k int, id long, raw long"), "id", "raw", 8, ["k"])
-    assert empty.collect() == [] and empty.columns == ["k", "id", "raw", "extended", "late"]
+    assert empty.collect() == [] and empty.columns == ["k", "id", "raw", "extended", "late", "held"]
     rows = O.extended_counter(spark.createDataFrame([(1, 1, None), (1, 2, 300), (1, 3, None), (1, 4, 5)], "k int, id long, raw long"), "id", "raw", 8, ["k"])
     assert sorted((r.id, r.extended, r.late) for r in rows.collect()) == [(1, None, False), (2, 44, False), (3, None, False), (4, None, True)]
 
