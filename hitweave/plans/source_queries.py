@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.durable import shared_folder
-from ..sources import run_files
+from ..sources import aggregates, run_files
 from ..sources.hits import HITS_SQL, WAVEFORMS_SQL, hits, waveforms
 
 MAGIC = "RUNFILE1"
@@ -46,7 +46,27 @@ def recorded_traces(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (recorded_hits, recorded_traces)}
+def aggregate_hits(spark: SparkSession, d: str) -> DataFrame:
+    """All hits through 64-bit aggregates of a hundred: every tenth in one word with the event's number as time, the others in two."""
+    word = lambda shift, c: F.shiftleft(c.cast("long"), shift)
+    e, channel, energy = F.col("event_id"), F.col("channel"), F.col("energy")
+    alone = e % 10 == 0
+    last = F.lit(-(1 << 63))
+    one = last.bitwiseOR(word(56, channel)).bitwiseOR(word(16, e.bitwiseAND(F.lit(0xFFFFFFFF)))).bitwiseOR(energy.cast("long"))
+    first = word(56, channel).bitwiseOR(F.expr("cast(timestamp_ns as bigint) div 16384"))
+    rest = (word(50, F.col("flags")), word(26, F.col("energy_short")), word(16, energy % 1024), energy.cast("long"))
+    then = last
+    for part in rest:
+        then = then.bitwiseOR(part)
+    spelt = F.when(alone, F.lpad(F.hex(one), 16, "0")).otherwise(F.concat(F.lpad(F.hex(first), 16, "0"), F.lpad(F.hex(then), 16, "0")))
+    rows = hits(spark, d).select("module", F.expr("event_id div 400").alias("block"), "event_id", spelt.alias("spelt"))
+    body = rows.groupBy("module", "block").agg(F.array_join(F.array_sort(F.collect_list(F.struct("event_id", "spelt")))["spelt"], "").alias("body"))
+    head = F.concat(F.lit("20000000"), F.lpad(F.hex((F.length("body") / 16).cast("long") + 1), 8, "0"))
+    raw = body.select("module", F.unhex(F.concat(head, "body")).alias("content"))
+    return aggregates.decode(raw, "charge64", ["module"]).drop("place")
+
+
+QUERIES = {f.__name__: f for f in (recorded_hits, recorded_traces, aggregate_hits)}
 ORACLE_SQL = {
     "recorded_hits": f"WITH {HITS_SQL} SELECT module, channel, energy, energy_short, timestamp_ns, flags FROM hits",
     "recorded_traces": f"""WITH {WAVEFORMS_SQL}
@@ -54,4 +74,9 @@ ORACLE_SQL = {
                CASE WHEN vec_id % 2 = 0 THEN array_to_string(list_transform(samples, lambda x: CAST(x > 0 AS INTEGER)), ' ') END AS above,
                CAST(CASE WHEN vec_id % 2 = 0 THEN 0 END AS BIGINT) AS other, CASE WHEN vec_id % 2 = 0 THEN ns_per_sample END AS ns_per_sample
         FROM waveforms""",
+    "aggregate_hits": f"""WITH {HITS_SQL}, h AS (SELECT *, event_id % 10 = 0 AS alone FROM hits)
+        SELECT module, channel, energy, CASE WHEN alone THEN 0 ELSE energy_short END AS energy_short, CASE WHEN alone THEN 0 ELSE energy % 1024 END AS fine_time,
+               CASE WHEN alone THEN event_id * 2.0::DOUBLE ELSE (CAST(timestamp_ns AS BIGINT) // 16384) * 2.0::DOUBLE + (energy % 1024) / 1024.0::DOUBLE * 2.0::DOUBLE END AS timestamp_ns,
+               CASE WHEN alone THEN 0 ELSE flags END AS flags
+        FROM h""",
 }

@@ -36,8 +36,8 @@ def windowed_counts(hits: DataFrame, delay: str, span: str) -> DataFrame:
 def time_sorted(hits: DataFrame, delay_ns: float, keys: str = "source_id") -> DataFrame:
     """Hits of each source in time order: released once ``delay_ns`` older than the newest; those already passed come out late.
 
-    State is the buffer of one source and its newest time. At the end of the
-    data :func:`flush` of the same rows is a batch sort.
+    State is the buffer of one source and its newest time. Ids and times only, and the tail stays held;
+    :func:`stateful.time_sorted` keeps all columns and ends with the run.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -99,7 +99,7 @@ def safe_chunks(hits: DataFrame, horizon_ns: float, lookback_ns: float, keys: st
 
 
 def nearest_in_stream(left: DataFrame, right: DataFrame, window_ns: float, delay: str) -> DataFrame:
-    """Pairs of two watermarked streams within ``window_ns``, by an interval join; the nearest is picked downstream by ``min_by``."""
+    """Pairs of two watermarked streams within ``window_ns``, by an interval join. All of them: :func:`stateful.nearest_in_stream` picks the nearest in the stream."""
     margin = f"{int(window_ns // 1000) + 1} microseconds"
     a = with_event_time(left, delay).select(F.col("event_id").alias("left_id"), F.col("timestamp_ns").alias("left_ns"), F.col("event_time").alias("left_time"))
     b = with_event_time(right, delay).select(F.col("event_id").alias("right_id"), F.col("timestamp_ns").alias("right_ns"), F.col("event_time").alias("right_time"))
