@@ -1,4 +1,4 @@
-"""Queries over recorded run files that Spark first writes from the given tables, by the format of :mod:`hitweave.sources.run_files`."""
+"""Queries over recorded run files and raw read-outs that Spark first makes of the given tables, over histogram lists of both scopes and over forests of offsets."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.durable import shared_folder
-from ..sources import aggregates, run_files
-from ..sources.hits import HITS_SQL, WAVEFORMS_SQL, hits, waveforms
+from ..operators import forest
+from ..sources import aggregates, hist_specs, run_files
+from ..sources.hits import HITS_SQL, WAVEFORMS_SQL, hits, table, waveforms
 
 MAGIC = "RUNFILE1"
 
@@ -66,7 +67,58 @@ def aggregate_hits(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.decode(raw, "charge64", ["module"]).drop("place")
 
 
-QUERIES = {f.__name__: f for f in (recorded_hits, recorded_traces, aggregate_hits)}
+#: A histogram list of both scopes as users write it.
+LIST = """{"histograms": [
+    {"name": "all", "type": "TH1D", "fill": "energy", "bins": 64, "min": 0, "max": 65536},
+    {"name": "third", "type": "TH1D", "x": "energy_short", "xbins": 50, "xmin": 1000, "xmax": 20000, "channel": 2},
+    {"name": "shape", "type": "TH2D", "x": "energy", "xbins": 20, "xmin": 0, "xmax": 40000, "y": "psd", "ybins": 8, "ymin": 0, "ymax": 1, "energy_range": [500, 35000]},
+    {"name": "gap1", "type": "TH1D", "x": "dt1", "xbins": 40, "xmin": -600e9, "xmax": 600e9, "gamma_energy_range": [5000, 45000]},
+    {"name": "gap2", "type": "TH1D", "x": "dt2", "xbins": 24, "xmin": -600e9, "xmax": 600e9, "thgem2_energy_range": [1000, 30000]},
+    {"name": "gammas", "type": "TH1D", "x": "gamma_energy", "xbins": 16, "xmin": 0, "xmax": 65536, "thgem1_energy_range": [0, 20000]},
+    {"name": "both", "type": "TH2D", "x": "thgem1_energy", "xbins": 8, "xmin": 0, "xmax": 65536, "y": "thgem2_energy", "ybins": 8, "ymin": 0, "ymax": 65536}]}"""
+WINDOW_NS = 600e9
+
+
+def coincidence_specs(spark: SparkSession, d: str) -> DataFrame:
+    """All histograms of a list: energies, and time differences of channel 0 to its nearest hits of channels 1 and 2."""
+    specs, errors = hist_specs.compile_list(LIST)
+    if errors:
+        raise ValueError("; ".join(errors))
+    return hist_specs.fill(hits(spark, d), specs, 0, (1, 2), WINDOW_NS)
+
+
+def offset_forest(spark: SparkSession, d: str) -> DataFrame:
+    """Offsets of customers along chains of up to 500, some broken off, some in circles, some listed twice."""
+    key = F.col("c_custkey").cast("long")
+    parent = F.when(key % 500 == 3, None).when(key % 700 == 11, -key).when(key % 1000 == 990, key + 5).otherwise(key - 1)
+    rows = table(spark, d, "customer").select(key.alias("node"), parent.alias("parent"), ((key % 16) * 0.25).alias("ns"))
+    return forest.resolve(rows.unionByName(rows.filter("node % 900 = 17")), "node", "parent", "ns")
+
+
+QUERIES = {f.__name__: f for f in (recorded_hits, recorded_traces, aggregate_hits, coincidence_specs, offset_forest)}
+
+
+def _slot(v: str, low: float, high: float, bins: int) -> str:
+    f = f"CAST(CAST({v} AS DOUBLE) AS FLOAT)"
+    return f"""CASE WHEN {f} < CAST({low} AS FLOAT) THEN -1 WHEN {f} >= CAST({high} AS FLOAT) THEN {bins}
+        ELSE least(CAST(trunc(({f} - CAST({low} AS FLOAT)) / CAST({(high - low) / bins!r} AS FLOAT)) AS INTEGER), {bins}) END"""
+
+
+def _one(name: str, rows: str, axes: list[tuple], where: str = "true") -> str:
+    at = _slot(*axes[0])
+    if len(axes) == 2:
+        y = _slot(*axes[1])
+        at = f"CASE WHEN ({at}) BETWEEN 0 AND {axes[0][3] - 1} AND ({y}) BETWEEN 0 AND {axes[1][3] - 1} THEN ({y}) * {axes[0][3]} + ({at}) ELSE -1 END"
+    full = " AND ".join(f"({a[0]}) IS NOT NULL" for a in axes)
+    return f"SELECT '{name}' AS name, CAST({at} AS INTEGER) AS bin, count(*) AS counts FROM {rows} WHERE {full} AND {where} GROUP BY ALL"
+
+
+def _partner(k: int) -> str:
+    return f"""n{k} AS (SELECT a.event_id, b.timestamp_ns - a.timestamp_ns AS dt{k}, b.energy AS thgem{k}_energy,
+            row_number() OVER (PARTITION BY a.event_id ORDER BY abs(b.timestamp_ns - a.timestamp_ns), b.timestamp_ns, b.event_id) AS rk
+            FROM hits a JOIN hits b ON b.channel = {k} AND b.timestamp_ns BETWEEN a.timestamp_ns - 600e9::DOUBLE AND a.timestamp_ns + 600e9::DOUBLE WHERE a.channel = 0)"""
+
+
 ORACLE_SQL = {
     "recorded_hits": f"WITH {HITS_SQL} SELECT module, channel, energy, energy_short, timestamp_ns, flags FROM hits",
     "recorded_traces": f"""WITH {WAVEFORMS_SQL}
@@ -79,4 +131,25 @@ ORACLE_SQL = {
                CASE WHEN alone THEN event_id * 2.0::DOUBLE ELSE (CAST(timestamp_ns AS BIGINT) // 16384) * 2.0::DOUBLE + (energy % 1024) / 1024.0::DOUBLE * 2.0::DOUBLE END AS timestamp_ns,
                CASE WHEN alone THEN 0 ELSE flags END AS flags
         FROM h""",
+    "coincidence_specs": f"""WITH {HITS_SQL}, p AS (SELECT *, CASE WHEN energy > 0 THEN CAST(energy - energy_short AS FLOAT) / CAST(energy AS FLOAT) END AS psd FROM hits), {_partner(1)}, {_partner(2)},
+        c AS (SELECT h.energy AS gamma_energy, dt1, thgem1_energy, dt2, thgem2_energy FROM hits h LEFT JOIN n1 ON n1.event_id = h.event_id AND n1.rk = 1
+              LEFT JOIN n2 ON n2.event_id = h.event_id AND n2.rk = 1 WHERE h.channel = 0)
+        {_one("all", "p", [("energy", 0.0, 65536.0, 64)])} UNION ALL {_one("third", "p", [("energy_short", 1000.0, 20000.0, 50)], "channel = 2")}
+        UNION ALL {_one("shape", "p", [("energy", 0.0, 40000.0, 20), ("psd", 0.0, 1.0, 8)], "energy BETWEEN 500 AND 35000")}
+        UNION ALL {_one("gap1", "c", [("dt1", -600e9, 600e9, 40)], "gamma_energy BETWEEN 5000 AND 45000")} UNION ALL {_one("gap2", "c", [("dt2", -600e9, 600e9, 24)], "thgem2_energy BETWEEN 1000 AND 30000")}
+        UNION ALL {_one("gammas", "c", [("gamma_energy", 0.0, 65536.0, 16)], "thgem1_energy BETWEEN 0 AND 20000")}
+        UNION ALL {_one("both", "c", [("thgem1_energy", 0.0, 65536.0, 8), ("thgem2_energy", 0.0, 65536.0, 8)])}""",
+    "offset_forest": """
+        WITH RECURSIVE e AS (
+            SELECT CAST(c_custkey AS BIGINT) AS node, c_custkey % 16 * 0.25::DOUBLE AS ns, c_custkey % 900 = 17 AS twice,
+                   CASE WHEN c_custkey % 500 = 3 THEN NULL WHEN c_custkey % 700 = 11 THEN -c_custkey WHEN c_custkey % 1000 = 990 THEN c_custkey + 5 ELSE c_custkey - 1 END AS parent
+            FROM customer),
+        s AS (SELECT *, CASE WHEN twice THEN 'double' WHEN parent IS NOT NULL AND parent NOT IN (SELECT node FROM e) THEN 'dangling' END AS bad FROM e),
+        w AS (
+            SELECT node, node AS at, ns AS total, CAST(0 AS BIGINT) AS depth FROM s
+            UNION ALL SELECT w.node, p.node, w.total + p.ns, w.depth + 1 FROM w JOIN s c ON c.node = w.at AND c.bad IS NULL JOIN s p ON p.node = c.parent WHERE w.depth < 1100),
+        t AS (SELECT w.node, w.at, w.total, w.depth, s.bad FROM w JOIN s ON s.node = w.at WHERE s.bad IS NOT NULL OR s.parent IS NULL)
+        SELECT e.node, CASE WHEN t.bad IS NULL THEN t.at END AS root, CASE WHEN t.bad IS NULL THEN t.total END AS "offset", CASE WHEN t.bad IS NULL THEN t.depth END AS depth,
+               CASE WHEN t.node IS NULL THEN 'cycle' WHEN t.bad IS NULL THEN NULL WHEN t.at = t.node THEN t.bad ELSE 'above' END AS fault
+        FROM e LEFT JOIN t ON t.node = e.node""",
 }
