@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.durable import shared_folder
 from ..operators import forest
+from ..operators.observed import Counters, kept_hits
 from ..sources import aggregates, hist_specs, run_files
 from ..sources.hits import HITS_SQL, WAVEFORMS_SQL, hits, table, waveforms
 
@@ -95,7 +96,16 @@ def offset_forest(spark: SparkSession, d: str) -> DataFrame:
     return forest.resolve(rows.unionByName(rows.filter("node % 900 = 17")), "node", "parent", "ns")
 
 
-QUERIES = {f.__name__: f for f in (recorded_hits, recorded_traces, aggregate_hits, coincidence_specs, offset_forest)}
+def observed_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of hits read, outside of runs, below threshold and kept, taken while the kept ones are written."""
+    counters = Counters()
+    running = ~((F.expr("event_id div 1000") % 3 == 2) & (F.col("event_id") % 1000 != 999))
+    kept = kept_hits(hits(spark, d), counters, 2000 + 500 * F.col("channel"), running, [0, 1, 2, 3])
+    kept.write.parquet(f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}")
+    return counters.table(kept)
+
+
+QUERIES = {f.__name__: f for f in (recorded_hits, recorded_traces, aggregate_hits, coincidence_specs, offset_forest, observed_counters)}
 
 
 def _slot(v: str, low: float, high: float, bins: int) -> str:
@@ -152,4 +162,11 @@ ORACLE_SQL = {
         SELECT e.node, CASE WHEN t.bad IS NULL THEN t.at END AS root, CASE WHEN t.bad IS NULL THEN t.total END AS "offset", CASE WHEN t.bad IS NULL THEN t.depth END AS depth,
                CASE WHEN t.node IS NULL THEN 'cycle' WHEN t.bad IS NULL THEN NULL WHEN t.at = t.node THEN t.bad ELSE 'above' END AS fault
         FROM e LEFT JOIN t ON t.node = e.node""",
+    "observed_counters": f"""WITH {HITS_SQL}, r AS (SELECT *, NOT (event_id // 1000 % 3 = 2 AND event_id % 1000 <> 999) AS running, energy >= 2000 + 500 * channel AS high FROM hits),
+        c AS (SELECT count(*) AS a, count(*) FILTER (NOT running) AS b, {", ".join(f"count(*) FILTER (module = {m}) AS s{m}" for m in range(4))}, count(*) FILTER (running) AS d,
+                     count(*) FILTER (running AND NOT high) AS e, count(*) FILTER (running AND high) AS f, sum(energy) FILTER (running AND high) AS g,
+                     max(floor(timestamp_ns / 1e6)) FILTER (running AND high) AS h FROM r)
+        SELECT * FROM (SELECT unnest(['read', 'read', 'read', 'read', 'read', 'read', 'running', 'running', 'kept', 'kept', 'kept']) AS point,
+            unnest(['rows', 'outside_runs', 'source_0', 'source_1', 'source_2', 'source_3', 'rows', 'below_threshold', 'rows', 'energy', 'latest_ms']) AS counter,
+            unnest([CAST(a AS BIGINT), b, s0, s1, s2, s3, d, e, f, CAST(g AS BIGINT), CAST(h AS BIGINT)]) AS value FROM c)""",
 }
