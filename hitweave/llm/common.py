@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct, whatever their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
 
@@ -83,7 +88,7 @@ def labelled_texts(
 def with_score(docs: DataFrame, score: Column, keep: list[str], threshold: float) -> DataFrame:
     """The ``keep`` columns of ``docs``, unchanged, then ``score`` and ``predicted``; columns so named are not kept."""
     kept = [c for c in keep if c not in ("score", "predicted")]
-    made = docs.select(F.struct(*kept).alias("row"), score.alias("score"))
+    made = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), score.alias("score"))
     return made.select(*[F.col(f"row.`{c}`") for c in kept], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, lookup, table
+from .common import durable, lookup, packed, table
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -72,7 +72,7 @@ def _verdict(found: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, salts: int = 16) -> DataFrame:
     """The rows of ``docs`` that stay, columns unchanged; of rows with equal id and text one stays."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_id"), normalised("text").alias("_norm"))
+    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("_id"), normalised("text").alias("_norm"))
     rows = rows.withColumn("_digest", F.sha2("_norm", 256))
     groups = content_groups(rows.select("_id", "_digest", "_norm"), salts)
     winners = groups.select(F.col("_digest").alias("_of"), F.col("keep_id").alias("_keep"))

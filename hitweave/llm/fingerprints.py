@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bit_table, durable, maybe_in, table
+from .common import bit_table, durable, maybe_in, packed, table
 
 WHITE = r"[\p{Z}\x09-\x0D\x{85}]+"
 SALTS = 64
@@ -86,8 +86,7 @@ def name_contents(rows: DataFrame, numbered: DataFrame, digest: str, name: str)
 
 def fingerprint_documents(docs: DataFrame, text_col: str = "text", name: str = "fingerprint") -> DataFrame:
     """All columns of ``docs`` and its fingerprint: equal exactly for texts of equal canonical form."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_digest(packed, "text", "d")
+    rows = with_digest(docs.select(packed(docs).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text", "d")
     shared = durable(shared_digests(rows))
     found = name_contents(rows, clashes(candidates(rows.select("d", "text"), shared), shared), "d", "_made")
     return found.select(*[F.col(f"row.`{c}`") for c in docs.columns if c != name], F.col("_made").alias(name))

@@ -149,7 +149,7 @@ def identify(
     made = ("lang_pred", "score", "ambiguous", "undecided")
     kept = [c for c in (["doc_id"] if keep is None else keep) if c not in made]
     kind = F.pandas_udf(_identifier(model, slack), "lang_pred string, score double, ambiguous boolean, undecided boolean")
-    found = docs.select(F.struct(*kept).alias("row"), kind(F.col("text")).alias("found"))
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), kind(F.col("text")).alias("found"))
     return found.select(*[F.col(f"row.`{c}`") for c in kept], *[F.col(f"found.{c}") for c in made])
 
 

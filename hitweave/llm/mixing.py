@@ -15,41 +15,62 @@ bound holds against slots, for each source as long as it has documents.
 
 Defined results: a null source is a source of its own, named ``''``; a source
 without a weight has weight ``default_weight``; rows with equal ids stay in the
-order of their length and text; a null id sorts as the empty string; an empty table
+order of their length and text, then of all columns, maps by their sorted entries; what cannot be sorted by decides nothing; a null id sorts as the empty string; very long
+texts are placed like others; other columns are kept, whatever their names, but for those that are added; an empty table
 gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import durable, packed, table
 
 MAX_PERIOD = 1 << 16
 HASH_RANGES = 1 << 16
 
 
-def period(weights: dict[str, int]) -> list[tuple[str, int]]:
-    """``(source, block)`` for each slot of one period of ``sum(weights)`` slots."""
+def schedule(weights: dict[str, int]) -> Iterator[tuple[str, int]]:
+    """``(source, block)`` for each slot of one period of ``sum(weights)`` slots, one after another."""
     total = sum(weights.values())
-    if total > MAX_PERIOD:
-        raise ValueError(f"weights add up to {total}, above {MAX_PERIOD}")
     waiting = [(0, name, 0) for name in sorted(weights)]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    slots = []
     for now in range(total):
         while waiting and waiting[0][0] <= now:
             _, name, k = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(k + 1) * total // weights[name]), name, k))
         _, name, k = heapq.heappop(ready)
-        slots.append((name, k))
+        yield name, k
         if k + 1 < weights[name]:
             heapq.heappush(waiting, ((k + 1) * total // weights[name], name, k + 1))
-    return slots
+
+
+def period(weights: dict[str, int]) -> list[tuple[str, int]]:
+    """The slots of one period as a list."""
+    return list(schedule(weights))
+
+
+def period_rows(shares: DataFrame) -> DataFrame:
+    """``source, k, at, w`` for each slot of one period of ``shares``, rows of ``source, w``: streamed by one task, which holds a number a source."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = {name: w for b in batches for name, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+        slots = enumerate(schedule(weights))
+        while part := list(islice(slots, 1 << 16)):
+            columns = [[n for _, (n, _) in part], [k for _, (_, k) in part], [at for at, _ in part], [weights[n] for _, (n, _) in part]]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["source", "k", "at", "w"])
+
+    return shares.select("source", "w").coalesce(1).mapInArrow(run, "source string, k long, at long, w long")
 
 
 def ranked(docs: DataFrame, rows_per_range: int = 512) -> DataFrame:
@@ -58,8 +79,9 @@ def ranked(docs: DataFrame, rows_per_range: int = 512) -> DataFrame:
     Ranges of the md5 are ranked apart and shifted by the counts before them,
     so that a source of any size is spread over many tasks.
     """
-    ties = [F.col(f"row.{c}") for c in ("doc_id", "n_chars", "text", "_row") if c in docs.columns]
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("source", F.lit("")).alias("source"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("md5"))
+    last = "_tie" if "_tie" in docs.columns else "_row"
+    ties = [F.col(f"row.{c}") for c in ("doc_id", "n_chars", "text", last) if c in docs.columns]
+    rows = docs.select(packed(docs).alias("row"), F.coalesce("source", F.lit("")).alias("source"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("md5"))
     ranges = max(1, min(HASH_RANGES, docs.count() // rows_per_range))
     at = F.conv(F.substring("md5", 1, 4), 16, 10).cast("long")
     rows = rows.withColumn("range", F.floor(at * ranges / 65536).cast("int"))
@@ -75,24 +97,36 @@ def ranked(docs: DataFrame, rows_per_range: int = 512) -> DataFrame:
 ADDED = ("mix_source", "block_no", "release", "deadline", "slot", "place")
 
 
-def mix(docs: DataFrame, weights: dict[str, int], default_weight: int = 1, block: int = 8, max_sources: int = 10_000) -> DataFrame:
-    """``docs`` with its ``mix_source``, ``block_no``, ``release``, ``deadline``, ``slot`` and ``place`` (slot by slot, dense inside a block)."""
-    names = docs.select(F.coalesce("source", F.lit("")).alias("s")).distinct().limit(max_sources + 1).collect()
-    if len(names) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    shares = {r["s"]: int(weights.get(r["s"], default_weight)) for r in names}
-    if any(w <= 0 for w in shares.values()):
+def mix(docs: DataFrame, weights: dict[str, int], default_weight: int = 1, block: int = 8, listed: int = 10_000, max_period: int = MAX_PERIOD) -> DataFrame:
+    """``docs`` with its ``mix_source``, ``block_no``, ``release``, ``deadline``, ``slot`` and ``place`` (slot by slot, dense inside a block).
+
+    Up to ``listed`` sources and ``max_period`` slots a period, after weights are divided by their greatest common divisor, the period is a small table that is broadcast; beyond,
+    sources, weights and period are tables that are written and joined, with the same result.
+    """
+    sources = docs.select(F.coalesce("source", F.lit("")).alias("s")).distinct()
+    names = [r["s"] for r in sources.limit(listed + 1).collect()]
+    shares = {n: int(weights.get(n, default_weight)) for n in names}
+    if any(w <= 0 for w in [default_weight, *weights.values()]):
         raise ValueError("weights must be positive")
-    total = sum(shares.values())
-    plan = docs.sparkSession.createDataFrame(
-        [(name, k, slot, shares[name]) for slot, (name, k) in enumerate(period(shares))], "source string, k long, at long, w long"
-    )
-    weight = F.create_map(*[F.lit(x) for name, w in shares.items() for x in (name, w)]) if shares else F.lit(None).cast("map<string,int>")
+    divisor = max(1, math.gcd(*shares.values()))
+    shares = {n: w // divisor for n, w in shares.items()}
+    total, plan = sum(shares.values()), None
     rows = ranked(docs).withColumn("block_no", F.expr(f"rank div {block}"))
-    rows = rows.withColumn("k", F.col("block_no") % F.element_at(weight, F.col("source")).cast("long"))
-    placed = rows.join(F.broadcast(plan), ["source", "k"])
+    if len(names) <= listed and total <= max_period:
+        plan = F.broadcast(docs.sparkSession.createDataFrame([(n, k, slot, shares[n]) for slot, (n, k) in enumerate(schedule(shares))], "source string, k long, at long, w long"))
+        weight = F.create_map(*[F.lit(x) for name, w in shares.items() for x in (name, w)]) if shares else F.lit(None).cast("map<string,int>")
+        rows = rows.withColumn("k", F.col("block_no") % F.element_at(weight, F.col("source")).cast("long"))
+    else:
+        given = docs.sparkSession.createDataFrame([(n, int(w)) for n, w in weights.items()] or [("", default_weight)], "s string, w long")
+        table_of = durable(sources.join(given, "s", "left").select(F.col("s").alias("source"), F.coalesce("w", F.lit(default_weight).cast("long")).alias("w")))
+        divisor = table_of.agg(F.aggregate(F.collect_set("w"), F.lit(0).cast("long"), _gcd)).first()[0]  # distinct weights only
+        table_of = table_of.withColumn("w", F.expr(f"w div {divisor}"))
+        total = table_of.agg(F.sum("w")).first()[0]
+        plan = durable(period_rows(table_of))
+        rows = rows.join(table_of, "source").withColumn("k", F.col("block_no") % F.col("w")).drop("w")
+    placed = rows.join(plan, ["source", "k"])
     slot = F.expr(f"(block_no div w) * {total}L + at")
-    kept = [F.col(f"row.{c}").alias(c) for c in docs.columns if c not in ADDED]
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ADDED]
     return placed.select(
         *kept, F.col("source").alias("mix_source"), "block_no", F.expr(f"block_no * {total}L div w").alias("release"),
         F.expr(f"((block_no + 1) * {total}L + w - 1) div w").alias("deadline"), slot.alias("slot"),
@@ -100,13 +134,37 @@ def mix(docs: DataFrame, weights: dict[str, int], default_weight: int = 1, block
     )
 
 
+def _gcd(a: Column, b: Column) -> Column:
+    """Greatest common divisor, by as many steps of Euclid's as 64 bits can need."""
+    pair = F.struct(a.alias("a"), b.alias("b"))
+    steps = F.aggregate(F.sequence(F.lit(1), F.lit(92)), pair, lambda p, _: F.when(p["b"] == 0, p).otherwise(F.struct(p["b"].alias("a"), (p["a"] % F.when(p["b"] == 0, 1).otherwise(p["b"])).alias("b"))))
+    return steps["a"]
+
+
 #: Target weights of the registered query and the pipeline.
 TARGETS = {f"src{i}": 1 + i % 4 for i in range(20)}
 
 
+def sortable(kind: T.DataType) -> bool:
+    """Whether Spark can sort by a type: by all but maps and variants, and what holds them."""
+    if isinstance(kind, T.StructType):
+        return all(sortable(f.dataType) for f in kind.fields)
+    return sortable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def sort_key(field: T.StructField) -> Column | None:
+    """A column of the struct ``_row`` to sort by, a map by its sorted entries; none where it can't be."""
+    column, kind = F.col("_row").getField(field.name), field.dataType
+    if isinstance(kind, T.MapType) and sortable(kind.keyType) and sortable(kind.valueType):
+        return F.array_sort(F.map_entries(column)).alias(field.name)
+    return column.alias(field.name) if sortable(kind) else None
+
+
 def interleave(docs: DataFrame, weights: dict[str, int] | None = None, **settings) -> DataFrame:
     """All rows of ``docs``, columns unchanged, sorted by their place in the mix."""
-    whole = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_row"))
+    whole = docs.select("doc_id", "source", packed(docs).alias("_row"))
+    if not all(sortable(f.dataType) for f in docs.schema.fields):
+        whole = whole.withColumn("_tie", F.struct(*[c for f in docs.schema.fields if (c := sort_key(f)) is not None]))
     placed = mix(whole, TARGETS if weights is None else weights, **settings)
     return placed.orderBy("place").select("_row.*")
 

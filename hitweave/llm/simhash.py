@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, lookup, table
+from .common import durable, lookup, packed, table
 from .components import connected_components
 
 WHITE = np.zeros(256, bool)
@@ -181,7 +181,7 @@ def keep_representatives(docs: DataFrame, width: int = 3, radius: int = 2, tile:
     """
     mark = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
     *_, named = grouped_fingerprints(docs.select(mark.alias("doc_id"), F.col("text").alias("_text")), width, radius, tile, similar)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), mark.alias("mark"))
+    rows = docs.select(packed(docs).alias("row"), mark.alias("mark"))
     best = named.select(F.col("component_id.id").alias("_id"), F.col("component_id.text").alias("_hash"))
     kept = rows.join(best, F.col("mark.id").eqNullSafe(F.col("_id")) & (F.col("mark.text") == F.col("_hash")), "left_semi")
     again = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
