@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitweave.llm import bpe, exact_dedup, language_id, mixing, simhash
-from hitweave.llm.common import shared_folder
+from hitweave.llm.common import packed, shared_folder
 
 #: Words a shingle and least similarity of near copies.
 NEAR = (5, 0.8)
@@ -27,7 +27,7 @@ NEAR = (5, 0.8)
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that could be told; texts that are null, have no letter or fit no learned language go."""
     model = language_id.fit(docs)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    rows = docs.select(packed(docs).alias("row"), "text")
     found = language_id.identify(rows, model, ["row"])
     return found.filter("lang_pred != 'und' AND NOT undecided").select("row.*")
 
