@@ -135,11 +135,11 @@ def slot(spec: Spec) -> Column:
     return F.when(met, at)
 
 
-def fill_scope(rows: DataFrame, specs: list[Spec]) -> DataFrame:
-    """``name, bin, counts`` of all specs of one scope in one pass: a row is dealt to every histogram that takes it."""
+def fill_scope(rows: DataFrame, specs: list[Spec], keys: list[str] | None = None) -> DataFrame:
+    """``name, bin, counts`` of all specs of one scope, after ``keys`` if given, in one pass: a row is dealt to every histogram that takes it."""
     dealt = F.array(*[F.struct(F.lit(s.name).alias("name"), slot(s).cast("int").alias("bin")) for s in specs])
-    taken = rows.select(F.explode(F.filter(dealt, lambda h: h["bin"].isNotNull())).alias("h"))
-    return taken.groupBy("h.name", "h.bin").agg(F.count("*").alias("counts"))
+    taken = rows.select(*(keys or []), F.explode(F.filter(dealt, lambda h: h["bin"].isNotNull())).alias("h"))
+    return taken.groupBy(*(keys or []), "h.name", "h.bin").agg(F.count("*").alias("counts"))
 
 
 def coincidences(hits: DataFrame, gamma: int, partners: tuple[int, int], window_ns: float) -> DataFrame:
