@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("event_queries", "histogram_queries", "scalar_queries", "quality_queries", "waveform_queries", "run_queries", "source_queries")
+MODULES: tuple[str, ...] = ("event_queries", "histogram_queries", "scalar_queries", "quality_queries", "waveform_queries", "run_queries", "source_queries", "refined_queries")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}

@@ -132,6 +132,15 @@ def gain_update(voltage: Column, target: Column, peak: Column, alpha: float, max
     return F.when(peak > 0, F.greatest(voltage + step, F.lit(0.0))).otherwise(voltage)
 
 
+def gain_step(voltage: Column, target: Column, peak: Column, alpha: float, max_step: float, tolerance: float) -> tuple[Column, Column]:
+    """The new voltage, null where none is set, and why: no fit, peak too low, converged within ``tolerance`` percent of the target, off, or adjusting."""
+    status = (
+        F.when(peak.isNull(), "FIT FAIL").when(peak <= 1, "PEAK TOO LOW").when(F.abs(peak - target) <= target * (tolerance / 100), "CONVERGED")
+        .when(voltage < 1, "HV OFF/ZERO").otherwise("ADJUSTING")
+    )
+    return F.when(status == "ADJUSTING", gain_update(voltage, target, peak, alpha, max_step)), status
+
+
 def pole_zero(tau: Column) -> Column:
     """``1 / (e^(1/tau) - 1)``, 0 for a decay constant that is not positive and finite."""
     good = (tau > 0) & ~F.isnan(tau) & (tau != F.lit(float("inf")))

@@ -44,3 +44,26 @@ def restored(configs: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFram
 def running_only(batches: DataFrame, running: Column, is_end: Column) -> DataFrame:
     """Marks batches that come outside a run as ``discarded``; end marks always pass. Nothing is dropped, so that the loss can be counted."""
     return batches.withColumn("discarded", ~running & ~is_end)
+
+
+def recent(runs: DataFrame, limit: int = 25) -> DataFrame:
+    """The latest runs by ``start_time``, then number; all of them for a limit of 0."""
+    ordered = runs.orderBy(F.desc("start_time"), F.desc("run_number"))
+    return ordered.limit(limit) if limit else ordered
+
+
+def current(runs: DataFrame) -> DataFrame:
+    """The run that is ``running``, of several the latest; no row without one."""
+    return recent(runs.filter("status = 'running'"), 1)
+
+
+def by_number(runs: DataFrame, number: int) -> DataFrame:
+    """The run of a number, the latest of several."""
+    return recent(runs.filter(F.col("run_number") == number), 1)
+
+
+def last_info(runs: DataFrame, notes: DataFrame) -> DataFrame:
+    """Of the latest run of each experiment: ``exp_name, run_number, comment``, empty if null, and ``notes``, structs ``time, text`` in order of time; none is an empty list."""
+    last = runs.groupBy("exp_name").agg(F.max_by(F.struct("run_number", F.coalesce("comment", F.lit("")).alias("comment")), F.struct("start_time", "run_number")).alias("r")).select("exp_name", "r.*")
+    listed = notes.join(last.select("run_number").distinct(), "run_number", "left_semi").groupBy("run_number").agg(F.array_sort(F.collect_list(F.struct("time", "text"))).alias("notes"))
+    return last.join(listed, "run_number", "left").withColumn("notes", F.coalesce("notes", F.array().cast("array<struct<time:bigint,text:string>>"))).select("exp_name", "run_number", "comment", "notes")
