@@ -158,19 +158,23 @@ class Block:
         self.first, self.last, self.owner, self.hashes = (np.concatenate(x) for x in zip(self.cold, own))
 
     def phrases(self, repeated: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct phrases of repeated triggers in order of hash and bytes.
+        """Distinct phrases of repeated triggers in order of hash, then of their first run.
 
-        Also their hashes, their least document, and for every occurrence its run and its phrase.
+        Also their hashes, their least document, and for every occurrence its run and its phrase. Equal bytes have equal hashes.
         """
         runs = np.flatnonzero(among(self.hashes, np.sort(repeated)))
-        whole = self.data.tobytes()
-        keyed = list(zip(self.hashes[runs].tolist(), [whole[a:b] for a, b in zip(self.first[runs].tolist(), (self.last[runs] + self.length).tolist())]))
-        distinct = sorted(set(keyed))
-        number = {k: i for i, k in enumerate(distinct)}
-        which = np.fromiter(map(number.__getitem__, keyed), np.int64, len(keyed))
-        least = np.full(len(distinct), LAST, np.int64)
+        whole, number = self.data.tobytes(), {}
+        first, last = self.first[runs].tolist(), (self.last[runs] + self.length).tolist()
+        met = np.fromiter((number.setdefault(whole[a:b], len(number)) for a, b in zip(first, last)), np.int64, len(runs))
+        hashes = np.empty(len(number), np.uint64)
+        hashes[met[::-1]] = self.hashes[runs][::-1]
+        order = np.argsort(hashes, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        which, found = place[met], list(number)
+        least = np.full(len(order), LAST, np.int64)
         np.minimum.at(least, which, self.rank[self.owner[runs]])
-        return [p for _, p in distinct], np.array([h for h, _ in distinct], np.uint64), least, runs, which
+        return [found[i] for i in order.tolist()], hashes[order], least, runs, which
 
 
 def hash_range(hashes: np.ndarray, ranges: int) -> np.ndarray:
