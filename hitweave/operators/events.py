@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import bucket, dense_number, lag_global, nearest, range_join, running_sum, with_range
+from .durable import durable
+from .ordered import bucket, dense_number, nearest, range_join, with_range
 
 __all__ = ["Trigger", "anchors", "bucket", "build_events", "build_priority", "event_hits", "evaluate_filters", "nearest", "slices"]
 
@@ -130,19 +131,36 @@ def build_events(triggers: DataFrame, window_ns: float) -> DataFrame:
     """Merged windows of ``triggers``: ``event_no, trigger_time, trigger_module, trigger_channel, window_start, window_end, n_triggers``.
 
     A window opens where a trigger's start lies beyond the running end; the
-    first trigger is the primary one and later ones only move the end.
+    first trigger is the primary one and later ones only move the end. Triggers without a time make no event.
+
+    One shuffle by time range cuts the triggers into pieces, written once; a piece that goes on from the range before is told by
+    one row a range, and joins the event before it.
     """
     w = F.lit(float(window_ns))
-    dealt = with_range(triggers, "timestamp_ns")
-    lagged = lag_global(dealt, "timestamp_ns", ORDER, {"_prev": "timestamp_ns"})
-    opens = F.when(F.col("_prev").isNull() | (F.col("timestamp_ns") - w > F.col("_prev") + w), F.lit(1)).otherwise(F.lit(0)).cast("long")
-    numbered = running_sum(lagged.withColumn("_open", opens), "timestamp_ns", ORDER, "_open", "_island")
-    first = F.min(F.struct(*ORDER)).alias("p")
-    grouped = numbered.groupBy("_island").agg(first, F.max(F.col("timestamp_ns") + w).alias("window_end"), F.count("*").alias("n_triggers"))
+    time = F.col("timestamp_ns")
+    dealt = with_range(triggers.filter(time.isNotNull()), "timestamp_ns")
+    inside = Window.partitionBy("_range").orderBy(*ORDER)
+    before = F.lag("timestamp_ns").over(inside)
+    cut = dealt.withColumn("_opens", before.isNull() | (time - w > before + w))
+    cut = cut.withColumn("_piece", F.count_if("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = durable(cut.groupBy("_range", "_piece").agg(
+        F.min(time).alias("_first"), F.max(time).alias("_last"), F.count("*").alias("_n"),
+        F.max(F.when(F.col("_opens"), F.col("module"))).alias("_module"), F.max(F.when(F.col("_opens"), F.col("channel"))).alias("_channel"),
+    ))
+    ranges = pieces.groupBy("_range").agg(F.min("_first").alias("_from"), F.max("_last").alias("_to"), F.max("_piece").alias("_pieces"))
+    along = Window.orderBy("_range")  # at most some MAX_RANGES rows
+    ranges = ranges.withColumn("_goes_on", F.coalesce(F.col("_from") - w <= F.lag("_to").over(along) + w, F.lit(False)))
+    one_less = F.col("_goes_on").cast("long")
+    earlier = F.coalesce(F.sum(F.col("_pieces") - one_less).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = pieces.join(F.broadcast(ranges.select("_range", "_goes_on", (earlier - one_less).alias("_shift"))), "_range")
+    primary = ~(F.col("_goes_on") & (F.col("_piece") == 1))
+    grouped = placed.groupBy((F.col("_shift") + F.col("_piece") - 1).alias("event_no")).agg(
+        F.min("_first").alias("trigger_time"), F.max(F.when(primary, F.col("_module"))).alias("trigger_module"),
+        F.max(F.when(primary, F.col("_channel"))).alias("trigger_channel"), F.max("_last").alias("_last"), F.sum("_n").alias("n_triggers"),
+    )
     return grouped.select(
-        (F.col("_island") - 1).alias("event_no"), F.col("p.timestamp_ns").alias("trigger_time"),
-        F.col("p.module").alias("trigger_module"), F.col("p.channel").alias("trigger_channel"),
-        (F.col("p.timestamp_ns") - w).alias("window_start"), "window_end", "n_triggers",
+        "event_no", "trigger_time", "trigger_module", "trigger_channel",
+        (F.col("trigger_time") - w).alias("window_start"), (F.col("_last") + w).alias("window_end"), "n_triggers",
     )
 
 
