@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,15 +100,20 @@ def stateless(graph: dict[str, Trigger], name: str) -> dict[tuple[int, int], int
     return out
 
 
+def with_history(rows: DataFrame, window_ns: float) -> DataFrame:
+    """Rows dealt to time buckets ``_b`` four windows wide; those within a window of their bucket's end also to the next one, there not ``_home``."""
+    own = bucket("timestamp_ns", 4 * window_ns)
+    reach = bucket(F.col("timestamp_ns") + F.lit(1.25 * float(window_ns)), 4 * window_ns)  # a quarter more than asked, against rounding
+    return rows.withColumn("_b", F.explode(F.sequence(own, reach))).withColumn("_home", F.col("_b") == own)
+
+
 def multiplicity_anchors(hits: DataFrame, keys: dict, minimum: int, window_ns: float) -> DataFrame:
     """Hits on ``keys`` with at least ``minimum`` distinct channels in the trailing window, both ends included.
 
-    Hits are copied to the next time bucket as history, which makes the window
+    Hits at the end of a time bucket are copied to the next as history, which makes the window
     exact inside each bucket; one running maximum a channel holds its last time.
     """
-    listed = hits.filter(is_channel(keys))
-    own = bucket("timestamp_ns", window_ns)
-    dealt = listed.withColumn("_b", F.explode(F.array(own, own + 1))).withColumn("_home", F.col("_b") == own)
+    dealt = with_history(hits.filter(is_channel(keys)), window_ns)
     so_far = Window.partitionBy("_b").orderBy("timestamp_ns").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     lasts = [F.max(F.when((F.col("module") == m) & (F.col("channel") == c), F.col("timestamp_ns"))).over(so_far) for m, c in keys]
     seen = dealt.withColumn("_lasts", F.array(*lasts))
@@ -120,11 +126,10 @@ def anchors(hits: DataFrame, triggers: list[Trigger], root: str, window_ns: floa
     if not triggers:
         return hits.limit(0)  # no trigger, no event: the input is not read
     graph = validate(triggers, root, window_ns)
-    out = hits.filter(is_channel(stateless(graph, root)))
-    parts = stateful(graph, root, window_ns)
-    for keys, minimum, width in parts:
-        out = out.unionByName(multiplicity_anchors(hits, keys, minimum, width))
-    return out.distinct() if parts else out
+    plain, parts = stateless(graph, root), stateful(graph, root, window_ns)
+    legs = [hits.filter(is_channel(plain))] if plain or not parts else []
+    legs += [multiplicity_anchors(hits, keys, minimum, width) for keys, minimum, width in parts]
+    return reduce(DataFrame.unionByName, legs).distinct() if len(legs) > 1 else legs[0]  # a hit may fire several nodes
 
 
 def build_events(triggers: DataFrame, window_ns: float) -> DataFrame:
@@ -199,8 +204,7 @@ def build_priority(triggers: DataFrame, hits: DataFrame, window_ns: float, prior
     maximum a level holds the last time of triggers up to it, so a burst costs no more than its rows.
     """
     w = float(window_ns)
-    own = bucket("timestamp_ns", w)
-    dealt = triggers.withColumn("priority", priority).withColumn("_b", F.explode(F.array(own, own + 1))).withColumn("_home", F.col("_b") == own)
+    dealt = with_history(triggers.withColumn("priority", priority), w)
     before = Window.partitionBy("_b").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     lasts = F.array(*[F.max(F.when(F.col("priority") <= p, F.col("timestamp_ns"))).over(before) for p in range(levels)])
     last = F.get("_lasts", F.col("priority"))

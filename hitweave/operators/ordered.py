@@ -17,16 +17,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .durable import dealt_in_order
+from .durable import dealt_in_order, durable
 
 MAX_RANGES = 1 << 17
+MAX_ROUNDS = 64  # a bound: every round cuts each full range at least once; 200,000 powers of two take some eight
 
 
 def with_range(rows: DataFrame, value: str, rows_per_range: int = 1 << 16) -> DataFrame:
     """Adds ``_range``, which rises with ``value``; about ``rows_per_range`` rows each, more where ``MAX_RANGES`` of them don't hold all.
 
     Ranges are of equal width first. Ranges that are too full (an outlier stretched the scale, or hits came in a burst) are cut again,
-    between their own least and greatest value, up to three times. Equal values stay together.
+    between their own least and greatest value, until none is. What a round needs is one row a range, written once, so that rounds add
+    up and don't multiply. Equal values stay together.
     """
     low, high, count = rows.agg(F.min(value), F.max(value), F.count("*")).first()
     size = max(rows_per_range, -(-count // MAX_RANGES))
@@ -34,13 +36,13 @@ def with_range(rows: DataFrame, value: str, rows_per_range: int = 1 << 16) -> Da
     if low is None or high == low or ranges == 1:
         return rows.withColumn("_range", F.lit(0).cast("long"))
     dealt = rows.withColumn("_range", F.floor((F.col(value) - F.lit(low)) / F.lit((high - low) / ranges)).cast("long"))
-    for _ in range(3):
-        heads = dealt.groupBy("_range").agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count("*").alias("_n"))
+    for _ in range(MAX_ROUNDS):
+        heads = durable(dealt.groupBy("_range").agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count("*").alias("_n")))
         if heads.filter((F.col("_n") > 4 * size) & (F.col("_low") < F.col("_high"))).isEmpty():
             break
-        heads = heads.withColumn("_pieces", F.when(F.col("_low") < F.col("_high"), F.ceil(F.col("_n") / size)).otherwise(1)).drop("_n")
+        heads = heads.withColumn("_pieces", F.when((F.col("_n") > size) & (F.col("_low") < F.col("_high")), F.ceil(F.col("_n") / size)).otherwise(1)).drop("_n")
         before = F.coalesce(F.sum("_pieces").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        met = dealt.join(F.broadcast(heads.withColumn("_before", before)), "_range", "left")  # at most 2 * MAX_RANGES rows
+        met = dealt.join(F.broadcast(heads.withColumn("_before", before)), "_range", "left")  # a few times MAX_RANGES rows at most
         piece = F.floor((F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0)) * F.col("_pieces"))
         cut = F.col("_before") + F.least(F.coalesce(piece, F.lit(0)), F.col("_pieces") - 1)
         dealt = met.withColumn("_range", cut.cast("long")).drop("_low", "_high", "_pieces", "_before")

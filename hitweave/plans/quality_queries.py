@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.durable import durable
 from ..operators.ordered import extended_counter, lag_global, with_range
 from ..sources.hits import BATCHES_SQL, HITS_SQL, RUNS_SQL, batches, hits, runs, table
 
@@ -76,9 +77,8 @@ def dt_stats(spark, d):
 
 
 def ranked_at(rows, value: str, wanted: dict):
-    """Values at given indexes of the sorted column, without interpolation, from counts of distinct values by ranges."""
-    dealt = with_range(rows.filter(F.col(value).isNotNull()), value)
-    counts = dealt.groupBy("_range", value).agg(F.count("*").alias("c"))
+    """Values at given indexes of the sorted column, without interpolation, from counts of distinct values, written once and dealt to ranges."""
+    counts = with_range(durable(rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))), value)
     inside = Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     parts = counts.groupBy("_range").agg(F.sum("c").alias("s"))
     shift = parts.select("_range", F.coalesce(F.sum("s").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("s").over(Window.partitionBy()).alias("n"))

@@ -97,3 +97,16 @@ def test_peaks_take_the_middle_of_plateaus_and_nothing_before_the_skipped_bins()
     y[9:12] = (300, 180, 0)  # falls from the skipped bins: no peak, no base
     assert fits.find_peaks(y, 100, 10, 30, 10) == [(22, 200.0), (40, 150.0)]
     assert fits.find_peaks(np.zeros(5), 1, 1, 1, 10) == []
+
+
+def test_ranges_of_heavy_tails_and_bursts_hold_few_rows(spark):
+    from pyspark.sql import functions as F
+
+    from hitweave.operators.ordered import with_range
+
+    rows = spark.range(0, 20_000, 1, 4).select(F.pow(F.lit(2.0), F.rand(3) * 40).alias("v"), "id")
+    rows = rows.unionByName(spark.range(20_000, 24_000).select((F.lit(1e6) + F.rand(4)).alias("v"), "id")).unionByName(spark.range(24_000, 25_000).select(F.lit(7.5).alias("v"), "id"))
+    found = with_range(rows, "v", 100).groupBy("_range").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n")).orderBy("_range").collect()
+    assert sum(r.n for r in found) == 25_000
+    assert all(a.high < b.low for a, b in zip(found, found[1:]))
+    assert all(r.n <= 400 or r.low == r.high for r in found)
