@@ -3,8 +3,9 @@
 Fingerprints are made in vectorised batches: words and shingles are cut on the
 UTF-8 bytes, each shingle's XXH64 is taken, and per-bit votes are counted.
 Equal fingerprints collapse to one row first. Two fingerprints within
-``radius`` bits agree on at least one of ``radius + 1`` bit bands, so the
-distinct ones meet in tiles that share a band. A tile holds at most ``tile``
+``radius`` bits agree on at least three of ``radius + 3`` bit blocks, so the
+distinct ones meet in tiles that share a band, which is any three blocks: some 38 bits for the radius 2, so that a band's members
+are few where the corpus is large. A tile holds at most ``tile``
 fingerprints: a larger band is cut by bit count, and by hash within a bit count, and its tiles are
 compared pairwise, skipping pairs whose bit counts differ by more than the
 radius. In a tile numpy compares all with exclusive-or and bit counts, but
@@ -19,11 +20,12 @@ a component unless all ids of it are null; other columns are ignored, or kept as
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations, pairwise
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, lookup, packed, table
@@ -76,16 +78,16 @@ def with_simhash(docs: DataFrame, text_col: str = "text", width: int = 3, name:
     return docs.withColumn(name, F.pandas_udf(run, "long")(F.col(text_col)))
 
 
-def band(fp: Column, number: int, bands: int) -> Column:
-    """Bits of band ``number`` out of ``bands`` near-equal ones."""
-    edges = [round(64 * i / bands) for i in range(bands + 1)]
-    low, bits = edges[number], edges[number + 1] - edges[number]
-    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << bits) - 1))
+def band_masks(radius: int) -> list[int]:
+    """The bits of every band, as signed longs: any three of ``radius + 3`` near-equal blocks."""
+    edges = [round(64 * i / (radius + 3)) for i in range(radius + 4)]
+    blocks = [(1 << high) - (1 << low) for low, high in pairwise(edges)]
+    return [m - (1 << 64) if m >> 63 else m for m in (sum(chosen) for chosen in combinations(blocks, 3))]
 
 
 def links(fingerprints: DataFrame, radius: int = 2, tile: int = 2048) -> DataFrame:
     """Edges ``a, b`` that span, per component, all pairs of distinct ``fp`` within ``radius`` bits."""
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), band(F.col("fp"), i, radius + 1).alias("value")) for i in range(radius + 1)])
+    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(mask)).alias("value")) for i, mask in enumerate(band_masks(radius))])
     placed = fingerprints.select("fp", F.bit_count("fp").alias("pc"), F.explode(bands).alias("k")).select("fp", "pc", "k.band", "k.value")
     key = ["band", "value"]
     sizes = placed.groupBy(*key).agg(F.count("*").alias("members")).filter("members > 1")
