@@ -9,7 +9,7 @@ from .ordered import range_join
 
 
 def bin_of(value: Column, low: float, high: float, bins: int) -> Column:
-    """Bin of a value in single precision: -1 below ``low``, ``bins`` at or above ``high``."""
+    """Bin of a value in single precision: -1 below ``low``, ``bins`` at or above ``high`` and for null, as in SQL."""
     v, lo, hi = value.cast("float"), F.lit(low).cast("float"), F.lit(high).cast("float")
     width = F.lit((high - low) / bins).cast("float")
     at = ((v - lo) / width).cast("float").cast("int")
@@ -17,8 +17,8 @@ def bin_of(value: Column, low: float, high: float, bins: int) -> Column:
 
 
 def hist1d(rows: DataFrame, keys: list[str], value: Column, low: float, high: float, bins: int) -> DataFrame:
-    """Counts by ``keys`` and ``bin``; bin -1 is the underflow and bin ``bins`` the overflow. Nulls are not counted."""
-    filled = rows.withColumn("bin", bin_of(value, low, high, bins)).filter("bin is not null")
+    """Counts by ``keys`` and ``bin``; bin -1 is the underflow and bin ``bins`` the overflow, nulls with it; rows that shall not count are filtered before."""
+    filled = rows.withColumn("bin", bin_of(value, low, high, bins))
     return filled.groupBy(*keys, "bin").agg(F.count("*").alias("counts"))
 
 

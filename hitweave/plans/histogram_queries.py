@@ -25,7 +25,7 @@ def hist1d_energy(spark, d):
 
 
 def hist1d_psd(spark, d):
-    return H.hist1d(hits(spark, d), KEYS, psd(), *PSD)
+    return H.hist1d(hits(spark, d).filter("energy > 0"), KEYS, psd(), *PSD)
 
 
 def hist_summary(spark, d):
