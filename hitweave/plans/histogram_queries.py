@@ -40,7 +40,7 @@ def hist_dispatch(spark, d):
     """Energy of every hit and pulse shape where there is charge, in one pass."""
     rows = hits(spark, d).select(*KEYS, F.explode(F.array(
         F.struct(F.lit("energy").alias("kind"), H.bin_of(F.col("energy"), *ENERGY).alias("bin")),
-        F.struct(F.lit("psd").alias("kind"), H.bin_of(psd(), *PSD).alias("bin")),
+        F.struct(F.lit("psd").alias("kind"), F.when(F.col("energy") > 0, H.bin_of(psd(), *PSD)).alias("bin")),
     )).alias("v"))
     return rows.filter("v.bin is not null").groupBy(*KEYS, "v.kind", "v.bin").agg(F.count("*").alias("counts"))
 

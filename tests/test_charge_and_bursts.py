@@ -37,7 +37,7 @@ def same_as_sql(spark, folder, name):
     assert Counter(map(tuple, found.select(*columns).collect())) == Counter(expected.fetchall())
 
 
-@pytest.mark.parametrize("name", ["hist1d_psd"])
+@pytest.mark.parametrize("name", ["hist1d_psd", "hist_dispatch"])
 def test_hits_without_charge_have_no_pulse_shape(spark, tmp_path, name):
     rng = random.Random(1)
     rows = [(i, rng.randrange(8), rng.choice(KINDS), rng.choice([0.0, 0.001, 0.5, 700.0, rng.random() * 90])) for i in range(200)]
