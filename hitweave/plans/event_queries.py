@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.events import ORDER, Filter, Trigger, anchors, build_events, build_priority, evaluate_filters, event_hits, nested_events, number_kept, priorities, slices
+from ..operators.events import ORDER, Filter, Trigger, ac_hits, anchors, build_events, build_priority, evaluate_filters, event_hits, event_lists, filter_members, nested_events, number_kept, priorities, slices
 from ..sources.hits import CHANNEL_DIM_SQL, HITS_SQL, hits
 
 W = 60e9
@@ -126,10 +126,10 @@ def l2_ac_veto(spark, d):
 
 
 def built_event_arrays(spark, d):
-    rows = _nested(spark, d)
-    fields = {"mod": "module", "ch": "channel", "energy": "energy", "with_ac": "with_ac"}
-    arrays = [F.array_join(F.col(f"hits.{f}").cast("array<string>"), ",").alias(f"{n}_list") for n, f in fields.items()]
-    return rows.select("event_no", "trigger_time", "trigger_module", "trigger_channel", "multiplicity", *arrays)
+    events, rows = _events(spark, d)
+    found = event_lists(events, rows, W, AC_PAIRS, ["module", "channel", "energy", "with_ac"])
+    lists = [F.col(f).alias(n) for f, n in (("module", "mod_list"), ("channel", "ch_list"), ("energy", "energy_list"), ("with_ac", "with_ac_list"))]
+    return found.select("event_no", "trigger_time", "trigger_module", "trigger_channel", "multiplicity", *lists)
 
 
 def module_correlation(spark, d):

@@ -42,3 +42,24 @@ def test_hits_without_charge_have_no_pulse_shape(spark, tmp_path, name):
     rng = random.Random(1)
     rows = [(i, rng.randrange(8), rng.choice(KINDS), rng.choice([0.0, 0.001, 0.5, 700.0, rng.random() * 90])) for i in range(200)]
     same_as_sql(spark, write_events(tmp_path, rows), name)
+
+
+def long_event(rng, n, step):
+    """Hits ``step`` seconds apart on average, many at one time, so that they make one event or few; then two lone events."""
+    rows, t = [], 100.0
+    for _ in range(n):
+        t += rng.choice([0, 0, rng.random() * 4 * step])
+        rows.append((round(t, 3), rng.randrange(8), rng.choice(KINDS), round(rng.random() * 400, 2)))
+    far = rows[-1][0] + 1000
+    return rows + [(far, 1, "click", 120.0), (far + 50, 2, "view", 5.0), (far + 1000, 1, "click", 120.0), (far + 1050.001, 2, "view", 5.0), (far + 1000, 1, "click", 120.0)]
+
+
+def test_long_events_are_joined_from_pieces(spark, tmp_path, monkeypatch):
+    from hitweave.operators import events
+
+    kept = []
+    monkeypatch.setattr(events, "durable", lambda rows, real=events.durable: kept.append(real(rows)) or kept[-1])
+    folder = write_events(tmp_path, long_event(random.Random(3), 50_000, 1))
+    same_as_sql(spark, folder, "built_event_arrays")
+    sizes = [(r.event_no, r.n) for p in kept if "_hits" in p.columns for r in p.selectExpr("event_no", "size(_hits) AS n").collect()]
+    assert sum(n > 10_000 for _, n in sizes) > 1 and max(n for _, n in sizes) < 40_000
