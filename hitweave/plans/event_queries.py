@@ -83,8 +83,7 @@ def event_build_priority(spark, d):
 
 
 def event_with_ac(spark, d):
-    flat = _nested(spark, d).select("event_no", F.explode("hits").alias("h"))
-    return flat.groupBy("event_no").agg(F.count_if("h.with_ac").alias("ac_hits"), F.bool_or("h.with_ac").alias("any_ac"))
+    return ac_hits(_members(spark, d), AC_PAIRS).select("event_no", "ac_hits", (F.col("ac_hits") > 0).alias("any_ac"))
 
 
 def event_slices(spark, d):
