@@ -121,7 +121,7 @@ def l2_min_hits(spark, d):
 
 def l2_ac_veto(spark, d):
     gate = [Filter("veto", "ac_veto", module=1, channel=0, veto_module=2, veto_channel=1, window_ns=50e9), Filter("ok", "accept", monitor=("veto",))]
-    return evaluate_filters(_nested(spark, d), gate, TAGS).select("event_no", "veto", "keep")
+    return filter_members(_members(spark, d), gate, TAGS).select("event_no", "veto", "keep")
 
 
 def built_event_arrays(spark, d):
