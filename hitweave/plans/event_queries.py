@@ -132,8 +132,8 @@ def built_event_arrays(spark, d):
 
 
 def module_correlation(spark, d):
-    rows = _nested(spark, d)
-    has = [F.avg(F.array_contains("hits.module", m).cast("double")) for m in range(4)]
+    rows = _members(spark, d).groupBy("event_no", "trigger_module").agg(*[F.bool_or(F.col("module") == m).alias(f"m{m}") for m in range(4)])
+    has = [F.avg(F.col(f"m{m}").cast("double")) for m in range(4)]
     return rows.groupBy("trigger_module").agg(F.count("*").alias("events"), *[F.round(c, 9).alias(f"with_m{m}") for m, c in enumerate(has)])
 
 
