@@ -168,7 +168,7 @@ def pair_fractions(spark, d):
 
 
 def pipeline_counters(spark, d):
-    events = evaluate_filters(_nested(spark, d), FILTERS, TAGS)
+    events = filter_members(_members(spark, d), FILTERS, TAGS)
     total = hits(spark, d).agg(F.count("*").alias("hits"))
     return events.agg(F.count("*").alias("built"), F.count_if("keep").alias("kept"), F.sum("multiplicity").alias("member_hits")).join(F.broadcast(total))
 
