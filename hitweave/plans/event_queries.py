@@ -100,7 +100,7 @@ FILTERS = [
 
 
 def l2_counter_flag_accept(spark, d):
-    found = evaluate_filters(_nested(spark, d), FILTERS, TAGS)
+    found = filter_members(_members(spark, d), FILTERS, TAGS)
     return found.select("event_no", "n_si", "n_ac", "two_si", "no_ac", "late", "both", "either", "keep", F.array_join("accepted", ",").alias("accepted"))
 
 
