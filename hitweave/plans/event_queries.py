@@ -111,7 +111,7 @@ def l2_kept_events(spark, d):
 
 def l2_energy_gate(spark, d):
     gate = [Filter("gate", "energy_gate", module=1, channel=0, low=10_000, high=30_000), Filter("ok", "accept", monitor=("gate",))]
-    return evaluate_filters(_nested(spark, d), gate, TAGS).filter("keep").select("event_no", "multiplicity")
+    return filter_members(_members(spark, d), gate, TAGS).filter("keep").select("event_no", "multiplicity")
 
 
 def l2_min_hits(spark, d):
