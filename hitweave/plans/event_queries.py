@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.events import ORDER, Filter, Trigger, ac_hits, anchors, build_events, build_priority, evaluate_filters, event_hits, event_lists, filter_members, nested_events, number_kept, priorities, slices
+from ..operators.events import ORDER, Filter, Trigger, ac_hits, anchors, build_events, build_priority, event_hits, event_lists, filter_members, number_kept, priorities, slices
 from ..sources.hits import CHANNEL_DIM_SQL, HITS_SQL, hits
 
 W = 60e9
@@ -31,10 +31,6 @@ def _members(spark, d):
     return event_hits(events, rows, W)
 
 
-def _nested(spark, d):
-    return nested_events(_members(spark, d), AC_PAIRS)
-
-
 def l1_or_anchor(spark, d):
     return anchors(hits(spark, d), CLICK, "any", W).select("event_id", "module", "channel", "timestamp_ns")
 
@@ -106,7 +102,7 @@ def l2_counter_flag_accept(spark, d):
 
 def l2_kept_events(spark, d):
     """Kept events alone, numbered after the filters."""
-    return number_kept(evaluate_filters(_nested(spark, d), FILTERS, TAGS)).select("event_no", "trigger_time", "trigger_module", "multiplicity", "n_si", "n_ac")
+    return number_kept(filter_members(_members(spark, d), FILTERS, TAGS)).select("event_no", "trigger_time", "trigger_module", "multiplicity", "n_si", "n_ac")
 
 
 def l2_energy_gate(spark, d):

@@ -54,7 +54,7 @@ def long_event(rng, n, step):
     return rows + [(far, 1, "click", 120.0), (far + 50, 2, "view", 5.0), (far + 1000, 1, "click", 120.0), (far + 1050.001, 2, "view", 5.0), (far + 1000, 1, "click", 120.0)]
 
 
-@pytest.mark.parametrize("name", ["event_with_ac", "l2_ac_veto", "module_correlation", "pipeline_counters", "l2_counter_flag_accept", "l2_energy_gate", "l2_min_hits"])
+@pytest.mark.parametrize("name", ["event_with_ac", "l2_ac_veto", "module_correlation", "pipeline_counters", "l2_counter_flag_accept", "l2_energy_gate", "l2_min_hits", "l2_kept_events"])
 def test_long_events_are_summed_without_lists_of_hits(spark, tmp_path, name):
     folder = write_events(tmp_path, long_event(random.Random(2), 600, 9))
     assert "collect_list" not in catalogue.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
