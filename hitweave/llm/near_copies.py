@@ -143,7 +143,7 @@ def edges_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def similar_links(docs: DataFrame, marked: DataFrame, known: DataFrame, simhash_width: int, width: int, least: float, tile: int = 256) -> DataFrame:
-    """Edges between SimHash values of texts with similarity ``least`` or more, to which the edges ``known`` are added.
+    """Edges that connect what the edges ``known`` and those between SimHash values of texts with similarity ``least`` or more connect.
 
     ``docs`` has ``doc_id, _text``, ``marked`` their ``doc_id, fp, sid, bands``; it should be durable.
     """
@@ -166,7 +166,9 @@ def similar_links(docs: DataFrame, marked: DataFrame, known: DataFrame, simhash_
     edges = durable(compared(few.unionByName(stars), sets, least).unionByName(known).distinct())
     if large.isEmpty():
         return edges
-    return edges.unionByName(compared(across_components(large, connected_components(edges), tile), sets, least))
+    roots = connected_components(edges)
+    contracted = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # connects as edges do, in one step
+    return contracted.unionByName(compared(across_components(large, roots, tile), sets, least))
 
 
 def across_components(large: DataFrame, roots: DataFrame, tile: int) -> DataFrame:
