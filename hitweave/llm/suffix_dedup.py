@@ -112,8 +112,10 @@ class Block:
         """First and last start, document and hash of each run of passages with one trigger, of ``STRIDE`` starts."""
         spot, h = triggers(self.data[at : at + STRIDE + self.length - 1], self.length)
         starts = np.arange(at, at + len(spot))
-        owner = np.searchsorted(self.ends, starts, side="right")
-        inside = starts + self.length <= self.ends[owner]
+        low, high = np.searchsorted(self.ends, [at, at + len(spot) - 1], side="right").tolist()
+        here = np.arange(low, high + 1)  # the documents of these starts, each repeated for its own: no search a byte
+        count = np.diff(np.minimum(self.ends[here], at + len(spot)), prepend=at)
+        owner, inside = np.repeat(here, count), starts + self.length <= np.repeat(self.ends[here], count)
         spot, h, owner, starts = spot[inside], h[inside], owner[inside], starts[inside]
         new = np.ones(len(spot), bool)
         new[1:] = (spot[1:] != spot[:-1]) | (owner[1:] != owner[:-1])
